@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat
+from .decontaminate import op5_decontamination
+from .packing import op4_packing
+from .pii import op8_pii
+from .quality_rules import op7_quality_rules
 from .simhash import op10_simhash
+from .substrings import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op4_packing": op4_packing,
+    "op5_decontamination": op5_decontamination,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_pii": op8_pii,
+    "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
