@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat
 from .decontaminate import op5_decontamination
+from .html_text import op3_html
 from .packing import op4_packing
 from .pii import op8_pii
+from .quality_model import op6_quality
 from .quality_rules import op7_quality_rules
 from .simhash import op10_simhash
 from .substrings import op1_substring_dedup
+from .url_filter import op2_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_html": op3_html,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
     "op7_quality_rules": op7_quality_rules,
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,

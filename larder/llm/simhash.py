@@ -276,3 +276,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, text: str = "te
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near copies the first row of docs stays.
+
+    docs is a written table, so that a row has the same number in both scans of it.
+    """
+    numbered = docs.withColumn("larder_row", F.monotonically_increasing_id())
+    first = near_duplicates(numbered, width=5, key="larder_row").where("larder_row = component_id").select("larder_row")
+    return numbered.join(spill(first), "larder_row", "left_semi").select(*docs.columns)
