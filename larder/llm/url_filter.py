@@ -1,7 +1,7 @@
 """URL filters: rules on hosts and paths, and for urls that no rule fits a path-template tree.
 
 Paths become templates: segments that are numbers, hashes or dates are classes, and a place in the tree of a host whose
-children are many and of which none prevails becomes a wildcard. Urls that rules decide are the labels. Sibling
+children are many takes its rare ones together as a wildcard. Urls that rules decide are the labels. Sibling
 templates of a host whose labelled purities don't differ statistically are merged. A template is rejected if
 its share of blocked labels, smoothed by the share of all, is high and well supported.
 """
@@ -16,8 +16,8 @@ from .scratch import spill
 #: (verdict, host, path) of the rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEPTH = 4
-#: A place with more distinct children than FAN_OUT, none with over PREVAILS of its urls, is a wildcard.
-FAN_OUT, PREVAILS = 16, 0.5
+#: At a place with more distinct children than FAN_OUT those with less than RARE of its urls are one wildcard.
+FAN_OUT, RARE = 16, 0.05
 #: Labels that a template needs; the weight of the share of all labels in smoothing; the smoothed share that rejects.
 LEAST, WEIGHT, PURITY = 20, 10, 0.9
 
@@ -69,9 +69,10 @@ def template_tree(pages: DataFrame) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         here = F.coalesce(F.get("segments", F.lit(depth - 1)), F.lit(""))
         children = leaves.groupBy("host", "template", here.alias("child")).agg(F.sum("n").alias("n"))
-        places = children.where("child <> ''").groupBy("host", "template").agg(F.count("*").alias("fan"), (F.max("n") / F.sum("n")).alias("most"))
-        wild = spill(places.where((F.col("fan") > FAN_OUT) & (F.col("most") < PREVAILS)).select("host", "template", F.lit(True).alias("wild")))
-        grown = leaves.join(wild, ["host", "template"], "left")
+        places = children.groupBy("host", "template").agg(F.count_if(F.col("child") != "").alias("fan"), F.sum("n").alias("all"))
+        rare = children.join(places, ["host", "template"]).where((F.col("fan") > FAN_OUT) & (F.col("n") < RARE * F.col("all")) & (F.col("child") != ""))
+        wild = spill(rare.select("host", "template", "child", F.lit(True).alias("wild")))
+        grown = leaves.withColumn("child", here).join(wild, ["host", "template", "child"], "left").drop("child")
         name = F.when(here == "", F.lit(None).cast("string")).when(F.col("wild"), "*").otherwise(here)
         leaves = grown.withColumn("template", F.when(name.isNotNull(), F.array_append("template", name)).otherwise(F.col("template"))).drop("wild")
     leaves = spill(leaves)
