@@ -119,7 +119,7 @@ def generation_cost(model: Column, answer: Column, question: Column | None = Non
     cost = F.lit(0.0)
     for prefix, (of_input, of_output) in reversed(GENERATION_COST.items()):
         cost = F.when(F.lower(model).startswith(prefix), (given * of_input + out * of_output) / 1000.0).otherwise(cost)
-    return F.round(cost, 6)
+    return F.floor(cost * 1e6 + 0.5) / 1e6
 
 
 def mask_secret(value: Column, shown: int = 4) -> Column:

@@ -51,13 +51,13 @@ EXCHANGES_SQL = f"""exchanges AS (
 
 
 def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of questions: every exchange, and for a part of them a later repeat in other case and punctuation."""
+    """A stream of questions: every exchange, and for a part of them a later repeat with other spacing, stop words and punctuation."""
     first = exchanges(spark, sf_dir).withColumnRenamed("created_s", "asked_s")
     again = first.where("conv_id % 3 = 0").select(
         (F.col("question_id") + 50).alias("question_id"),
         "conv_id",
         "turn",
-        F.concat(F.lit("The "), F.upper("question"), F.lit(" ?!")).alias("question"),
+        F.concat(F.lit("The "), F.replace("question", F.lit(" "), F.lit("  ")), F.lit(" ?!")).alias("question"),
         "answer",
         F.when(F.col("conv_id") % 5 == 0, (F.col("namespace_id") + 1) % 4).otherwise(F.col("namespace_id")).alias("namespace_id"),
         (F.col("asked_s") + 86_400).alias("asked_s"),
@@ -68,7 +68,7 @@ def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKS_SQL = f"""{EXCHANGES_SQL}, asks AS (
   SELECT question_id, conv_id, turn, question, answer, namespace_id, created_s AS asked_s FROM exchanges
   UNION ALL
-  SELECT question_id + 50, conv_id, turn, 'The ' || upper(question) || ' ?!', answer,
+  SELECT question_id + 50, conv_id, turn, 'The ' || replace(question, ' ', '  ') || ' ?!', answer,
          CASE WHEN conv_id % 5 = 0 THEN (namespace_id + 1) % 4 ELSE namespace_id END, created_s + 86400
   FROM exchanges WHERE conv_id % 3 = 0)"""
 

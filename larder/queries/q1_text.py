@@ -82,7 +82,7 @@ def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.block_tokens(F.col("text")).alias("block_tokens"), T.quarter_tokens(F.col("text")).alias("quarter_tokens"))
 
 
-@query("generation_cost", f"""WITH {X.CACHE_SQL} SELECT cache_id, round((length(question) / 4.0 * rate_in + length(answer_text) / 4.0 * rate_out) / 1000.0, 6) AS cost FROM (
+@query("generation_cost", f"""WITH {X.CACHE_SQL} SELECT cache_id, floor((CAST(length(question) AS DOUBLE) / 4 * CAST(rate_in AS DOUBLE) + CAST(length(answer_text) AS DOUBLE) / 4 * CAST(rate_out AS DOUBLE)) / 1000 * 1e6 + 0.5) / 1e6 AS cost FROM (
   SELECT *, CASE WHEN model LIKE 'gpt-4o%' THEN 0.0025 WHEN model LIKE 'gpt-4-turbo%' THEN 0.01 WHEN model LIKE 'claude-3-haiku%' THEN 0.00025 ELSE 0.0 END AS rate_in,
          CASE WHEN model LIKE 'gpt-4o%' THEN 0.01 WHEN model LIKE 'gpt-4-turbo%' THEN 0.03 WHEN model LIKE 'claude-3-haiku%' THEN 0.00125 ELSE 0.0 END AS rate_out FROM cache)""")
 def generation_cost(spark, sf_dir):
