@@ -7,6 +7,7 @@ single flip of them, from both sides, which meets at every pair that differs in
 flips. Dynamic programming picks m and the thresholds of least estimated cost (probe rows and expected candidates, from
 statistics of all fingerprints). All pairs of a bucket are verified on the whole fingerprint.
 
+For links of more bits, which need more shared points than there is room for, hot fingerprints are compared in blocks.
 Buckets are streamed in key order. One of over BUCKET fingerprints isn't compared pair by pair: its fingerprints
 are dealt out by all points within k/2 flips of the whole fingerprint. Two fingerprints are within k bits if
 and only if they share such a point, and any that share one are linked, so each is linked to the least one there: as
@@ -36,38 +37,36 @@ PLANNED = 1 << 20
 ROW_COST = 8
 
 
-def shingle_bits(words: list[bytes], width: int) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle of so many words; of all the words if there are fewer; of none if there are none."""
+def shingles(words: list[bytes], width: int) -> list[bytes]:
+    """All shingles of so many words, repeats included; all the words if there are fewer; none if there are none."""
     if len(words) > width:
-        shingles = [b" ".join(x) for x in zip(*(words[i:] for i in range(width)), strict=False)]
-    else:
-        shingles = [b" ".join(words)] if words else []
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(x, 42) for x in shingles], dtype=np.uint64)
+        return [b" ".join(x) for x in zip(*(words[i:] for i in range(width)), strict=False)]
+    return [b" ".join(words)] if words else []
 
 
-def fingerprint_of(words: list[bytes], width: int) -> int:
-    """A bit is set if it is set in over half of the hashes; no words: zero."""
-    hashes = shingle_bits(words, width)
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 65536):
-        part = hashes[i : i + 65536]
+def fingerprint_of(words: list[bytes], width: int, seed: int = 42) -> int:
+    """A bit is set if it is set in over half of the shingles' XXH64; no words: zero."""
+    found, ones = shingles(words, width), np.zeros(64, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    for i in range(0, len(found), 65536):
+        part = np.array([digest(x, seed) for x in found[i : i + 65536]], dtype=np.uint64)
         ones += np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(len(part), 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
+    return int(np.packbits(2 * ones > len(found)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp) of every row: fp is the fingerprint as a signed long. A null or empty text has fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", key: str = "doc_id", seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """(key, fp[, fp2]) of every row: fingerprints as signed longs, one for each seed. A null or empty text has zero."""
+    names = ["fp", "fp2"][: len(seeds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text", 8 << 20):
-            found = [fingerprint_of(t.translate(LOWER_ASCII).split(), width) for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["key", "fp"])
+            split = [t.translate(LOWER_ASCII).split() for t in texts(batch.column("text"))]
+            found = [np.array([fingerprint_of(w, width, seed) for w in split], dtype=np.uint64).view(np.int64) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, found)], ["key", *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("key", key)
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -145,7 +144,7 @@ def probe_plan(n: int, both: np.ndarray, k: int) -> list[tuple[list[int], int]]:
 
 
 def probes(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, key, fp): every fingerprint under each key by which its group may be met."""
+    """(part, key, ...): every row of fps(fp, ...) under each key by which its group may be met."""
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
     def keys_of(part: int, bits: list[int], flips: int):
@@ -155,78 +154,105 @@ def probes(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
         return F.transform(flipped, lambda x: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(x).alias("key")))
 
     keys = F.flatten(F.array(*(keys_of(i, *group) for i, group in enumerate(plan))))
-    return fps.select("fp", F.explode(keys).alias("k")).select("k.part", "k.key", "fp")
+    return fps.select(*fps.columns, F.explode(keys).alias("k")).select("k.part", "k.key", *fps.columns)
+
+
+#: Buckets of so few rows are compared pair by pair at once.
+SMALL = 16
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64))  # of a signed number it would count the absolute value
+
 
+def _near(x: np.ndarray, y: np.ndarray, k: int, wide: int | None) -> np.ndarray:
+    """Whether rows of fingerprints differ in k or fewer bits of the first and, if it is given, in `wide` or fewer of both."""
+    first = _distance(x[..., 0], y[..., 0])
+    return first <= k if wide is None else (first <= k) & (first + _distance(x[..., 1], y[..., 1]) <= wide)
 
-def _forest(values: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+
+def _forest(values: np.ndarray, k: int, wide: int | None) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among values: each is compared with those that no tree has reached yet."""
-    left = values
+    left = values[np.unique(values[:, 0], return_index=True)[1]]
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count((left ^ x).view(np.uint64)) <= k  # of a signed number it counts the absolute value
+            near = _near(left, x, k, wide)
             if near.any():
-                found = left[near]
-                yield from ((int(x), int(y)) for y in found)
-                queue.extend(found)
+                yield from ((int(x[0]), int(y)) for y in left[near, 0])
+                queue.extend(left[near])
                 left = left[~near]
 
 
-def bucket_links(rows: DataFrame, k: int, bucket: int) -> DataFrame:
-    """(a, b, hot): links of each (part, key) of rows, which may be dealt out in any way; hot: b is of a hot bucket.
+def bucket_links(rows: DataFrame, k: int, bucket: int, wide: int | None = None) -> DataFrame:
+    """(a, b, hot): links among the fingerprints of each bucket of rows(part, key, fp[, fp2]), sorted by these within tasks.
 
-    A task streams its rows by key and holds one batch and one bucket of at most `bucket` fingerprints.
+    hot: the bucket holds over `bucket` rows, and a = b is one of them. A task streams its rows by key; it holds one
+    batch and one bucket of at most so many fingerprints.
     """
 
+    def table(a, b, hot):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, dtype=np.int64)), pa.array(np.asarray(b, dtype=np.int64)), pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         now, size = None, 0
 
-        def table(a, b, hot):
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, dtype=np.int64)), pa.array(np.asarray(b, dtype=np.int64)), pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
-
-        def close():
-            values = np.unique(np.concatenate(held)) if held else np.empty(0, dtype=np.int64)
-            links = list(_forest(values, k))
-            if links:
-                yield table([x for x, _ in links], [y for _, y in links], False)
+        def linked(values: np.ndarray):
+            if found := list(_forest(values, k, wide)):
+                yield table([x for x, _ in found], [y for _, y in found], False)
 
         for batch in batches:
-            part = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            if not len(batch):
+                continue
+            part, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            fp = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, batch.num_columns)], axis=1)
             cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(key) != 0)) + 1
             starts, ends = np.append(0, cuts), np.append(cuts, len(fp))
-            inner = slice(1, len(starts) - 1)  # buckets that neither begin before nor may go on after this batch
-            small = [(s, e) for s, e in zip(starts[inner], ends[inner], strict=True) if e - s > 1]
-            if small:
-                two = np.array([s for s, e in small if e - s == 2], dtype=np.int64)
-                near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= k]
+            sizes = ends - starts
+            small = sizes <= SMALL
+            small[[0, -1]] = False  # these may begin before this batch, or go on after it
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            open_rows = np.flatnonzero(np.repeat(small & (sizes > 1), sizes))
+            for step in range(1, SMALL):
+                open_rows = open_rows[open_rows + step < len(fp)]
+                open_rows = open_rows[group[open_rows] == group[open_rows + step]]
+                if not len(open_rows):
+                    break
+                near = open_rows[_near(fp[open_rows], fp[open_rows + step], k, wide)]
                 if len(near):
-                    yield table(fp[near], fp[near + 1], False)
-                for s, e in small:
-                    if e - s > 2:
-                        if e - s > bucket:
-                            yield table(fp[s:e], fp[s:e], True)
-                        elif links := list(_forest(np.unique(fp[s:e]), k)):
-                            yield table([x for x, _ in links], [y for _, y in links], False)
-            for s, e in dict.fromkeys([(starts[0], ends[0]), (starts[-1], ends[-1])]) if len(fp) else ():
+                    yield table(fp[near, 0], fp[near + step, 0], False)
+            for i in np.flatnonzero(~small)[1:-1]:
+                values = fp[starts[i] : ends[i]]
+                yield from [table(values[:, 0], values[:, 0], True)] if len(values) > bucket else linked(values)
+            for i in dict.fromkeys((0, len(sizes) - 1)):
+                s, e = starts[i], ends[i]
                 if (part[s], key[s]) != now:
-                    if size <= bucket:
-                        yield from close()
+                    if held and size <= bucket:
+                        yield from linked(np.concatenate(held))
                     now, held, size = (part[s], key[s]), [], 0
                 size += e - s
                 held.append(fp[s:e])
                 if size > bucket:
                     for x in held:
-                        yield table(x, x, True)
+                        yield table(x[:, 0], x[:, 0], True)
                     held = []
-        if size <= bucket:
-            yield from close()
+        if held and size <= bucket:
+            yield from linked(np.concatenate(held))
 
     return rows.mapInArrow(run, "a long, b long, hot boolean")
 
 
+def in_blocks(fps: DataFrame, k: int, wide: int | None, bucket: int) -> DataFrame:
+    """(a, b): links among all of fps(fp[, fp2]), compared in pairs of blocks, each pair of a size that fits a task."""
+    blocks = max(1, -(-3 * fps.count() // bucket))
+    own = F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")
+    rows = fps.select("*", own.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
+    rows = rows.select(F.least("i", "j").alias("part"), F.greatest("i", "j").cast("long").alias("key"), *fps.columns)
+    return bucket_links(rows.repartition("part", "key").sortWithinPartitions("part", "key"), k, 1 << 62, wide).select("a", "b")
+
+
 def shared_points(fps: DataFrame, k: int) -> DataFrame:
     """(a, b) that link fps(fp) at k or fewer differing bits, k even, by their points within k/2 flips of both."""
     values = [1 << b for b in range(64)]
@@ -246,27 +272,34 @@ def shared_points(fps: DataFrame, k: int) -> DataFrame:
     return rows.join(least, "point").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
 
 
-def links(fps: DataFrame, k: int = 4, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): edges among the distinct fingerprints fps(fp) that connect exactly what links of k or fewer bits connect."""
+def links(fps: DataFrame, k: int = 4, bucket: int = BUCKET, wide: int | None = None) -> DataFrame:
+    """(a, b): edges among the fingerprints fps(fp[, fp2]), distinct in fp, that connect just what links connect.
+
+    A link: k or fewer differing bits of fp and, with `wide`, that many or fewer of fp and fp2 together.
+    """
     n, both = bit_statistics(fps)
     rows = probes(fps, probe_plan(n, both, k))
-    found = spill(bucket_links(rows.repartition("part", "key").sortWithinPartitions("part", "key"), k, bucket))
+    found = spill(bucket_links(rows.repartition("part", "key").sortWithinPartitions("part", "key"), k, bucket, wide))
     direct = found.where("not hot").select("a", "b")
-    hot = found.where("hot").select(F.col("a").alias("fp")).distinct()
-    return direct.unionByName(shared_points(hot, k)) if found.where("hot").take(1) else direct
+    if not found.where("hot").take(1):
+        return direct
+    hot = fps.join(spill(found.where("hot").select(F.col("a").alias("fp")).distinct()), "fp", "left_semi")
+    return direct.unionByName(shared_points(hot, k) if wide is None and k <= 4 and k % 2 == 0 else in_blocks(spill(hot), k, wide, bucket))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, text: str = "text", key: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, text: str = "text", key: str = "doc_id", bucket: int = BUCKET, wide: int | None = None) -> DataFrame:
     """(key, fp, component_id) of every row of docs.
 
-    Fingerprints of k or fewer differing bits are linked; component_id is the least key that links reach, itself
+    Fingerprints of k or fewer differing bits are linked; with `wide`, only if a second fingerprint, of another seed,
+    agrees: at most so many of the 128 bits differ. component_id is the least key that links reach, itself
     included. Null and empty texts have fingerprint zero, which is linked like any other. A null key is kept and is never
     the least unless all keys of its component are null. Repeated rows are repeated in the result. Other columns of
     docs don't matter. An empty table gives none.
     """
-    rows = spill(fingerprints(docs, width, text, key))
-    nodes = spill(rows.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(links(nodes.select("fp"), k, bucket)).select(F.col("node").alias("fp"), "root")
+    rows = spill(fingerprints(docs, width, text, key, (42,) if wide is None else (42, 43)))
+    extra = [] if wide is None else [F.min("fp2").alias("fp2")]
+    nodes = spill(rows.groupBy("fp").agg(F.min(key).alias("least"), *extra))
+    roots = components(links(nodes.drop("least"), k, bucket, wide)).select(F.col("node").alias("fp"), "root")
     rooted = spill(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     of_root = spill(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = spill(rooted.join(of_root, "root").select("fp", "component_id"))
@@ -281,8 +314,9 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the first row of docs stays.
 
-    docs is a written table, so that a row has the same number in both scans of it.
+    Shingles of five words; a similarity of 0.8 or more of 128 bits, and eight differing bits at most in the 64 that
+    candidates are probed by. docs is a written table, so that a row has the same number in both scans of it.
     """
     numbered = docs.withColumn("larder_row", F.monotonically_increasing_id())
-    first = near_duplicates(numbered, width=5, key="larder_row").where("larder_row = component_id").select("larder_row")
+    first = near_duplicates(numbered, width=5, k=8, key="larder_row", wide=25).where("larder_row = component_id").select("larder_row")
     return numbered.join(spill(first), "larder_row", "left_semi").select(*docs.columns)

@@ -76,7 +76,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
         name = F.when(here == "", F.lit(None).cast("string")).when(F.col("wild"), "*").otherwise(here)
         leaves = grown.withColumn("template", F.when(name.isNotNull(), F.array_append("template", name)).otherwise(F.col("template"))).drop("wild")
     leaves = spill(leaves)
-    totals = leaves.agg(F.coalesce(F.sum("bad") / F.greatest(F.sum("bad") + F.sum("good"), F.lit(1)), F.lit(0.0)).alias("base"))
+    base = leaves.agg(F.coalesce(F.sum("bad") / F.greatest(F.sum("bad") + F.sum("good"), F.lit(1)), F.lit(0.0))).first()[0]  # one number
     nodes = leaves.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     labelled = F.col("bad") + F.col("good")
     share = F.col("bad") / F.greatest(labelled, F.lit(1))
@@ -84,8 +84,8 @@ def template_tree(pages: DataFrame) -> DataFrame:
     band = F.when(labelled == 0, F.concat_ws("/", "template")).otherwise(F.concat(F.lit("~"), F.when(share >= 0.98, "bad").when(share <= 0.02, "good").otherwise(F.round(share, 1).cast("string"))))
     parent = F.concat_ws("/", F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0))))
     nodes = nodes.withColumn("group", F.concat(parent, F.lit("|"), F.size("template").cast("string"), F.lit("|"), band))
-    groups = nodes.groupBy("host", "group").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).crossJoin(F.broadcast(totals))  # totals: one row
-    smoothed = (F.col("bad") + WEIGHT * F.col("base")) / (labelled + WEIGHT)
+    groups = nodes.groupBy("host", "group").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    smoothed = (F.col("bad") + WEIGHT * base) / (labelled + WEIGHT)
     groups = spill(groups.select("host", "group", smoothed.alias("purity"), ((labelled >= LEAST) & (smoothed >= PURITY)).alias("rejected")))
     named = spill(nodes.select("host", "template", "group").join(groups, ["host", "group"]))
     return leaves.select("host", "segments", "template").join(named, ["host", "template"])

@@ -132,12 +132,45 @@ def test_links_connect_as_all_pairs_do(spark, bucket):
     assert [find(v) for v in fps] == [fps[c] for c in want]
 
 
+@pytest.mark.parametrize("bucket", [10_000, 3])
+def test_wide_links(spark, bucket):
+    """With a second fingerprint and more bits; hot buckets go the way of blocks."""
+    rng = np.random.default_rng(6)
+    values = {}
+    for _ in range(6):
+        c = rng.integers(0, 2**63, 2, dtype=np.int64)
+        for _ in range(30):
+            flips = [np.bitwise_xor.reduce(np.int64(1) << rng.integers(0, 63, rng.integers(0, 9)), initial=np.int64(0)) for _ in range(2)]
+            values[int(c[0] ^ flips[0])] = int(c[1] ^ flips[1])
+    fps = sorted(values)
+    found = simhash.links(spark.createDataFrame([(v, values[v]) for v in fps], "fp long, fp2 long"), 8, bucket, 14).collect()
+    mask = 2**64 - 1
+    linked = lambda a, b: ((a ^ b) & mask).bit_count() <= 8 and ((a ^ b) & mask).bit_count() + ((values[a] ^ values[b]) & mask).bit_count() <= 14
+
+    def classes(edges):
+        root = dict(zip(fps, fps))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return [find(v) for v in fps]
+
+    assert all(linked(r["a"], r["b"]) for r in found)
+    assert classes([(r["a"], r["b"]) for r in found]) == classes([(a, b) for a in fps for b in fps if a < b and linked(a, b)])
+
+
 def test_probe_plans_are_sound():
     both = np.full((64, 64), 25.0) + np.diag(np.full(64, 25.0))
-    for n in (10, 10**6, 10**8, 10**10):
-        plan = simhash.probe_plan(n, both * n / 100, 4)
-        assert sorted(b for bits, _ in plan for b in bits) == list(range(64))
-        assert sum(2 * flips for _, flips in plan) >= 4 - len(plan) + 1
+    for k in (4, 8):
+        for n in (10, 10**6, 10**8, 10**10):
+            plan = simhash.probe_plan(n, both * n / 100, k)
+            assert sorted(b for bits, _ in plan for b in bits) == list(range(64))
+            assert sum(2 * flips for _, flips in plan) >= k - len(plan) + 1
 
 
 def test_quality_counts(docs, corpus, nothing):

@@ -29,7 +29,7 @@ def test_whole_table(spark, small, name):
     assert got <= want if name.startswith("op5") else got == want
 
 
-def test_op1(spark, small):
+def test_op1_plain(spark, small):
     docs = pd.read_parquet(f"{small}/documents.parquet")
     got = sorted(tuple(r) for r in QUERIES["op1_substring_dedup"](spark, small).collect())
     assert got == sorted(brute.repeats(list(zip(docs.doc_id, docs.text))))
