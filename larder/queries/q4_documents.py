@@ -93,8 +93,8 @@ def _count_sql(pattern: str) -> str:
 PIPES_SQL = "len(list_filter(ls, lambda x: length(x) - length(replace(x, '|', '')) >= 2))"
 
 
-@query("structured_type", rf"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN {PIPES_SQL} >= 2 THEN 'table' WHEN {_count_sql('^[^:]{1,60}:\s+.+')} >= 2 THEN 'key_value'
-  WHEN {_count_sql('^[\-\*•‣]\s+')} >= 2 THEN 'bullet_list' WHEN {_count_sql('^\d+[.)]\s+')} >= 2 THEN 'numbered_list' ELSE 'narrative' END AS type FROM (SELECT doc_id, text, {LINES_SQL} AS ls FROM documents)""")
+@query("structured_type", rf"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN {PIPES_SQL} >= 2 THEN 'table' WHEN {_count_sql(r'^[^:]{1,60}:\s+.+')} >= 2 THEN 'key_value'
+  WHEN {_count_sql(r'^[\-\*•‣]\s+')} >= 2 THEN 'bullet_list' WHEN {_count_sql(r'^\d+[.)]\s+')} >= 2 THEN 'numbered_list' ELSE 'narrative' END AS type FROM (SELECT doc_id, text, {LINES_SQL} AS ls FROM documents)""")
 def structured_type(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", R.structured_type(F.col("text")).alias("type"))
 
@@ -154,8 +154,8 @@ def tags_complexity(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", R.complexity(F.col("text")).alias("complexity"))
 
 
-@query("tags_format_hint", rf"""SELECT doc_id, CASE WHEN len(ls) = 0 THEN 'simple' WHEN {PIPES_SQL} >= 2 THEN 'structured_data' WHEN {_count_sql(chr(92) + 't')} >= 2 THEN 'structured_data' WHEN {_count_sql('^[\-\*•\d]+[.)]\s+|^[\-\*•]\s+')} >= 3 THEN 'list'
-  WHEN {_count_sql('^[^:]{1,60}:\s+.+')} >= 2 THEN 'structured_data' WHEN n < 30 THEN 'simple' ELSE 'narrative' END AS hint FROM (SELECT doc_id, {LINES_SQL} AS ls, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents)""")
+@query("tags_format_hint", rf"""SELECT doc_id, CASE WHEN len(ls) = 0 THEN 'simple' WHEN {PIPES_SQL} >= 2 THEN 'structured_data' WHEN {_count_sql(chr(92) + 't')} >= 2 THEN 'structured_data' WHEN {_count_sql(r'^[\-\*•\d]+[.)]\s+|^[\-\*•]\s+')} >= 3 THEN 'list'
+  WHEN {_count_sql(r'^[^:]{1,60}:\s+.+')} >= 2 THEN 'structured_data' WHEN n < 30 THEN 'simple' ELSE 'narrative' END AS hint FROM (SELECT doc_id, {LINES_SQL} AS ls, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents)""")
 def tags_format_hint(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", R.format_hint(F.col("text")).alias("hint"))
 
