@@ -3,9 +3,9 @@
 Rounds of recompression shorten each text: runs of one symbol become one symbol, then, with symbols dealt into left and
 right by a hash, each left-right pair becomes one. Names are hashes of what they replace, so they are global: equal texts
 get equal symbols wherever they stand, but for a margin. For every symbol the words that decided it are tracked (its
-reach). A symbol whose reach lies within a window is in each equal window, at the same place. So a window's anchor, its first
-such symbol of the highest round, depends on its words alone, and equal windows have equal anchors. Consecutive windows
-of one anchor form a group, about one for ten words, and only groups are shuffled:
+reach). A symbol whose reach lies within a window is in each equal window, at the same place. So a window's anchor, the one of
+least name among such symbols of the highest round that has any, depends on its words alone, and equal windows have equal
+anchors. Consecutive windows of one anchor form a group, about one for twelve words, and only groups are shuffled:
 
 1. Groups are counted by their anchor's reach. What occurs once holds no repeated window.
 2. Groups of a repeated anchor are counted by all their words too. Equal groups are repeated as a whole.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,7 @@ from .scratch import spill
 from .words import portions, texts
 
 WINDOW = 35
-ROUNDS = 5
+ROUNDS = 3
 #: Bytes of text that a task takes at a time.
 PORTION = 2 << 20
 MEMORY = 600_000
@@ -113,54 +114,78 @@ def shorten(s: Round, number: int, begin: np.ndarray, end: np.ndarray) -> Round:
     return s
 
 
-class Parsed:
-    """Concatenated texts, their windows and the groups of these by anchor."""
+class Texts:
+    """Concatenated texts: their words, and where each text begins and ends."""
 
-    def __init__(self, all_texts: list[bytes]):
-        self.words = [t.split() for t in all_texts]
-        counts = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.end = np.cumsum(counts)
-        self.begin = self.end - counts
+    def __init__(self, words: list[list[bytes]]):
+        self.words = words
+        self.counts = np.array([len(w) for w in words], dtype=np.int64)
+        self.end = np.cumsum(self.counts)
+        self.begin = self.end - self.counts
+        self.hashes = word_hashes([w for x in words for w in x])
         with np.errstate(over="ignore"):
-            self._parse(word_hashes([w for x in self.words for w in x]), counts)
-
-    def _parse(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        n = len(hashes)
-        text = np.repeat(np.arange(len(counts)), counts)
-        place = np.arange(n)
-        self.one, self.two = Spans(hashes, 0), Spans(hashes, 1)
-        start = place[place + WINDOW <= self.end[text]] if n else place
-        level, anchor = np.full(len(start), -1), np.full(len(start), -1)
-        rounds = [Round(hashes, place, place + 1, text)]
+            self.one, self.two = Spans(self.hashes, 0), Spans(self.hashes, 1)
+
+    def window_keys(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            return self.one(start, start + WINDOW), self.two(start, start + WINDOW)
+
+
+def least_in(names: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of the least name in each of the ranges first..last, the leftmost of equal ones."""
+    best = [np.arange(len(names))]
+    widest = int((last - first).max()) + 1
+    while 2 << (len(best) - 1) <= widest:
+        step, old = 1 << (len(best) - 1), best[-1]
+        left, right = old[:-step], old[step:]
+        best.append(np.where(names[left] <= names[right], left, right))
+    power = np.log2(last - first + 1).astype(np.int64)
+    out = np.empty(len(first), dtype=np.int64)
+    for k, place in enumerate(best):
+        mine = np.flatnonzero(power == k)
+        left, right = place[first[mine]], place[last[mine] - (1 << k) + 1]
+        out[mine] = np.where(names[left] <= names[right], left, right)
+    return out
+
+
+class Groups:
+    """The groups of all windows of some texts: of which text, the first start, how many, and the two keys."""
+
+    def __init__(self, texts: Texts):
+        with np.errstate(over="ignore"):
+            self._parse(texts)
+
+    def _parse(self, t: Texts) -> None:
+        n = len(t.hashes)
+        text, place = np.repeat(np.arange(len(t.counts)), t.counts), np.arange(n)
+        start = place[place + WINDOW <= t.end[text]] if n else place
+        level, anchor = np.zeros(len(start), dtype=np.int64), start.copy()
+        low, high = start.copy(), start + WINDOW  # a window without a symbol is its own anchor
+        rounds = [Round(t.hashes, place, place + 1, text)]
         for i in range(ROUNDS):
-            rounds.append(shorten(rounds[-1], i, self.begin, self.end))
+            rounds.append(shorten(rounds[-1], i, t.begin, t.end))
         todo = np.arange(len(start))
         for i in range(ROUNDS, 0, -1):
             s = rounds[i]
             if not len(todo) or not len(s.low):
                 break
-            j = np.minimum(np.searchsorted(s.low, start[todo]), len(s.low) - 1)
-            fits = (s.low[j] >= start[todo]) & (s.high[j] <= start[todo] + WINDOW)
-            level[todo[fits]], anchor[todo[fits]] = i, j[fits]
+            # Reaches begin and end in order, so the symbols within a window are neighbours.
+            first = np.searchsorted(s.low, start[todo])
+            last = np.searchsorted(s.high, start[todo] + WINDOW, side="right") - 1
+            fits = first <= last
+            if fits.any():
+                mine, j = todo[fits], least_in(mix(s.name, 501), first[fits], last[fits])
+                level[mine], anchor[mine], low[mine], high[mine] = i, j, s.low[j], s.high[j]
             todo = todo[~fits]
-        alone = level < 0
-        anchor[alone] = start[alone]
-        low, high = start.copy(), start + WINDOW
-        for i in range(1, ROUNDS + 1):
-            mine = level == i
-            low[mine], high[mine] = rounds[i].low[anchor[mine]], rounds[i].high[anchor[mine]]
         opens = np.append(True, (np.diff(level) != 0) | (np.diff(anchor) != 0) | (np.diff(start) != 1)) if len(start) else np.empty(0, bool)
         first = np.flatnonzero(opens)
         last = np.append(first[1:], len(start)) - 1 if len(first) else first
         self.start, self.size = start[first], start[last] - start[first] + 1
         self.owner = text[self.start] if n else self.start
-        self.anchor_key = mix(self.one(low[first], high[first]) + level[first].astype(np.uint64), 401)
+        self.local = self.start - t.begin[self.owner] if n else self.start
+        self.anchor_key = mix(t.one(low[first], high[first]) + level[first].astype(np.uint64), 401)
         shape = (self.start - low[first] + WINDOW).astype(np.uint64) * np.uint64(1 << 20) + self.size.astype(np.uint64)
-        self.group_key = mix(self.two(self.start, self.start + self.size - 1 + WINDOW) + shape * np.uint64(0xA24BAED4963EE407), 402)
-
-    def window_keys(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            return self.one(start, start + WINDOW), self.two(start, start + WINDOW)
+        self.group_key = mix(t.two(self.start, self.start + self.size - 1 + WINDOW) + shape * np.uint64(0xA24BAED4963EE407), 402)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -169,22 +194,21 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches, "text", PORTION):
-        p = Parsed(list(texts(batch.column("text"))))
-        columns = [batch.column(c).take(pa.array(p.owner)) for c in ("id", "hash")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array((p.start - p.begin[p.owner]).astype(np.int32)), pa.array(p.size.astype(np.int32)), _signed(p.anchor_key), _signed(p.group_key)], ["id", "hash", "start", "size", "k1", "k2"])
+        g = Groups(Texts([t.split() for t in texts(batch.column("text"))]))
+        columns = [batch.column(c).take(pa.array(g.owner)) for c in ("id", "hash")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(g.local.astype(np.int32)), pa.array(g.size.astype(np.int32)), _signed(g.anchor_key), _signed(g.group_key)], ["id", "hash", "start", "size", "k1", "k2"])
 
 
-def _cover(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Which of n words lie in the windows of spans (first start, starts)."""
+def _cover(n: int, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Which of n words lie in the windows that begin at start, start + 1, ... (size of them)."""
     edges = np.zeros(n + 1, dtype=np.int64)
-    for start, size in spans:
-        edges[start] += 1
-        edges[start + size - 1 + WINDOW] -= 1
+    np.add.at(edges, start, 1)
+    np.add.at(edges, start + size - 1 + WINDOW, -1)
     return np.cumsum(edges)[:n] > 0
 
 
 def _result(words: list[bytes], gone: np.ndarray) -> tuple[int, int, str, bytes]:
-    kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(words)
+    kept = b" ".join([words[i] for i in np.flatnonzero(~gone)]) if gone.any() else b" ".join(words)
     return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept
 
 
@@ -194,21 +218,30 @@ def _apply(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in portions(batches, "text", PORTION):
-            marks = batch.column("marks").to_pylist()
-            p = Parsed(list(texts(batch.column("text"))))
-            rows, starts_of = [], []
-            for i, (words, listed) in enumerate(zip(p.words, marks, strict=True)):
-                listed = listed or []
-                gone = _cover(len(words), [(m["start"], m["size"]) for m in listed if m["full"]])
-                starts = np.unique(np.concatenate([np.arange(m["start"], m["start"] + m["size"]) for m in listed if m["open"]] or [np.empty(0, np.int64)]))
-                starts_of.append(starts)
-                n, removed, digest, kept = _result(words, gone)
-                rows.append((n, removed, digest, kept.decode("utf-8", "replace") if with_text else None, pack(b" ".join(words)) if len(starts) else None, np.packbits(gone).tobytes() if len(starts) else None))
-            sizes = [len(s) for s in starts_of]
-            absolute = np.concatenate([s + p.begin[i] for i, s in enumerate(starts_of)] or [np.empty(0)]).astype(np.int64)
-            h1, h2 = p.window_keys(absolute) if len(absolute) else (np.empty(0, np.uint64),) * 2
-            local = np.concatenate(starts_of or [np.empty(0)]).astype(np.int32)
-            windows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(local), _signed(h1), _signed(h2)], ["start", "h1", "h2"]))
+            words = [t.split() for t in texts(batch.column("text"))]
+            marks = batch.column("marks")
+            if isinstance(marks, pa.ChunkedArray):
+                marks = marks.combine_chunks()
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
+            flat = marks.flatten()
+            start, size, full, is_open = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("start", "size", "full", "open"))
+            rows, open_starts = [], []
+            for i, split in enumerate(words):
+                mine = slice(ends[i - 1] if i else 0, ends[i])
+                whole, more = full[mine].astype(bool), is_open[mine].astype(bool)
+                gone = _cover(len(split), start[mine][whole], size[mine][whole])
+                starts = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(start[mine][more], size[mine][more], strict=True)])) if more.any() else np.empty(0, np.int64)
+                open_starts.append(starts)
+                n, removed, digest, kept = _result(split, gone)
+                rows.append((n, removed, digest, kept.decode("utf-8", "replace") if with_text else None, pack(b" ".join(split)) if len(starts) else None, np.packbits(gone).tobytes() if len(starts) else None))
+            sizes = np.array([len(x) for x in open_starts])
+            waiting = np.flatnonzero(sizes)
+            local = np.concatenate(open_starts).astype(np.int64)
+            h1 = h2 = np.empty(0, np.uint64)
+            if len(waiting):
+                t = Texts([words[i] for i in waiting])
+                h1, h2 = t.window_keys(local + np.repeat(t.begin, sizes[waiting]))
+            windows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(local.astype(np.int32)), _signed(h1), _signed(h2)], ["start", "h1", "h2"]))
             n, removed, digest, kept, blob, bits = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept, pa.string()), pa.array(blob, pa.binary()), pa.array(bits, pa.binary()), windows],
@@ -226,7 +259,7 @@ def _finish(with_text: bool):
             for blob, bits, starts in zip(*(batch.column(c).to_pylist() for c in ("blob", "gone", "starts")), strict=True):
                 words = unpack(blob).split()
                 gone = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(words)).astype(bool)
-                rows.append(_result(words, gone | _cover(len(words), [(s, 1) for s in starts or []])))
+                rows.append(_result(words, gone | _cover(len(words), np.array(starts or [], dtype=np.int64), 1)))
             n, removed, digest, kept = zip(*rows, strict=True)
             kept = [k.decode("utf-8", "replace") if with_text else None for k in kept]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
