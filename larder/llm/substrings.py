@@ -280,6 +280,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", with_text: bool = Tru
     base = base.select("id", F.xxhash64("id", "text", F.col("id").isNull()).alias("hash"), "text")  # with it a null id can be joined
     groups = base.mapInArrow(_groups, f"id {kind}, hash long, start int, size int, k1 long, k2 long")
     groups = groups.select("hash", "start", "size", "k1", "k2", *([F.col("id")] if kind not in ("bigint", "int") else [F.coalesce("id", F.lit(0)).alias("id")]))
+    groups = spill(groups)  # read twice, and texts are parsed once
     repeated = spill(groups.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
     rows = spill(groups.join(repeated, "k1", "left_semi"))
     equal = spill(rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("id", "hash", "start")).alias("one")))
