@@ -10,7 +10,7 @@ from .pii import op8_pii
 from .quality_model import op6_quality
 from .quality_rules import op7_quality_rules
 from .simhash import op10_simhash
-from .substrings import op1_substring_dedup
+from .substrings import OP1_SQL, op1_substring_dedup
 from .url_filter import op2_url_filter
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op9_chat": OP9_SQL}

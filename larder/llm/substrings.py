@@ -305,3 +305,23 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", with_text: bool = Tru
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP1_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM docs)
+), repeated AS (
+  SELECT s FROM windows GROUP BY s HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS pos FROM windows JOIN repeated USING (s) CROSS JOIN (SELECT unnest(range(0, 35)) AS k)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM docs
+), kept AS (
+  SELECT w.doc_id, count(*) AS n_words, count(g.pos) AS n_removed, string_agg(CASE WHEN g.pos IS NULL THEN word END, ' ' ORDER BY w.pos) AS body
+  FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
