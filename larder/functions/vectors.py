@@ -18,9 +18,9 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """0 where a vector isn't finite or its norm is under 1e-10."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    value = dot(a, b) / norms
+    value = F.try_divide(dot(a, b), norms)
     good = (F.sqrt(dot(a, a)) >= 1e-10) & (F.sqrt(dot(b, b)) >= 1e-10)
-    return F.when(good & ~F.isnan(value) & (F.abs(value) <= 2), value).otherwise(F.lit(0.0))
+    return F.when(good & value.isNotNull() & ~F.isnan(value) & (F.abs(value) <= 2), value).otherwise(F.lit(0.0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

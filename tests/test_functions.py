@@ -118,7 +118,8 @@ def test_chunkers_lose_nothing_between():
 
 def test_recursive_tail_indices_skip():
     found = [i for i, _, _ in K.recursive("\n\n".join(["x" * 480, " ".join(["word"] * 300)]))]
-    assert found[0] == 0 and found[1] == 1 and all(b - a == 2 for a, b in zip(found[1:], found[2:], strict=False))
+    steps = {b - a for a, b in zip(found[1:], found[2:], strict=False)}
+    assert found[:2] == [0, 1] and len(steps) == 1 and min(steps) == 8  # one more for each of seven finer separators
 
 
 def test_semantic_keeps_abbreviations():
@@ -151,7 +152,7 @@ def test_headline(spark, text, head):
 def test_atomic_facts(spark):
     text = "A cache is a store that keeps answers for later use. However, this one is filler and is left out. Data must be kept for 30 days by Acme Corp. Is this a question that is long enough? Short one."
     got = rules.atomic_facts(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").orderBy("position").collect()
-    assert [(r["category"], r["entity"], r["quality"]) for r in got] == [("definition", "A", 0.9 - 0.0)] + [("rule", "Data", 0.9)] or [r["category"] for r in got] == ["definition", "rule"]
+    assert [(r["category"], r["entity"], r["quality"]) for r in got] == [("definition", "", 0.8), ("rule", "Data", 0.7)]
 
 
 def test_output_filter(spark):
