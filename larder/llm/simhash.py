@@ -17,6 +17,7 @@ many rows for each fingerprint however large the bucket, and no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -314,9 +315,14 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the first row of docs stays.
 
-    Shingles of five words; a similarity of 0.8 or more of 128 bits, and eight differing bits at most in the 64 that
-    candidates are probed by. docs is a written table, so that a row has the same number in both scans of it.
+    Shingles of five words. Rows are linked that have a Jaccard similarity of 0.8 or more, all of them, and those that
+    a 128-bit similarity of 0.8 or more links with eight differing bits at most in the first 64. docs is a written
+    table, so that a row has the same number in all scans of it.
     """
+    from .jaccard import joined  # which needs the shingles of this module
+
     numbered = docs.withColumn("larder_row", F.monotonically_increasing_id())
-    first = near_duplicates(numbered, width=5, k=8, key="larder_row", wide=25).where("larder_row = component_id").select("larder_row")
+    near = spill(near_duplicates(numbered, width=5, k=8, key="larder_row", wide=25).select(F.col("larder_row").alias("row"), F.col("component_id").alias("root")))
+    rows = numbered.select(F.col("larder_row").alias("row"), F.col("text").cast("string").alias("text"))
+    first = joined(rows, near, 5, Fraction(4, 5)).where("row = root").select(F.col("row").alias("larder_row"))
     return numbered.join(spill(first), "larder_row", "left_semi").select(*docs.columns)
