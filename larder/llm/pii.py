@@ -25,8 +25,18 @@ BASE = {
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Candidates: runs of eight or more letters and digits, not all letters; with up to three words and signs to the left.
-VALUE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{8,}+"
+#: Candidates: what is assigned or labelled, to the closing quote or white space; groups of up to four letters and digits
+#: with spaces between, three or more that hold a digit; and runs of eight or more letters and digits, joined by `-`, `_`
+#: or `.` or not, that hold a digit. With up to three words and signs to the left.
+GROUP = r"(?=[A-Za-z]*+[0-9])[A-Za-z0-9]"
+VALUE = "|".join(
+    [
+        r"(?<=[A-Za-z0-9_][\"'`]?[ \t]{0,2}[=:][ \t]{0,2}[\"'`])[^\s\"'`](?:[^\"'`\n]{2,126}[^\s\"'`])(?=[\"'`])",
+        rf"(?<![A-Za-z0-9]){GROUP}{{2,4}}+(?: {GROUP}{{2,4}}+){{2,10}}+(?![A-Za-z0-9])",
+        r"(?<=[A-Za-z0-9_][\"'`]?[ \t]{0,2}[=:][ \t]{0,2})[^\s\"'`=:/][^\s\"'`]{2,254}[^\s\"'`,.;:!?)\]}>]",
+        r"(?<![A-Za-z0-9])(?=[A-Za-z._-]*+[0-9])(?=[A-Za-z0-9._-]{8})[A-Za-z0-9]++(?:[-_.][A-Za-z0-9]++)*+",
+    ]
+)
 #: Words that take a secret as their value, and forms of keys.
 SEED_WORDS = ["password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "access_key", "auth", "bearer", "ssn", "iban"]
 SEED_FORM = r"^(AKIA|ASIA)[A-Z0-9]{16}$"
@@ -91,30 +101,38 @@ def _kept(text: Column, kind: str, pattern: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of (start, end, value, lexical, shape): runs that may be identifiers, and the patterns that extract them."""
-    kind_of = "array<struct<start:bigint,end:bigint,value:string,lexical:string,shape:string>>"
+    """Array of (start, end, value, lexical, words, shape): what may be identifiers, and the patterns that extract them.
+
+    lexical: the word to the left and its sign; words: two or three of them, or empty. A value without a digit has no
+    shape, as words have it too.
+    """
+    kind_of = "array<struct<start:bigint,end:bigint,value:string,lexical:string,words:string,shape:string>>"
 
     def described(m: Column) -> Column:
         value = m["value"]
         left = F.substring(text, F.greatest(m["start"] - 39, F.lit(1)).cast("int"), F.least(m["start"], F.lit(40)).cast("int"))
-        lexical = F.lower(F.regexp_extract(left, r"([A-Za-z_]{2,24})\s*([=:]?)[\s\"'`(\[<]*$", 0))
+        lexical = F.lower(F.regexp_extract(left, r"([A-Za-z_]{2,24})[\"'`]?\s*([=:]?)[\s\"'`(\[<]*$", 0))
         lexical = F.regexp_replace(lexical, r"[\s\"'`(\[<]+", "")
+        words = F.lower(F.regexp_extract(left, r"((?:[A-Za-z_]{2,24}\s+){1,2}[A-Za-z_]{2,24}[\"'`]?\s*[=:]?)[\s\"'`(\[<]*$", 1))
+        words = F.regexp_replace(F.regexp_replace(words, r"[\"'`]+", ""), r"\s+", " ")
         letters = F.regexp_extract(value, "^[A-Z]{2,4}", 0)
         kinds = F.when(value.rlike("^[0-9]+$"), "9").when(value.rlike("^[0-9a-f]+$"), "x").when(value.rlike("^[A-Z0-9]+$"), F.concat(F.lit("U"), letters)).when(value.rlike("^[a-z0-9]+$"), "l").otherwise("a")
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), lexical.alias("lexical"), F.concat(kinds, F.length(value).cast("string")).alias("shape"))
+        mask = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Z]", "U"), "[a-z]", "l")
+        shape = F.when(~value.rlike("[0-9]"), "").when(value.rlike("[^A-Za-z0-9]"), mask).otherwise(F.concat(kinds, F.length(value).cast("string")))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), lexical.alias("lexical"), words.alias("words"), shape.alias("shape"))
 
     found = F.transform(placed(text, VALUE), described)
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast(kind_of))
+    return F.when(text.rlike("[0-9=:]"), found).otherwise(F.array().cast(kind_of))
 
 
 def confident(instances: DataFrame) -> DataFrame:
-    """(value) of the instances of (value, lexical, shape, seed) that patterns of high confidence extract.
+    """(value) of the instances of (value, lexical, words, shape, seed) that patterns of high confidence extract.
 
     A round scores each pattern by the mean score of its distinct instances, and gives each instance the best score of
     a pattern with support. Both tables shrink to distinct rows before any shuffle back; a round's scores are written.
     """
-    edges = instances.select("value", "seed", F.explode(F.array(F.concat(F.lit("L:"), "lexical"), F.concat(F.lit("S:"), "shape"))).alias("pattern"))
-    edges = spill(edges.where("pattern not in ('L:', 'S:')").groupBy("value", "pattern").agg(F.max("seed").cast("double").alias("seed")))
+    edges = instances.select("value", "seed", F.explode(F.array(F.concat(F.lit("L:"), "lexical"), F.concat(F.lit("W:"), "words"), F.concat(F.lit("S:"), "shape"))).alias("pattern"))
+    edges = spill(edges.where("pattern not in ('L:', 'W:', 'S:')").groupBy("value", "pattern").agg(F.max("seed").cast("double").alias("seed")))
     scores = spill(edges.groupBy("value").agg(F.max("seed").alias("score")))
     for _ in range(ROUNDS):
         scored = edges.join(scores, "value")
@@ -137,11 +155,14 @@ def find(docs: DataFrame, columns: list[str]) -> DataFrame:
     free = F.filter("near", lambda n: ~F.exists("base", lambda b: (b["start"] < n["end"]) & (n["start"] < b["end"])))
     seen = rows.where(F.size("near") > 0)
     value = F.col("n.value")
-    seeds = F.col("n.lexical").rlike(f"(?:{'|'.join(SEED_WORDS)})[=:]$") | value.rlike(SEED_FORM) | F.exists("base", lambda b: (b["start"] < F.col("n.end")) & (F.col("n.start") < b["end"]))
-    instances = seen.select("base", F.explode("near").alias("n")).select(F.xxhash64(value).alias("value"), "n.lexical", "n.shape", seeds.alias("seed"))
-    instances = instances.groupBy("value", "lexical", "shape").agg(F.max("seed").alias("seed"))
+    # A word without a digit is the same value only after the same word.
+    name = F.when(value.rlike("[0-9]"), F.xxhash64(value)).otherwise(F.xxhash64(value, "n.lexical"))
+    within = value.rlike("^[A-Za-z0-9]+$")  # a longer value is no seed because of a part of it that a base span shares
+    seeds = F.col("n.lexical").rlike(f"(?:{'|'.join(SEED_WORDS)})[=:]$") | value.rlike(SEED_FORM) | F.exists("base", lambda b: ((b["start"] < F.col("n.end")) & (F.col("n.start") < b["end"]) & within) | ((b["start"] >= F.col("n.start")) & (b["end"] <= F.col("n.end"))))
+    instances = seen.select("base", F.explode("near").alias("n")).select(name.alias("value"), "n.lexical", "n.words", "n.shape", seeds.alias("seed"))
+    instances = instances.groupBy("value", "lexical", "words", "shape").agg(F.max("seed").alias("seed"))
     accepted = spill(confident(instances))
-    open_spans = seen.select("rid", F.explode(free).alias("n")).select("rid", "n.start", "n.end", F.xxhash64("n.value").alias("value"))
+    open_spans = seen.select("rid", F.explode(free).alias("n")).select("rid", "n.start", "n.end", name.alias("value"))
     added = open_spans.join(accepted, "value").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(F.lit("secret").alias("kind"), "start", "end"))).alias("added"))
     plain = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")

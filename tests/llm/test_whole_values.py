@@ -1,0 +1,29 @@
+"""Personal data of any form in a labelled context."""
+
+from pyspark.sql import functions as F
+
+from larder.llm import pii
+
+
+def test_labelled_and_grouped_values(spark):
+    texts = [
+        "write ssn: 123-45-6789 here",
+        "pay to iban: DE89 3704 0044 0532 0130 00 today",
+        "my password: hunter!x and more",
+        'set password = "correct horse, battery" now',
+        '{"passwd": "a,b;c"}',
+        "use token=sk-abc-DEF12345678, then go",
+        "secret=3f2a9c1e-77aa-4b1c-9d0e-1234567890ab end",
+        "note: nothing to see on 2024-01-02 at 10:30, version 1.2.3-beta",
+    ]
+    values = [["123-45-6789"], ["DE89 3704 0044 0532 0130 00"], ["hunter!x"], ["correct horse, battery"], ["a,b;c"], ["sk-abc-DEF12345678"], ["3f2a9c1e-77aa-4b1c-9d0e-1234567890ab"], []]
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id", "text"]).select("row.doc_id", "row.text", "spans")
+    got = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"]] for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == values
+
+
+def test_patterns_of_three_words(spark):
+    keys = [f"{i}k{i}z{i}q{i}w{i}" for i in range(10, 18)]
+    rows = [f"my access token={k} x" for k in keys[:4]] + [f"the badge id of {k} x" for k in keys[:4]] + [f"the badge id of {keys[6]}zz x", f"a sort of {keys[7]}yyy x", "made of 12ab34cd56ef7 x", "full of 99ab34cd56ef7yy x"]
+    found = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), ["doc_id"]).where(F.size("spans") > 0).select("row.doc_id").collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(9))
