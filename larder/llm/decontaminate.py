@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders; windows of the templates are hash-joined, documents against benchmark
 items. The benchmark's windows are the build side, in slices of a bounded number, so that any benchmark fits; documents
 are streamed against each slice and are never shuffled. Windows on one diagonal of a document and an item are then compared
-token by token: literal tokens must be equal, and what fills a slot must be a consistent renaming, so that a question with
-other numbers or names is caught, and a chance meeting of placeholders is not.
+token by token: literal tokens must be equal, and what fills the slots of a window must be a consistent renaming, so that a
+question with other numbers or names is caught, and a chance meeting of placeholders is not. Names must be renamed alike on
+all of a diagonal, unless two separate windows of it are verbatim.
 """
 
 from __future__ import annotations
@@ -152,17 +153,34 @@ class Slice:
         out: dict[int, list[tuple]] = defaultdict(list)
         for (doc, number, shift), windows in met.items():
             item_value, item_kind, item_token = template(self.maker.codes(self.words[number]), np.array([0]))
-            places = sorted({p for position, size in windows for p in range(position, position + size)})
-            pairs = []
-            for p in places:
+            pairs = {}
+            for p in sorted({p for position, size in windows for p in range(position, position + size)}):
                 ours, theirs = self.words[number][item_token[p]].strip(EDGES).lower(), flat[token[p + shift]].strip(EDGES).lower()
-                pairs.append((int(item_kind[p]), ours, theirs))
-            if consistent(pairs):
+                pairs[p] = (int(item_kind[p]), ours, theirs)
+            if not consistent(list(pairs.values())):
+                windows = _kept_windows(windows, pairs)
+            if windows:
+                places = sorted({p for position, size in windows for p in range(position, position + size)})
                 begin = int(token[places[0] + shift] - first[doc])
-                out[doc].append((number, begin, int(token[places[-1] + shift] - first[doc]), len(windows), all(a == b for _, a, b in pairs)))
+                out[doc].append((number, begin, int(token[places[-1] + shift] - first[doc]), len(windows), all(pairs[p][1] == pairs[p][2] for p in places)))
         return out
 
 
+def _kept_windows(windows: list[tuple[int, int]], pairs: dict[int, tuple[int, bytes, bytes]]) -> list[tuple[int, int]]:
+    """Of the windows (position, size) of a diagonal without one renaming, those that count.
+
+    Numbers and units may be renamed otherwise in each window, as equal ones may be so by chance. Names may not; where
+    they are, verbatim windows still count if two of them have no token in common.
+    """
+    of = lambda w: [pairs[p] for p in range(w[0], w[0] + w[1])]
+    kept = [w for w in windows if consistent(of(w))]
+    places = sorted({p for position, size in kept for p in range(position, position + size)})
+    if consistent([pairs[p] for p in places if pairs[p][0] == NAME]):
+        return kept
+    verbatim = sorted(w for w in kept if all(a == b for _, a, b in of(w)))
+    return verbatim if verbatim and verbatim[0][0] + verbatim[0][1] <= verbatim[-1][0] else []
+
+
 def consistent(pairs: list[tuple[int, bytes, bytes]]) -> bool:
     """Whether literals are equal, and each slot value has one counterpart of its type, names one in either direction."""
     to: dict[tuple, bytes] = {}
