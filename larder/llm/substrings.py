@@ -272,14 +272,16 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", with_text: bool = Tru
 
     Null and empty texts have no words; texts of under 35 words lose none. Repeated rows are documents of their own: each
     is a copy of the other. A null key is carried along. Extra columns don't matter. An empty table gives none. Kept words
-    are joined by one space; bytes that aren't UTF-8 don't occur in Spark strings.
+    are joined by one space; bytes that aren't UTF-8 don't occur in Spark strings. A very long text is worked through
+    whole, in one task that holds its words' hashes and symbols (some 200 bytes a word). Runs jobs while it is built.
     """
     kind = docs.schema[key].dataType.simpleString()
     on: list[str] = ["id", "hash"]
+    same = F.coalesce("id", F.lit(0)) if kind in ("bigint", "int") else F.coalesce(F.col("id").cast("string"), F.lit(""))  # the hash tells nulls from these
     base = docs.select(F.col(key).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.select("id", F.xxhash64("id", "text", F.col("id").isNull()).alias("hash"), "text")  # with it a null id can be joined
     groups = base.mapInArrow(_groups, f"id {kind}, hash long, start int, size int, k1 long, k2 long")
-    groups = groups.select("hash", "start", "size", "k1", "k2", *([F.col("id")] if kind not in ("bigint", "int") else [F.coalesce("id", F.lit(0)).alias("id")]))
+    groups = groups.select("hash", "start", "size", "k1", "k2", same.alias("id"))
     groups = spill(groups)  # read twice, and texts are parsed once
     repeated = spill(groups.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
     rows = spill(groups.join(repeated, "k1", "left_semi"))
@@ -288,8 +290,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", with_text: bool = Tru
     judged = spill(equal.join(kinds, "k1").where("n > 1 or kinds > 1"))
     here: Column = F.struct("id", "hash", "start")
     marks = rows.join(judged, ["k1", "k2"]).select(*on, F.struct("start", "size", (F.col("n") > 1).alias("full"), ((F.col("kinds") > 1) & (F.col("one") == here)).alias("open")).alias("mark"))
-    marks = marks.where("mark.full or mark.open").groupBy(*on).agg(F.collect_list("mark").alias("marks")).withColumnRenamed("id", "same")
-    same = F.coalesce("id", F.lit(0)) if kind in ("bigint", "int") else F.col("id")
+    # Equal rows share their marks: as a set these are as many as one text has, however often it is repeated.
+    marks = marks.where("mark.full or mark.open").groupBy(*on).agg(F.collect_set("mark").alias("marks")).withColumnRenamed("id", "same")
     marked = base.withColumn("same", same).join(marks, ["same", "hash"], "left").select("id", "hash", "text", "marks")
     part = "id {0}, {1}n_words long, n_removed long, kept_sha256 string, kept string"
     window = "array<struct<start:int,h1:bigint,h2:bigint>>"

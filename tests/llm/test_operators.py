@@ -53,6 +53,16 @@ def test_repeats(docs, corpus, nothing):
     assert substrings.dedup_substrings(nothing).collect() == []
 
 
+@pytest.mark.parametrize("key", ["cast(7 as long)", "cast(null as string)"])
+def test_repeats_of_equal_rows(spark, key):
+    """Many rows of one key and one text, and a text that shares a passage with them."""
+    text = prose(150, 31)
+    more = prose(50, 32) + " " + " ".join(text.split()[60:120])
+    rows = spark.range(20_000, numPartitions=8).select(F.expr(key).alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.range(1).select(F.expr(key).alias("doc_id"), F.lit(more).alias("text")))
+    got = substrings.dedup_substrings(rows, with_text=False).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in got) == [(110, 60, 1), (150, 150, 20_000)]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repeats_of_few_words(spark, seed):
     """Runs and periods of all kinds: from a vocabulary of two words almost everything recurs."""
