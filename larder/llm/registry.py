@@ -11,7 +11,7 @@ from .quality_model import op6_quality
 from .quality_rules import op7_quality_rules
 from .simhash import op10_simhash
 from .substrings import OP1_SQL, op1_substring_dedup
-from .url_filter import op2_url_filter
+from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op9_chat": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_chat": OP9_SQL}
