@@ -1,9 +1,11 @@
 """Main text of HTML pages by two passes over blocks.
 
-The first pass decides each block from stop-word density, length and link density, and from what the page says of itself:
-blocks inside navigation, headers, footers, asides, forms, notices, adverts or comments are dropped before, and where a
-page marks its article, what stands in it is text and what stands outside isn't. In the second pass blocks too short to tell
-take the label of their nearest decided neighbours.
+Elements that never hold the article (navigation, headers, footers, asides, forms, scripts) are left out while a page is read, and
+so are containers that their class or id names as adverts, notices, comments and the like, unless most of the text, or
+of the marked article, is in them. The first pass decides each block from stop-word density, length and link density. That
+a page marks its article is one more sign, if the marked part holds no less good text than the rest: then a block in it is
+bad for its links only, and one outside is bad. In the second pass ambiguous blocks take the label of their nearest
+decided neighbours; the edge of a marked article counts as good, that of a page as bad.
 """
 
 from __future__ import annotations
@@ -45,8 +47,14 @@ STOP_WORDS = frozenset(w for listed in COMMON_WORDS.values() for w in listed) |
     "dans pour qui par au ne se pas plus sur ce avec il sont ou sa son aux cette mais nous ses elle leur était y a été être tout comme "
     "por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son".split()
 )
-#: The thresholds of the block rules, as published for them.
-SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.30, 0.32, 0.2
+#: Thresholds of the block rules. Lengths and links are the published ones (fixed values); the densities are lower, as they are published for
+#: lists of several hundred stop words a language, and STOP_WORDS holds some fifty.
+SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.15, 0.20, 0.2
+#: The share of linked text from which a block within the marked article is a menu.
+MENU = 0.8
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements whose end tag may be missing: one ends where the next begins.
+UNCLOSED = {"p", "li", "td", "th", "tr", "dt", "dd", "option"}
 
 
 @dataclass
@@ -55,15 +63,44 @@ class Block:
     linked: int = 0
     heading: bool = False
     article: bool = False
+    doubt: int = -1
     kind: str = ""
     text: str = ""
 
 
 @dataclass
 class Open:
+    """An open element; doubt: the innermost doubtful container; block: the place of the innermost block element."""
+
     tag: str
     dropped: bool
     article: bool
+    doubt: int
+    block: int
+
+
+class Stack:
+    """Open elements, and for each tag the places where it is open, so that an end tag costs no search."""
+
+    def __init__(self):
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, o: Open) -> None:
+        self.places.setdefault(o.tag, []).append(len(self.open))
+        self.open.append(o)
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.places[self.open.pop().tag].pop()
+
+    def last(self, tag: str) -> int | None:
+        found = self.places.get(tag)
+        return found[-1] if found else None
+
+    @property
+    def top(self) -> Open:
+        return self.open[-1] if self.open else Open("", False, False, -1, -1)
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -75,27 +112,33 @@ def is_dropped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
+    return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
+
+
+def is_doubtful(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether the names of an element say that it isn't the article."""
+    if not attrs or tag in ("html", "body", "main"):
+        return False
     names = re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", f"{attrs.get('class', '')} {attrs.get('id', '')}")
     return any(n.lower() in MARKS for n in names)
 
 
-def blocks(source: str) -> tuple[list[Block], bool]:
-    """The blocks of a page that aren't dropped, in order, and whether the page marks its article."""
+def blocks(source: str) -> list[Block]:
+    """The blocks of a page in order, without those of elements that never hold the article and of doubtful containers."""
     found: list[Block] = []
-    stack: list[Open] = []
-    now, marked, links, at = Block(), False, 0, 0
+    stack, doubts = Stack(), []  # doubts: of each doubtful container the one around it
+    now, links, at = Block(), 0, 0
 
-    def close() -> None:
+    def close(heading: bool = False) -> None:
         nonlocal now
         now.text = " ".join("".join(now.parts).split())
         if now.text:
             found.append(now)
-        now = Block(article=bool(stack and stack[-1].article), heading=any(o.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for o in stack[-3:]))
+        top = stack.top
+        now = Block(article=top.article, doubt=top.doubt, heading=heading or any(o.tag in HEADINGS for o in stack.open[-3:]))
 
     def add(raw: str) -> None:
-        if raw and not (stack and stack[-1].dropped):
+        if raw and not stack.top.dropped:
             text = html.unescape(raw)
             now.parts.append(text)
             if links:
@@ -110,20 +153,18 @@ def blocks(source: str) -> tuple[list[Block], bool]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if depth is not None:
-                if tag in BLOCK or any(o.tag in BLOCK for o in stack[depth:]):
-                    if tag not in BLOCK:
-                        continue  # an inline end tag doesn't close blocks
-                    popped = stack[depth].dropped
-                    if not popped:
-                        close()
-                    else:
-                        now = Block()
-                    del stack[depth:]
-                    close()
+            depth = stack.last(tag)
+            if depth is None:
+                continue
+            if tag in BLOCK:
+                if stack.open[depth].dropped:
+                    now = Block()
                 else:
-                    del stack[depth:]
+                    close()
+                stack.cut(depth)
+                close()
+            elif stack.top.block < depth:  # an inline end tag doesn't close blocks
+                stack.cut(depth)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
@@ -138,83 +179,111 @@ def blocks(source: str) -> tuple[list[Block], bool]:
             continue
         if tag == "a":
             links += 1
-        in_article = bool(stack and stack[-1].article)
         if tag in BLOCK:
             close()
-            links = links if tag == "a" else 0
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # an unclosed one ends where the next begins
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in BLOCK and not (tag == "tr" and stack[i].tag in ("td", "th")):
-                        break
-            if tag in ("article", "main"):
-                while stack and any(o.tag == "nav" for o in stack):
-                    stack.pop()
+            links = 0
+            if tag in UNCLOSED:
+                i = stack.top.block
+                while tag == "tr" and i >= 0 and stack.open[i].tag in ("td", "th"):
+                    i = stack.open[i - 1].block if i else -1
+                if i >= 0 and stack.open[i].tag == tag:
+                    stack.cut(i)
+            if tag in ("article", "main") and stack.last("nav") is not None:
+                stack.cut(stack.places["nav"][0])
         attrs = attributes(m[3]) if m[3] else {}
-        outer = stack[-1] if stack else Open("", False, False)
+        outer = stack.top
         says = tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop", "").lower() == "articlebody" or bool(ARTICLE_MARKS & set(attrs.get("class", "").lower().split()))
-        dropped = outer.dropped or is_dropped(tag, attrs, in_article)
-        stack.append(Open(tag, dropped, (outer.article or says) and not dropped))
-        marked |= says and not dropped
+        dropped = outer.dropped or is_dropped(tag, attrs, outer.article)
+        doubt = outer.doubt
+        if not dropped and is_doubtful(tag, attrs):
+            doubts.append(doubt)
+            doubt = len(doubts) - 1
+        depth = len(stack.open)
+        stack.push(Open(tag, dropped, (outer.article or says) and not dropped, doubt, depth if tag in BLOCK else outer.block))
         if tag in BLOCK:
-            now = Block(article=stack[-1].article, heading=tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+            now = Block(article=stack.top.article, doubt=doubt, heading=tag in HEADINGS)
+        elif doubt != outer.doubt:  # the text before an inline container isn't in it
+            close()
     add(source[at:])
     close()
-    return found, marked
+    return _without_doubtful(found, doubts)
+
+
+def _without_doubtful(found: list[Block], doubts: list[int]) -> list[Block]:
+    """Blocks that are in no doubtful container, but for those that hold over half of the marked text, or of all if none is marked."""
+    if not doubts:
+        return found
+    counted = [b.article for b in found] if any(b.article for b in found) else [True] * len(found)
+    held = [0] * len(doubts)
+    for b, counts in zip(found, counted, strict=True):
+        if counts and b.doubt >= 0:
+            held[b.doubt] += len(b.text)
+    for i in range(len(doubts) - 1, -1, -1):
+        if doubts[i] >= 0:
+            held[doubts[i]] += held[i]
+    total = sum(len(b.text) for b, counts in zip(found, counted, strict=True) if counts)
+    dropped = [False] * len(doubts)
+    for i, outer in enumerate(doubts):
+        dropped[i] = 2 * held[i] <= total or outer >= 0 and dropped[outer]
+    return [b for b in found if b.doubt < 0 or not dropped[b.doubt]]
+
+
+def first_pass(b: Block) -> str:
+    """good, near (good), short or bad, from the block alone."""
+    length, words = len(b.text), b.text.lower().split()
+    if b.linked / max(1, length) > LINKS or "\xa9" in b.text or "&copy" in b.text:
+        return "bad"
+    if length < SHORT:
+        return "bad" if b.linked else "short"
+    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
+    if stops >= HIGH:
+        return "good" if length > LONG else "near"
+    return "near" if stops >= LOW else "bad"
 
 
-def classify(found: list[Block], marked: bool) -> list[Block]:
+def classify(found: list[Block]) -> list[Block]:
     """The blocks of the main text."""
     for b in found:
-        length = len(b.text)
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
-        if marked:
-            b.kind = "good" if b.article else "bad"
-        elif b.linked / max(1, length) > LINKS or "\xa9" in b.text or "&copy" in b.text:
-            b.kind = "bad"
-        elif length < SHORT:
-            b.kind = "bad" if b.linked else "short"
-        elif stops >= HIGH:
-            b.kind = "good" if length > LONG else "near"
-        else:
-            b.kind = "near" if stops >= LOW else "bad"
-    decided = [i for i, b in enumerate(found) if b.kind in ("good", "bad")]
-    kinds = [b.kind for b in found]
-
-    def beside(i: int, step: int) -> str:
-        """The nearest decided kind on one side; a near-good block counts as one that is good."""
-        j = i + step
-        while 0 <= j < len(found):
-            if kinds[j] in ("good", "bad", "near"):
-                return "good" if kinds[j] == "near" else kinds[j]
-            j += step
-        return "bad"
-
-    if decided or found:
-        for i, b in enumerate(found):
-            if b.kind in ("short", "near"):
-                left, right = beside(i, -1), beside(i, 1)
-                if b.heading:
-                    b.kind = right
-                elif b.kind == "near":
-                    b.kind = "bad" if left == right == "bad" else "good"
-                else:
-                    b.kind = "good" if left == right == "good" else "bad"
+        b.kind = first_pass(b)
+    text = {inside: sum(len(b.text) for b in found if b.article == inside and b.kind in ("good", "near")) for inside in (True, False)}
+    marked = any(b.article for b in found) and text[True] >= text[False]
+    if marked:
+        for b in found:
+            if not b.article:
+                b.kind = "bad"
+            elif b.kind == "bad":
+                b.kind = "bad" if b.linked > MENU * len(b.text) else "near"
+    beside = [["", ""] for _ in found]  # the nearest decided kind on each side; a near-good block counts as one that is good
+    for side, order in ((0, range(len(found))), (1, range(len(found) - 1, -1, -1))):
+        kind, was_inside = "bad", False
+        for i in order:
+            if marked and found[i].article != was_inside:
+                was_inside = found[i].article
+                kind = "good" if was_inside else "bad"
+            beside[i][side] = kind
+            if found[i].kind != "short":
+                kind = "bad" if found[i].kind == "bad" else "good"
+    for b, (left, right) in zip(found, beside, strict=True):
+        if b.kind in ("short", "near"):
+            if b.heading:
+                b.kind = right
+            elif b.kind == "near" or marked:
+                b.kind = "bad" if left == right == "bad" else "good"
+            else:
+                b.kind = "good" if left == right == "good" else "bad"
     return [b for b in found if b.kind == "good"]
 
 
 def main_text(source: str) -> str:
-    return "\n".join(b.text for b in classify(*blocks(source)))
+    return "\n".join(b.text for b in classify(blocks(source)))
 
 
 def extract(pages: DataFrame, key: str = "page_id", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(key, keep..., text, n_chars) of every row of pages(html): the main text, its blocks joined by line feeds.
 
     A null or empty html gives an empty text. The kept columns are carried along, null or not. Repeated rows stay. An empty
-    table gives none. Pages are worked through one at a time, whole, in parallel; nothing is shuffled.
+    table gives none. Pages are worked through one at a time, whole, in parallel; nothing is shuffled. The time a page
+    takes grows with its length, however its elements are nested.
     """
     carried = [key, *keep]
     kinds = {c: pages.schema[c].dataType.simpleString() for c in carried}
