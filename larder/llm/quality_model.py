@@ -94,35 +94,52 @@ class Model:
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        near = self.project(counts) @ self.vectors.T
+        """The share of label 1 among the nearest, weighted by similarity; of equally near ones the first of the sample count.
+
+        Cosines count to a millionth, so that the order in which they are summed doesn't. A text without terms has no
+        direction: it gets the share among all labels.
+        """
+        near = np.rint((self.project(counts) @ self.vectors.T) * 1e6).astype(np.int64)
         k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(near, -k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(near, best, axis=1), 0.0).astype(np.float64) ** POWER + 1e-9
-        return (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
+        ranked = near * len(self.labels) - np.arange(len(self.labels))
+        best = np.sort(np.argpartition(ranked, -k, axis=1)[:, -k:], axis=1)
+        weight = np.maximum(np.take_along_axis(near, best, axis=1) / 1e6, 0.0) ** POWER + 1e-9
+        voted = (weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1)
+        return np.where(counts.any(axis=1), voted, self.labels.mean(dtype=np.float64))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Term counts and labels of at most `size` labelled documents: a few MB for the driver, whatever the corpus."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    """Term counts and labels of at most `size` labelled documents, in order of a hash of the id: a few MB for the driver.
+
+    A document labelled both ways counts as 1. Of rows of one id the least text counts. Null ids and labels, and labels
+    of documents that aren't there, don't. Without any label there is one row without terms, labelled 1.
+    """
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in portions(batches, "text", 4 << 20):
             rows = [terms.counts(t) for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], ["y", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("y"), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], ["at", "y", "counts"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `size` ids
-    found = rows.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "y int, counts binary").limit(2 * size).toArrow()
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `size` ids
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    rows = rows.select(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("id")).alias("at"), "y", "text")
+    found = rows.mapInArrow(run, "at struct<h:long,id:string>, y int, counts binary").toArrow()
     if not found.num_rows:
         return np.zeros((1, TERMS), dtype=np.float32), np.array([1])
-    return np.array([np.frombuffer(x, dtype="<f4") for x in found.column("counts").to_pylist()]), np.array(found.column("y").to_pylist())
+    at, y, counts = (found.column(c).to_pylist() for c in ("at", "y", "counts"))
+    order = sorted(range(len(at)), key=lambda i: (at[i]["h"], at[i]["id"]))
+    return np.array([np.frombuffer(counts[i], dtype="<f4") for i in order]), np.array([y[i] for i in order])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row: the weighted share of label 1 among the nearest labelled documents, 0 to 1.
 
-    Null and empty texts have no terms: every labelled document is as near, and some of them vote. Repeated rows score alike.
+    Null and empty texts have no terms and get the share of label 1 in the sample. Repeated rows score alike, as do texts
+    of any length (shares of terms count). An empty table gives none. A null key is carried along; other columns, whatever
+    their names, are dropped. Ties are stated at `Model.scores`, conflicting labels at `sample`.
     """
     kind = docs.schema[key].dataType.simpleString()
 
