@@ -5,12 +5,14 @@ items. The benchmark's windows are the build side, in slices of a bounded number
 are streamed against each slice and are never shuffled. Windows on one diagonal of a document and an item are then compared
 token by token: literal tokens must be equal, and what fills the slots of a window must be a consistent renaming, so that a
 question with other numbers or names is caught, and a chance meeting of placeholders is not. Names must be renamed alike on
-all of a diagonal, unless two separate windows of it are verbatim.
+all of a diagonal, unless two separate windows of it are verbatim. The windows of a diagonal count together: they must hold
+EVIDENCE literal tokens, or all of the item.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,12 +21,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .words import portions, texts
 
 WINDOW = 10
-#: Of a window's tokens so many must be literal; shorter items are one window, from LEAST tokens on.
-LITERAL, LEAST = 6, 6
+#: Of a window's tokens so many must be literal, as bare slots meet any table of numbers; shorter items are one window,
+#: from LEAST tokens on. On a diagonal so many literal tokens must meet, if the item isn't met as a whole.
+LITERAL, LEAST, EVIDENCE = 2, 5, 6
 #: Windows of benchmark items in a slice (about 100 bytes each on an executor).
 SLICE = 500_000
 #: Entries of a worker's memory of words.
@@ -122,6 +126,17 @@ def benchmark_windows(items: list[tuple]) -> list[tuple[int, int, int, int]]:
 class Slice:
     """Benchmark items, and their windows by hash."""
 
+    _loaded: dict[str, Slice] = {}
+
+    @classmethod
+    def of(cls, name: str, items) -> Slice:
+        """The slice of a broadcast's items, made once by a worker, which keeps the last two."""
+        if name not in cls._loaded:
+            while len(cls._loaded) > 1:
+                cls._loaded.pop(next(iter(cls._loaded)))
+            cls._loaded[name] = cls(items.value)
+        return cls._loaded[name]
+
     def __init__(self, items: list[tuple]):
         self.ids = [i for i, _ in items]
         self.maker = Templates()
@@ -159,8 +174,9 @@ class Slice:
                 pairs[p] = (int(item_kind[p]), ours, theirs)
             if not consistent(list(pairs.values())):
                 windows = _kept_windows(windows, pairs)
-            if windows:
-                places = sorted({p for position, size in windows for p in range(position, position + size)})
+            places = sorted({p for position, size in windows for p in range(position, position + size)})
+            literal = sum(pairs[p][0] == LITERAL_TYPE for p in places)
+            if windows and (literal >= EVIDENCE or len(places) == len(item_value)):
                 begin = int(token[places[0] + shift] - first[doc])
                 out[doc].append((number, begin, int(token[places[-1] + shift] - first[doc]), len(windows), all(pairs[p][1] == pairs[p][2] for p in places)))
         return out
@@ -208,20 +224,20 @@ def slices(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield held
 
 
-def _runner(items: list[tuple], clean_only: bool, names: list[str]):
-    shared: list[Slice] = []
+def _runner(spark, items: list[tuple], clean_only: bool, names: list[str], id_type: pa.DataType):
+    """Items are broadcast: at most SLICE windows of them, and the item that crosses that bound."""
+    shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not shared:
-            shared.append(Slice(items))
         for batch in portions(batches, "text", 4 << 20):
-            found = shared[0].matches(list(texts(batch.column("text"))))
+            here = Slice.of(name, shared)
+            found = here.matches(list(texts(batch.column("text"))))
             if clean_only:
                 yield batch.filter(pa.array([i not in found for i in range(len(batch))]))
             else:
                 rows = [(i, *x) for i, listed in sorted(found.items()) for x in listed]
                 at, number, begin, end, windows, exact = zip(*rows, strict=True) if rows else [()] * 6
-                ids = pa.array([shared[0].ids[n] for n in number], pa.int64())
+                ids = pa.array([here.ids[n] for n in number], id_type)
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int32())), ids, *(pa.array(x, pa.int64()) for x in (begin, end, windows)), pa.array(exact, pa.bool_())], names)
 
     return run
@@ -231,23 +247,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     """(key, item_id, first_word, last_word, n_windows, exact): one row per document, item and place where they meet.
 
     exact is false for a re-parameterised copy. Words are numbered from 0 over the document's white-space words. Null and
-    empty texts meet nothing, nor do items of under six tokens. Repeated rows each give their rows. A null key or item_id
-    is carried along. Extra columns don't matter.
+    empty texts meet nothing, nor do items of under five tokens, nor such of which no window has two literal tokens.
+    Repeated rows, of either table, each give their rows. Keys may be of any type; a null key or item_id is carried along.
+    Extra columns don't matter. An empty table of either kind gives none. A very long text is worked through whole.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, item = docs.schema[key].dataType.simpleString(), benchmark.schema["item_id"].dataType
     names = ["key", "item_id", "first_word", "last_word", "n_windows", "exact"]
-    schema = f"key {kind}, item_id long, first_word long, last_word long, n_windows long, exact boolean"
+    schema = f"key {kind}, item_id {item.simpleString()}, first_word long, last_word long, n_windows long, exact boolean"
     rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for items in slices(benchmark):
-        out = out.unionByName(rows.mapInArrow(_runner(items, False, names), schema))
+        out = out.unionByName(rows.mapInArrow(_runner(docs.sparkSession, items, False, names, to_arrow_type(item)), schema))
     return out.withColumnRenamed("key", key)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs(text, ...) that meet no benchmark item, all columns as they are."""
+    """The rows of docs(text, ...) that meet no benchmark item, all columns as they are; see `leaks`."""
     for items in slices(benchmark):
-        docs = docs.mapInArrow(_runner(items, True, []), docs.schema)
+        docs = docs.mapInArrow(_runner(docs.sparkSession, items, True, [], pa.null()), docs.schema)
     return docs
 
 
@@ -258,5 +275,5 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak a benchmark item go."""
+    """Pipeline stage: documents that leak a benchmark item go; null and empty texts, and repeated rows, stay."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
