@@ -44,7 +44,7 @@ class Engine:
 
     def search(self, questions: DataFrame, k: int = 10) -> DataFrame:
         """The k best sections for each of questions(query_id, text)."""
-        return S.bm25(S.inverted_index(self.sections), questions, k=k)
+        return S.bm25(self.sections, questions, k=k)
 
     def status(self) -> DataFrame:
         return self.sections.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))

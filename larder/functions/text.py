@@ -62,6 +62,13 @@ def answer_key(text: Column, filters: dict[str, Column] | None = None, temporal:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def scoped_key(text: Column, filters: Column) -> Column:
+    """As answer_key, of filters in a map: those present, in order of their names."""
+    given = F.filter(F.array_sort(F.map_entries(filters)), lambda e: present(e["value"]))
+    listed = F.transform(given, lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return F.sha2(F.concat_ws("|", normalize(text), F.when(F.size(listed) > 0, F.array_join(listed, "|"))), 256)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays, as sets; 0 if both are empty."""
     union = F.size(F.array_union(a, b))
@@ -85,6 +92,7 @@ def fuzzy_similarity(query: Column, stored: Column) -> Column:
     return 0.6 * (0.4 * jaccard(a, b) + 0.6 * overlap(a, b)) + 0.4 * levenshtein_similarity(query, stored)
 
 
+#: The points of both curves stand in their functions.
 def semantic_confidence(s: Column) -> Column:
     return (
         F.when(s >= 0.98, 0.99)

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.operators.ranking import keep_most_valuable
+
 
 def dot(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -33,29 +36,35 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.where(norms >= 1e-10, rows / np.maximum(norms, 1e-10), 0.0)
 
 
-def blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, unit vectors) of queries(query_id, vector), `size` at a time through the driver."""
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        ids.append(row["query_id"])
-        rows.append(row["vector"])
-        if len(ids) == size:
-            yield np.array(ids), matrix(pa.array(rows))
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), matrix(pa.array(rows))
+def blocks(queries: DataFrame, size: int, *more: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, unit vectors, ...) of queries(query_id, vector, ...), `size` at a time through the driver."""
+    held: list = []
+    for row in queries.select("query_id", "vector", *(F.col(c).cast("long") for c in more)).toLocalIterator():
+        held.append(row)
+        if len(held) == size:
+            yield _block(held)
+            held = []
+    if held:
+        yield _block(held)
+
+
+def _block(rows: list) -> tuple[np.ndarray, ...]:
+    ids, vectors, *more = zip(*rows, strict=True)
+    return np.array(ids), matrix(pa.array(vectors)), *(np.array(x) for x in more)
 
 
-def _block_search(ids: np.ndarray, unit: np.ndarray, k: int | None, threshold: float):
+def _block_search(ids: np.ndarray, unit: np.ndarray, scopes: np.ndarray | None, k: int | None, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
+            own = None if scopes is None else batch.column(2).to_numpy(zero_copy_only=False)
             for at in range(0, len(keys), 2048):
                 part = keys[at : at + 2048]
                 near = unit @ matrix(batch.column(1).slice(at, 2048)).T
                 keep = near >= threshold
                 keep &= ids[:, None] != part[None, :]
+                if own is not None:
+                    keep &= scopes[:, None] == own[None, at : at + 2048]
                 if k is not None and len(part) > k:
                     bar = np.partition(np.where(keep, near, -np.inf), len(part) - k, axis=1)[:, len(part) - k]
                     keep &= near >= bar[:, None]
@@ -65,15 +74,18 @@ def _block_search(ids: np.ndarray, unit: np.ndarray, k: int | None, threshold: f
     return run
 
 
-def search(queries: DataFrame, items: DataFrame, k: int | None = None, threshold: float = -1.0, block: int = 4096) -> DataFrame:
+def search(queries: DataFrame, items: DataFrame, k: int | None = None, threshold: float = -1.0, block: int = 4096, scope: str | None = None) -> DataFrame:
     """(query_id, id, similarity): items(id, vector) with cosine of at least threshold to queries(query_id, vector), the k nearest.
 
     Blocks of queries are broadcast and multiplied with each batch of items; only a batch's k best for a query leave
-    a task. An item isn't its own neighbour. Similarity is rounded to six decimals; ties go to the smaller id.
+    a task. An item isn't its own neighbour. With `scope`, a whole-number column of both, only equal ones meet, before the
+    k nearest are taken. Similarity is rounded to six decimals; ties go to the smaller id.
     """
     found = items.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-    for ids, unit in blocks(queries, block):
-        found = found.unionByName(items.select("id", "vector").mapInArrow(_block_search(ids, unit, k, threshold), found.schema))
+    extra = [scope] if scope else []
+    for ids, unit, *scopes in blocks(queries, block, *extra):
+        rows = items.select("id", "vector", *(F.col(c).cast("long") for c in extra))
+        found = found.unionByName(rows.mapInArrow(_block_search(ids, unit, scopes[0] if scopes else None, k, threshold), found.schema))
     found = found.withColumn("similarity", F.round("similarity", 6))
     if k is None:
         return found
@@ -81,6 +93,36 @@ def search(queries: DataFrame, items: DataFrame, k: int | None = None, threshold
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _section_block(ids: np.ndarray, unit: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                listed, keys = part.column(1), part.column(0).to_numpy(zero_copy_only=False)
+                sizes = pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False)
+                near = np.round(np.maximum.reduceat(unit @ matrix(listed.flatten()).T, np.append(0, np.cumsum(sizes)[:-1]), axis=1), 6)
+                keep = near >= (np.partition(near, len(keys) - k, axis=1)[:, len(keys) - k, None] if len(keys) > k else -np.inf)
+                q, c = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[q], keys[c], near[q, c], near.min(axis=1)[q], near.max(axis=1)[q]))], ["query_id", "id", "similarity", "low", "high"])
+
+    return run
+
+
+def section_search(queries: DataFrame, sections: DataFrame, k: int, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The k sections(id, vectors) nearest to each of queries(query_id, vector), by a section's nearest vector: (query_id, id,
+    similarity, rank); and (query_id, low, high), the least and the greatest similarity of any section.
+
+    One pass over sections for each block of queries; a batch's k best for a query leave a task.
+    """
+    found = sections.sparkSession.createDataFrame([], "query_id long, id long, similarity double, low double, high double")
+    for ids, unit in blocks(queries, block):
+        found = found.unionByName(sections.where(F.size("vectors") > 0).select("id", "vectors").mapInArrow(_section_block(ids, unit, k), found.schema))
+    extremes = found.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    near = found.select("query_id", "id", "similarity").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near, extremes
+
+
 def centroids(items: DataFrame, clusters: int = 16, rounds: int = 10, sample: int = 20_000) -> np.ndarray:
     """Unit centroids by spherical k-means on the rows of the least hash, `sample` at most: a bounded, stated sample."""
     chosen = items.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
@@ -98,13 +140,62 @@ def centroids(items: DataFrame, clusters: int = 16, rounds: int = 10, sample: in
     return centre
 
 
-def probe(items: DataFrame, key: str, centre: np.ndarray, probes: int) -> DataFrame:
-    """(key, vector, cluster): each row under its nearest centroids, so many of them."""
-
+def _cluster_search(ids: np.ndarray, unit: np.ndarray, centre: np.ndarray, probed: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.argsort(-(matrix(batch.column(1)) @ centre.T), axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(len(batch)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], [key, "vector", "cluster"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(keys), 8192):
+                rows, part = matrix(batch.column(1).slice(at, 8192)), keys[at : at + 8192]
+                cluster = (rows @ centre.T).argmax(axis=1)
+                for c in np.unique(cluster):
+                    asked, mine = np.flatnonzero(probed[:, c]), np.flatnonzero(cluster == c)
+                    if not len(asked):
+                        continue
+                    near = np.where(ids[asked, None] != part[None, mine], unit[asked] @ rows[mine].T, -np.inf)
+                    keep = near > -np.inf
+                    if len(mine) > k:
+                        keep &= near >= np.partition(near, len(mine) - k, axis=1)[:, len(mine) - k, None]
+                    q, i = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[asked[q]]), pa.array(part[mine[i]]), pa.array(near[q, i])], ["query_id", "id", "similarity"])
+
+    return run
+
+
+def clustered_search(queries: DataFrame, items: DataFrame, centre: np.ndarray, probes: int = 3, k: int = 10, block: int = 4096) -> DataFrame:
+    """(query_id, id, similarity, rank): the k nearest among the items whose centroid is one of the query's nearest `probes`.
+
+    Every item is indexed: a batch is dealt to its clusters, and a query meets only the clusters it probes. A batch's k best
+    of a cluster leave a task, so no cluster is gathered anywhere, however large it is.
+    """
+    found = items.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
+    for ids, unit in blocks(queries, block):
+        probed = np.zeros((len(ids), len(centre)), dtype=bool)
+        np.put_along_axis(probed, np.argsort(-(unit @ centre.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+        found = found.unionByName(items.select("id", "vector").mapInArrow(_cluster_search(ids, unit, centre, probed, k), found.schema))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def upsert(items: DataFrame, new: DataFrame, most: int = 50_000, order: str = "added") -> DataFrame:
+    """items(id, vector, ...) with those of new in their place; over `most` the oldest by `order` go.
+
+    New rows whose vectors have another length than the store's are left out; of new rows of one id the last by `order` counts.
+    """
+    last = new.groupBy("id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "id"]), order).alias("r")).select("id", "r.*")
+    width = items.agg(F.max(F.size("vector")).alias("width"))
+    fits = last.crossJoin(F.broadcast(width)).where(F.col("width").isNull() | (F.size("vector") == F.col("width"))).drop("width")  # one row
+    rows = items.join(fits.select("id"), "id", "left_anti").unionByName(fits.select(*items.columns))
+    return keep_most_valuable(rows, most, F.desc(order), F.desc("id"))
+
+
+def remove(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """items without those of ids(id)."""
+    return items.join(ids.select("id"), "id", "left_anti")
+
 
-    return items.select(key, "vector").mapInArrow(run, f"{key} long, vector array<double>, cluster int")
+def hashed_embedding(text: Column, width: int = 64) -> Column:
+    """A unit vector of signed counts of hashed words: a stand-in where no embedder is given, the same everywhere."""
+    slots = F.transform(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(width)).alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit("sign")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("by"), (w != "").alias("real")))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(slots, lambda s: s["real"] & (s["at"] == i)), F.lit(0.0), lambda a, s: a + s["by"]))
+    scaled = F.transform(F.array(raw), lambda r: F.transform(r, lambda x: F.when(F.sqrt(dot(r, r)) > 0, x / F.sqrt(dot(r, r))).otherwise(F.lit(0.0))))
+    return scaled[0]

@@ -37,9 +37,3 @@ def priced(usage: DataFrame, table: DataFrame) -> DataFrame:
 
 def percentile(values: Column, p: float) -> Column:
     return F.percentile(values, F.lit(p))
-
-
-def nearest_rank(values: Column, p: float) -> Column:
-    """sorted[int(n * p)] of a collected group."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.least(F.floor(F.size(ordered) * p), F.size(ordered) - 1).cast("int"))

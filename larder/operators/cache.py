@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
+from larder.operators.project import compared
+from larder.operators.ranking import TOP, keep_most_valuable
+from larder.storage import spill
 
 
 def expired(created_s: Column, ttl: Column, as_of: Column) -> Column:
@@ -46,19 +49,56 @@ def split_on_and(question: Column) -> Column:
     return F.when((F.length(a) >= 3) & (F.length(b) >= 3) & ~F.lower(F.split(a, r"\s+")[0]).isin(verbs), F.array(a, b))
 
 
+def sub_questions(asks: DataFrame) -> DataFrame:
+    """(question_id, position, sub_question, filters) from asks(question_id, question, filters).
+
+    A question that compares things has one for each, whose filters also name it as `entity`; else one on each side of `and`.
+    """
+    items = compared(asks, "question_id", "question").join(asks.select("question_id", "filters"), "question_id")
+    named = items.select("question_id", "position", "sub_question", F.map_concat(F.map_filter("filters", lambda k, _: k != "entity"), F.create_map(F.lit("entity"), F.col("item"))).alias("filters"))
+    plain = asks.join(items.select("question_id").distinct(), "question_id", "left_anti").select("question_id", "filters", F.posexplode(split_on_and(F.col("question"))).alias("position", "sub_question"))
+    return named.unionByName(plain.select("question_id", F.col("position").cast("long").alias("position"), "sub_question", "filters"))
+
+
+def composable_lookup(asks: DataFrame, cache: DataFrame) -> DataFrame:
+    """(question_id, position, sub_question, cache_id, scoped): the record of each sub-question, under its filters, else without.
+
+    cache(cache_id, key): of records of one key the least id counts. cache_id is null where neither key is known.
+    """
+    first = cache.groupBy("key").agg(F.min("cache_id").alias("cache_id"))
+    subs = sub_questions(asks)
+    keyed = subs.withColumns({"key": T.scoped_key(F.col("sub_question"), F.col("filters")), "open_key": T.scoped_key(F.col("sub_question"), F.create_map().cast("map<string,string>"))})
+    found = keyed.join(first.withColumnRenamed("cache_id", "own"), "key", "left").join(first.select(F.col("key").alias("open_key"), F.col("cache_id").alias("any")), "open_key", "left")
+    return found.select("question_id", "position", "sub_question", F.coalesce("own", "any").alias("cache_id"), F.col("own").isNotNull().alias("scoped"))
+
+
+def composed(found: DataFrame) -> DataFrame:
+    """(question_id, parts, hits, outcome) of looked-up sub-questions: complete, partial or miss."""
+    sums = found.groupBy("question_id").agg(F.count("*").alias("parts"), F.count("cache_id").alias("hits"))
+    return sums.withColumn("outcome", F.when(F.col("hits") == F.col("parts"), "complete").when(F.col("hits") > 0, "partial").otherwise("miss"))
+
+
 def fuzzy_matches(asks: DataFrame, cache: DataFrame, k: int = 3, threshold: float = 0.3) -> DataFrame:
     """(question_id, cache_id, similarity, rank): the k records nearest to each question by words and edits.
 
-    Candidates hold the question's two longest words (of equal length the smaller word) as whole words, so they are met
-    by an equi-join on the longest; a stored question that has one only inside a longer word isn't a candidate.
+    Candidates hold the question's two longest words (of equal length the smaller word) anywhere in their text; a question
+    with no such candidate takes those that hold the longest. They are met by an equi-join on three letters from the middle
+    of the longest word, or on all of a shorter one.
     """
     words = T.tokens(F.col("question"))
     ranked = F.array_sort(F.array_distinct(words), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     asked = asks.select("question_id", F.array_join(F.array_sort(words), " ").alias("query"), ranked.alias("w")).where(F.size("w") > 0)
-    asked = asked.select("question_id", "query", F.get("w", F.lit(0)).alias("first"), F.coalesce(F.get("w", F.lit(1)), F.get("w", F.lit(0))).alias("second"))
-    stored = cache.select("cache_id", "question_normalized", F.explode(F.array_distinct(F.split("question_normalized", " "))).alias("first"))
-    met = asked.join(stored, "first").where(F.array_contains(F.split("question_normalized", " "), F.col("second")))
-    scored = met.select("question_id", "cache_id", F.round(T.fuzzy_similarity(F.col("query"), F.col("question_normalized")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    first = F.get("w", F.lit(0))
+    width = F.least(F.length(first), F.lit(3))
+    asked = asked.select("question_id", "query", first.alias("first"), F.coalesce(F.get("w", F.lit(1)), first).alias("second"), F.substring(first, F.floor((F.length(first) - width) / 2).cast("int") + 1, width).alias("gram"))
+    text = F.col("question_normalized")
+    grams = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    stored = cache.select("cache_id", "question_normalized", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
+    wanted = stored.join(asked.select("gram").distinct(), "gram", "left_semi")
+    met = asked.join(wanted, "gram").where(F.contains(text, F.col("first"))).withColumn("both", F.contains(text, F.col("second")))
+    any_both = met.groupBy("question_id").agg(F.bool_or("both").alias("any_both"))
+    met = met.join(any_both, "question_id").where("both or not any_both")
+    scored = met.select("question_id", "cache_id", F.round(T.fuzzy_similarity(F.col("query"), text), 6).alias("similarity")).where(F.col("similarity") >= threshold)
     order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "cache_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -86,8 +126,37 @@ def predicted_hits(serve_count: Column, created_s: Column, last_served_s: Column
     return F.when(last_served_s.isNull(), 0.1).otherwise(rate * F.pow(F.lit(2.0), -hours / 24.0) * 24)
 
 
-def keep_most_valuable(rows: DataFrame, most: int, *order: Column) -> DataFrame:
-    """rows without those first in `order` that exceed `most` in number. The order is total, so the cut is one sort."""
-    excess = rows.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("excess"))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    return ranked.crossJoin(F.broadcast(excess)).where("_n > excess").drop("_n", "excess")  # excess: one row
+def invalidated(cache: DataFrame, ids: DataFrame) -> DataFrame:
+    """cache with is_valid false for the records of ids(cache_id), by whatever rule they were found."""
+    hit = ids.select("cache_id").distinct().withColumn("_hit", F.lit(True))
+    return cache.join(hit, "cache_id", "left").withColumn("is_valid", F.col("is_valid") & F.col("_hit").isNull()).drop("_hit")
+
+
+#: What a store keeps at most, and for how many days weak links and audit events stay.
+MOST_ANSWERS, MOST_FACTS, MOST_LINKS = 100_000, 500_000, 1_000_000
+WEAK_DAYS, AUDIT_DAYS = 30, 90
+
+
+def maintain(answers: DataFrame, facts: DataFrame, links: DataFrame, audit: DataFrame, as_of: int, caps: tuple[int, int, int] = (MOST_ANSWERS, MOST_FACTS, MOST_LINKS), top: int = TOP) -> dict[str, DataFrame]:
+    """What is left of each store after one maintenance job at as_of, in seconds; nothing is changed in place.
+
+    Expired answers go, then valid ones over the cap, those of least predicted value first; facts without an answer, then
+    facts over the cap, least served first; links without strength that are old, then links over the cap; old audit events.
+    answers(cache_id, is_valid, serve_count, created_s, last_served_s, ttl_seconds, cost), facts(fact_id, cache_id, serve_count,
+    created_s), links(source, target, strength, created_s), audit(event_id, created_s).
+    """
+    now = F.lit(as_of)
+    alive = spill(answers.where(~expired(F.col("created_s"), F.col("ttl_seconds"), now)))
+    hits = predicted_hits(F.col("serve_count"), F.col("created_s"), F.col("last_served_s"), now)
+    value = F.round(hits * F.when(F.coalesce("cost", F.lit(0.0)) > 0, F.col("cost")).otherwise(F.lit(0.001)), 9)
+    valued = alive.where("is_valid").withColumn("_value", value)
+    best = keep_most_valuable(valued, caps[0], F.desc("_value"), F.desc_nulls_last("last_served_s"), F.desc("created_s"), F.desc("cache_id"), top=top).drop("_value")
+    kept = spill(best.unionByName(alive.where("not is_valid")))
+    owned = facts.join(kept.select("cache_id"), "cache_id", "left_semi")
+    strong = links.where(~((F.col("strength") == 0) & (F.col("created_s") < as_of - WEAK_DAYS * 86_400)))
+    return {
+        "answers": kept,
+        "facts": keep_most_valuable(owned, caps[1], F.desc("serve_count"), F.desc("created_s"), F.desc("fact_id"), top=top),
+        "links": keep_most_valuable(strong, caps[2], F.desc("strength"), F.desc("created_s"), F.desc("source"), F.desc("target"), top=top),
+        "audit": audit.where(F.col("created_s") >= as_of - AUDIT_DAYS * 86_400),
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,14 +24,16 @@ ABBREVIATIONS = r"(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|Inc|Ltd|Corp)\."
 
 
 def fixed(texts: DataFrame, key: str, text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """(key, chunk_index, char_offset, chunk): windows of `size` every size - overlap characters, stripped; short ones drop out."""
+    """(key, chunk_index, char_offset, chunk): windows of `size` every size - overlap characters, stripped; short ones drop out.
+
+    All within the row: nothing is shuffled.
+    """
     step = limits.size - limits.overlap
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    pieces = texts.select(key, text, F.explode(starts).alias("char_offset"))
-    stripped = F.regexp_replace(F.substring(F.col(text), F.col("char_offset") + 1, F.lit(limits.size)), r"(?U)^\s+|\s+$", "")
-    kept = pieces.select(key, F.col("char_offset").cast("long").alias("char_offset"), stripped.alias("chunk")).where(F.length("chunk") >= limits.least)
-    order = Window.partitionBy(key).orderBy("char_offset")
-    return kept.select(key, (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), "char_offset", "chunk")
+    stripped = lambda at: F.regexp_replace(F.substring(F.col(text), at + 1, F.lit(limits.size)), r"(?U)^\s+|\s+$", "")
+    pieces = F.transform(starts, lambda at: F.struct(at.cast("long").alias("char_offset"), stripped(at).alias("chunk")))
+    kept = texts.select(key, F.posexplode(F.filter(pieces, lambda p: F.length(p["chunk"]) >= limits.least)).alias("chunk_index", "p"))
+    return kept.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), "p.char_offset", "p.chunk")
 
 
 def _grouped(parts: list[str], gap: int, limits: Limits, counts_gap: bool) -> Iterator[tuple[list[str], int]]:

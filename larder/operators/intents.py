@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values: (pattern, action, confidence). Of the most confident matches the first counts.
@@ -96,6 +96,7 @@ PATTERNS = [
     (r"\bwhat\s+do\s+you\s+mean\b", "clarify", 0.9),
     (r"\bcan\s+you\s+clarify\b", "clarify", 0.9),
 ]
+#: Words that ask for a format, and for a depth; formats, modes and roles of actions; tags; codes that name nothing.
 FORMATS = [
     (r"\b(?:as\s+a\s+)?table\b", "table"),
     (r"\b(?:in\s+)?(?:bullet|bulleted)\s*(?:point|list)?s?\b", "bullets"),
@@ -132,6 +133,15 @@ COMMON_CODES = (
 ).split()
 
 
+#: Patterns of what a question names.
+QUOTED = "\"[^\"]+\"|'[^']+'"
+LINK = r"(https?://[^\s]+)"
+ADDRESS = r"\b([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)\b"
+PHRASE = r"(?:(?<=\s)|^)(?:(?:the|a|an|of|in|for|to|and|or|by|at|on|with|from)\s+)*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
+QUANTITY = r"\b(\d[\d,]*\.?\d*\s*(?:%|percent|dollars?|USD|EUR|GBP|kg|lb|mi|km|ft|m|cm|mm)?)\b"
+CODE = r"\b([A-Z]{2,5})\b"
+
+
 def intent(question: Column) -> Column:
     """struct(action, confidence): the first match in falling confidence, equal ones in their order."""
     q = F.trim(question)
@@ -165,12 +175,10 @@ def depth(question: Column) -> Column:
 def entities(question: Column) -> Column:
     """Distinct quoted strings, addresses, capitalised phrases, numbers with units and codes, in that order."""
     every = lambda pattern, group=1: F.regexp_extract_all(question, F.lit(pattern), F.lit(group))
-    quoted = F.transform(every("\"[^\"]+\"|'[^']+'", 0), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-    phrase = r"(?:(?<=\s)|^)(?:(?:the|a|an|of|in|for|to|and|or|by|at|on|with|from)\s+)*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
-    number = r"\b(\d[\d,]*\.?\d*\s*(?:%|percent|dollars?|USD|EUR|GBP|kg|lb|mi|km|ft|m|cm|mm)?)\b"
-    codes = F.filter(every(r"\b([A-Z]{2,5})\b"), lambda x: (F.length(x) >= 3) & ~x.isin(COMMON_CODES))
-    found = F.concat(quoted, every(r"(https?://[^\s]+)"), every(r"\b([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)\b"), every(phrase), every(number), codes)
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    quoted = F.transform(every(QUOTED, 0), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    codes = F.filter(every(CODE), lambda x: (F.length(x) >= 3) & ~x.isin(COMMON_CODES))
+    found = F.concat(quoted, every(LINK), every(ADDRESS), every(PHRASE), every(QUANTITY), codes)
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def role(action: Column, tags: Column) -> Column:
@@ -182,3 +190,26 @@ def role(action: Column, tags: Column) -> Column:
     has = lambda words: F.arrays_overlap(lower, F.array(*map(F.lit, words)))
     own = F.when((own == "synthesizer") & has(LEGAL), "narrator").otherwise(own)
     return F.when((own == "explorer") & has(FACTUAL), "synthesizer").otherwise(own)
+
+
+def answers(found: DataFrame, sections: DataFrame, key: str, most: int = 50) -> DataFrame:
+    """(query_id, counted, extracted, validated): what needs no model, from found(query_id, key, score, rank).
+
+    extracted: the distinct entities of the ten best snippets of 300 characters, in order, as JSON; null if there are none.
+    validated: whether the best of sections(key, title, text) scores over a half.
+    """
+    rows = found.join(sections.select(key, "title", F.left("text", F.lit(300)).alias("_snippet")), key, "left")
+    listed = rows.withColumn("_e", F.when(F.col("rank") <= 10, entities(F.coalesce("_snippet", F.lit("")))).otherwise(F.array().cast("array<string>")))
+    sums = listed.groupBy("query_id").agg(
+        F.count("*").alias("n"),
+        F.min(F.struct("rank", "title", "score")).alias("top"),
+        F.sort_array(F.collect_list(F.struct("rank", "_e"))).alias("e"),
+    )
+    every = F.slice(F.array_distinct(F.flatten(F.transform("e", lambda x: x["_e"]))), 1, most)
+    good = F.concat(F.lit("Validated: found "), "n", F.lit(" relevant sections. Top match: "), F.col("top.title"), F.lit(" (score: "), F.format_string("%.2f", F.col("top.score")), F.lit(")"))
+    return sums.select(
+        "query_id",
+        F.concat(F.lit("Found "), "n", F.lit(" matching sections.")).alias("counted"),
+        F.when(F.size(every) > 0, F.to_json(F.struct(every.alias("entities")))).alias("extracted"),
+        F.when(F.col("top.score") > 0.5, good).otherwise("Could not validate: no strong matches found.").alias("validated"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.text import block_tokens
+
 #: Words of each domain, in order of precedence.
 DOMAINS = {
     "legal": ["statute", "regulation", "law", "legal", "court", "judge", "plaintiff", "defendant", "jurisdiction", "ordinance", "code", "§"],
@@ -30,6 +32,7 @@ ENTITY_TYPES = {
     "list": r"(?m)^[\-\*•]\s+",
     "numbered_list": r"(?m)^\d+[.)]\s+",
 }
+#: Months, dates, and patterns of facts.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 DATES = rf"\b(?:\d{{1,2}}[/\-]\d{{1,2}}[/\-]\d{{2,4}}|(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})\b"
 FACTS = {
@@ -40,6 +43,7 @@ FACTS = {
     "codes": r"\b[A-Z]{2,}[-\d]+[A-Z\d]*\b",
     "proper_nouns": r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b",
 }
+#: Two letters that are no jurisdiction, and openings of sentences that state nothing.
 NO_JURISDICTION = "IN IT IS AN AT AS IF OR ON NO SO TO UP DO GO AM BE BY HE WE".split()
 FILLERS = "however|additionally|moreover|furthermore|in conclusion|to summarize|as mentioned|it is worth noting|please note|i hope this helps|let me know"
 #: Categories of facts in order of precedence.
@@ -54,7 +58,7 @@ CATEGORIES = {
 
 def lines(text: Column) -> Column:
     """The stripped lines that aren't blank."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def headline(title: Column, text: Column) -> Column:
@@ -72,6 +76,10 @@ def headline(title: Column, text: Column) -> Column:
     )
 
 
+#: How lines of each structure begin.
+KEY_VALUE, BULLET, NUMBERED, LISTED = r"^[^:]{1,60}:\s+.+", r"^[\-\*•‣]\s+", r"^\d+[.)]\s+", r"^[\-\*•\d]+[.)]\s+|^[\-\*•]\s+"
+
+
 def _at_least(found: Column, pattern: str, n: int) -> Column:
     return F.size(F.filter(found, lambda x: x.rlike(pattern))) >= n
 
@@ -82,13 +90,81 @@ def structured_type(text: Column) -> Column:
     return (
         F.when(F.trim(text) == "", "empty")
         .when(pipes >= 2, "table")
-        .when(_at_least(found, r"^[^:]{1,60}:\s+.+", 2), "key_value")
-        .when(_at_least(found, r"^[\-\*•‣]\s+", 2), "bullet_list")
-        .when(_at_least(found, r"^\d+[.)]\s+", 2), "numbered_list")
+        .when(_at_least(found, KEY_VALUE, 2), "key_value")
+        .when(_at_least(found, BULLET, 2), "bullet_list")
+        .when(_at_least(found, NUMBERED, 2), "numbered_list")
         .otherwise("narrative")
     )
 
 
+def structured(text: Column) -> Column:
+    """struct(type, headers, rows, data, items, facts): what a text's structure holds; the members of other types are null.
+
+    rows are the cells of each line of a table after the first. data maps keys to their last value, in order of the first.
+    facts are sorted and distinct.
+    """
+    found, kind = lines(text), structured_type(text)
+    cells = F.transform(
+        F.filter(found, lambda x: F.length(x) - F.length(F.translate(x, "|", "")) >= 2),
+        lambda x: F.filter(F.transform(F.split(x, r"\|", -1), lambda c: F.trim(c)), lambda c: (c != "") & ~c.rlike("^-+$")),
+    )
+    headers = F.get(cells, F.lit(0))
+    rows = F.filter(F.slice(cells, 2, 1_000_000_000), lambda r: F.size(r) > 0)
+    pairs = F.transform(F.filter(found, lambda x: x.rlike(KEY_VALUE)), lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]{1,60}):\s+(.+)", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^([^:]{1,60}):\s+(.+)", 2)).alias("v")))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    data = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    item = lambda x: F.regexp_replace(F.regexp_replace(x, BULLET, ""), NUMBERED, "")
+    items = lambda begin: F.filter(F.transform(F.filter(found, lambda x: x.rlike(begin)), item), lambda x: x != "")
+    narrative = F.map_filter(F.create_map(*(x for k in FACTS for x in (F.lit(k), facts(text, k)))), lambda _, v: F.size(v) > 0)
+    return F.struct(
+        kind.alias("type"),
+        F.when(kind == "table", headers).alias("headers"),
+        F.when(kind == "table", rows).alias("rows"),
+        F.when(kind == "key_value", data).alias("data"),
+        F.when(kind == "bullet_list", items(BULLET)).when(kind == "numbered_list", items(NUMBERED)).alias("items"),
+        F.when(kind == "narrative", narrative).alias("facts"),
+    )
+
+
+def blocks(sections: DataFrame, key: str, title: Column, text: str = "text") -> DataFrame:
+    """(key, compression, content, version_hash, token_count): the full text, its headline and its structure as JSON.
+
+    The structure's token count is the source's.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    head = headline(title, body)
+    made = F.array(
+        F.struct(F.lit("full").alias("compression"), body.alias("content"), block_tokens(body).alias("token_count")),
+        F.struct(F.lit("headline").alias("compression"), head.alias("content"), block_tokens(head).alias("token_count")),
+        F.struct(F.lit("structured").alias("compression"), F.to_json(structured(body)).alias("content"), block_tokens(body).alias("token_count")),
+    )
+    return sections.select(key, F.sha2(body, 256).alias("version_hash"), F.explode(made).alias("b")).select(key, "b.compression", "b.content", "version_hash", "b.token_count")
+
+
+def tags(sections: DataFrame, key: str, kind: Column, title: Column, hierarchy: Column, text: str = "text") -> DataFrame:
+    """(key, tag_key, tag_value, confidence, source): domain, topics, entity types, entities, complexity and format hint.
+
+    Topics are the title, the parts of the hierarchy path (joined by `/`) of over two characters, and frequent words. One row for
+    each key, tag_key and value, the most confident.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    tag = lambda name, value, confidence, source="rule": F.struct(F.lit(name).alias("tag_key"), value.alias("tag_value"), confidence.cast("double").alias("confidence"), F.lit(source).alias("source"))
+    d, level, hint = domain(kind, title, body), complexity(body), format_hint(body)
+    sure = F.when(level == "simple", 1.0).when(level == "medium", 0.8).otherwise(0.85)
+    named = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    parts = F.filter(F.transform(F.split(F.coalesce(hierarchy, F.lit("")), "/"), lambda p: F.lower(F.trim(p))), lambda p: F.length(p) > 2)
+    rows = F.concat(
+        F.array(tag("domain", d["domain"], d["confidence"]), tag("complexity", level, sure), tag("format_hint", hint, format_confidence(body))),
+        F.filter(F.array(tag("topic", named, F.lit(0.95))), lambda t: t["tag_value"] != ""),
+        F.transform(parts, lambda p: tag("topic", p, F.lit(0.8))),
+        F.transform(entity_types(body), lambda t: tag("entity_type", t["type"], t["confidence"])),
+        F.transform(entities(body), lambda e: tag("entities", e["value"], e["confidence"], "ner")),
+    )
+    found = sections.select(key, F.explode(rows).alias("t")).select(key, "t.*")
+    frequent = topics(sections, key, text).select(key, F.lit("topic").alias("tag_key"), F.col("topic").alias("tag_value"), "confidence", F.lit("rule").alias("source"))
+    return found.unionByName(frequent).groupBy(key, "tag_key", "tag_value").agg(F.max(F.struct("confidence", "source")).alias("t")).select(key, "tag_key", "tag_value", "t.confidence", "t.source")
+
+
 def facts(text: Column, kind: str) -> Column:
     """Sorted distinct matches; of proper nouns the first 20."""
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(FACTS[kind]), F.lit(0))))
@@ -158,13 +234,30 @@ def format_hint(text: Column) -> Column:
         F.when(F.size(found) == 0, "simple")
         .when(pipes >= 2, "structured_data")
         .when(_at_least(found, "\t", 2), "structured_data")
-        .when(_at_least(found, r"^[\-\*•\d]+[.)]\s+|^[\-\*•]\s+", 3), "list")
-        .when(_at_least(found, r"^[^:]{1,60}:\s+.+", 2), "structured_data")
+        .when(_at_least(found, LISTED, 3), "list")
+        .when(_at_least(found, KEY_VALUE, 2), "structured_data")
         .when(words < 30, "simple")
         .otherwise("narrative")
     )
 
 
+def format_confidence(text: Column) -> Column:
+    """How sure format_hint is: by its rule and, of prose, by the words in a line."""
+    found = lines(text)
+    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    pipes = F.size(F.filter(found, lambda x: F.length(x) - F.length(F.translate(x, "|", "")) >= 2))
+    return (
+        F.when(F.size(found) == 0, 1.0)
+        .when(pipes >= 2, 0.95)
+        .when(_at_least(found, "\t", 2), 0.85)
+        .when(_at_least(found, LISTED, 3), 0.9)
+        .when(_at_least(found, KEY_VALUE, 2), 0.8)
+        .when(words < 30, 0.9)
+        .when(words / F.size(found) > 15, 0.85)
+        .otherwise(0.7)
+    )
+
+
 def atomic_facts(answers: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, fact_text, entity, category, quality): sentences of 30 to 500 characters that state something."""
     parts = answers.select(key, F.posexplode(F.split(F.trim(text), r"(?<=[.!?])\s+")).alias("position", "raw")).select(key, "position", F.trim("raw").alias("fact_text"))

@@ -89,15 +89,15 @@ def generation_cost(spark, sf_dir):
     return X.answer_cache(spark, sf_dir).select("cache_id", T.generation_cost(F.col("model"), F.col("answer_text"), F.col("question")).alias("cost"))
 
 
-GATE_SQL = "|".join(p.replace("'", "''") for p in qualify.CONTEXT_PHRASES)
+GATE_SQL = qualify.CONTEXT_PHRASES.replace("'", "''")
 
 
-@query("context_gate", rf"""WITH asked AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 2 THEN 'Is it ' || text ELSE 'Tell me more about ' || left(text, 40) END AS question,
+@query("context_gate", rf"""WITH asked AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 2 THEN 'Is it ' || text ELSE 'Tell me more about ' || text END AS question,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS has_history FROM conversations)
   SELECT conv_id, turn, NOT ((has_history AND len(list_filter(string_split_regex(trim(question), '\s+'), lambda x: x <> '')) <= 3)
-         OR regexp_matches(question, '(?i)\b({GATE_SQL})\b') OR regexp_matches(trim(question), '(?i){qualify.SHORT_PRONOUN}')) AS serve FROM asked""")
+         OR regexp_matches(question, '(?i){GATE_SQL}') OR regexp_matches(trim(question), '(?i){qualify.SHORT_PRONOUN}')) AS serve FROM asked""")
 def context_gate(spark, sf_dir):
     earlier = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) > 1
-    question = F.when(F.col("turn") % 4 == 0, F.col("text")).when(F.col("turn") % 4 == 2, F.concat(F.lit("Is it "), "text")).otherwise(F.concat(F.lit("Tell me more about "), F.left("text", F.lit(40))))
+    question = F.when(F.col("turn") % 4 == 0, F.col("text")).when(F.col("turn") % 4 == 2, F.concat(F.lit("Is it "), "text")).otherwise(F.concat(F.lit("Tell me more about "), "text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", question.alias("question"), earlier.alias("has_history"))
     return rows.select("conv_id", "turn", qualify.qualification(F.col("question"), F.col("has_history"))["serve"].alias("serve"))

@@ -121,11 +121,46 @@ def composable_and_split(spark, sf_dir):
     return cut.select("question_id", F.col("p")[0].alias("part_a"), F.col("p")[1].alias("part_b"))
 
 
+#: Asked: a stored question and the next one of its conversation, or something unknown; a third of them under a filter. Stored: every answered question, every second
+#: one under its filter.
+PARTS = r"(?is)^(.+?)\b(?:compare|compared?\s+to|differences?\s+between|vs\.?|versus|and)\b(.+)$"
+COMPOSABLE_SQL = rf"""{X.EXCHANGES_SQL}, asked AS (
+    SELECT question_id, CASE WHEN conv_id % 3 = 0 THEN 'lane:' || (conv_id % 2 + 1) ELSE '' END AS scope, question || ' and ' || coalesce(lead(question) OVER (PARTITION BY conv_id ORDER BY turn), 'something unknown') AS q FROM exchanges),
+  cut AS (SELECT question_id, scope, trim(regexp_replace(trim(regexp_extract(q, '{PARTS}', 1)), '^,+|,+$', '', 'g')) AS a, trim(regexp_replace(trim(regexp_extract(q, '{PARTS}', 2)), '^,+|,+$', '', 'g')) AS b FROM asked),
+  subs AS (SELECT question_id, scope, unnest([0, 1]) AS position, unnest([a, b]) AS sub_question FROM cut WHERE length(a) >= 3 AND length(b) >= 3 AND lower(string_split_regex(a, '\s+')[1]) NOT IN ('find', 'show', 'list', 'get', 'give', 'tell', 'search')),
+  cache AS (SELECT key, min(question_id) AS cache_id FROM (SELECT question_id, sha256({X.norm_sql('question')} || CASE WHEN question_id % 2 = 0 THEN '|lane:' || (conv_id % 2 + 1) ELSE '' END) AS key FROM exchanges WHERE answer IS NOT NULL) GROUP BY key),
+  looked AS (SELECT question_id, position, sub_question, o.cache_id AS own, p.cache_id AS any_id FROM (SELECT *, {X.norm_sql('sub_question')} AS norm FROM subs) s
+    LEFT JOIN cache o ON o.key = sha256(norm || CASE WHEN scope = '' THEN '' ELSE '|' || scope END) LEFT JOIN cache p ON p.key = sha256(norm))"""
+
+
+def _composable(spark, sf_dir):
+    rows = X.exchanges(spark, sf_dir)
+    lane = F.create_map(F.lit("lane"), (F.col("conv_id") % 2 + 1).cast("string"))
+    none = F.create_map().cast("map<string,string>")
+    following = F.lead("question").over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = rows.select("question_id", F.concat("question", F.lit(" and "), F.coalesce(following, F.lit("something unknown"))).alias("question"), F.when(F.col("conv_id") % 3 == 0, lane).otherwise(none).alias("filters"))
+    stored = rows.where("answer is not null").select(F.col("question_id").alias("cache_id"), T.scoped_key(F.col("question"), F.when(F.col("question_id") % 2 == 0, lane).otherwise(none)).alias("key"))
+    return C.composable_lookup(asked, stored)
+
+
+@query("composable_lookup", f"WITH {COMPOSABLE_SQL} SELECT question_id, CAST(position AS BIGINT) AS position, sha256(sub_question) AS sub_hash, coalesce(own, any_id) AS cache_id, own IS NOT NULL AS scoped FROM looked")
+def composable_lookup(spark, sf_dir):
+    """Sub-questions against the cache, under their filters and then without."""
+    return _composable(spark, sf_dir).select("question_id", "position", F.sha2("sub_question", 256).alias("sub_hash"), "cache_id", "scoped")
+
+
+@query("composable_outcome", f"""WITH {COMPOSABLE_SQL}, sums AS (SELECT question_id, count(*) AS parts, count(coalesce(own, any_id)) AS hits FROM looked GROUP BY question_id)
+  SELECT question_id, parts, hits, CASE WHEN hits = parts THEN 'complete' WHEN hits > 0 THEN 'partial' ELSE 'miss' END AS outcome FROM sums""")
+def composable_outcome(spark, sf_dir):
+    return C.composed(_composable(spark, sf_dir))
+
+
 @query("fuzzy_topk")
 def fuzzy_topk(spark, sf_dir):
-    """By code points; SQL's edit distance counts bytes, so a test has a plain version."""
+    """Each hundredth answered question, misspelt in a word, against all. By code points; SQL's edit distance counts bytes, so a test has a plain version."""
     cache = X.answer_cache(spark, sf_dir)
-    return C.fuzzy_matches(cache.where("cache_id % 5 = 0").select(F.col("cache_id").alias("question_id"), "question"), cache)
+    misspelt = F.concat(F.left("question", F.length("question") - 2), F.lit("x"), F.substring(F.col("question"), F.length("question") - 1, F.lit(2)))
+    return C.fuzzy_matches(cache.where("cache_id % 100 = 0").select(F.col("cache_id").alias("question_id"), misspelt.alias("question")), cache)
 
 
 STATS_SQL = """count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalidated, CAST(sum(serve_count) AS BIGINT) AS total_serves,

@@ -60,11 +60,16 @@ def markdown_sections(spark, sf_dir):
     return found.select("doc_id", "section", "heading", F.sha2(body, 256).alias("version_hash"))
 
 
-@query("paragraph_sections")
+@query("paragraph_sections", """WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS ps FROM documents),
+  steps AS (
+    SELECT doc_id, ps, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS section, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS own FROM d
+    UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN held + length(ps[i + 1]) > 2000 THEN section + 1 ELSE section END, CASE WHEN held + length(ps[i + 1]) > 2000 THEN 0 ELSE held + length(ps[i + 1]) END, section FROM steps WHERE i < len(ps)),
+  parts AS (SELECT doc_id, own AS section, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS body FROM steps WHERE i > 0 GROUP BY doc_id, own)
+  SELECT doc_id, section, 'Section ' || section AS title, sha256(body) AS body_hash FROM parts UNION ALL SELECT doc_id, 0, 'Content', sha256('') FROM d WHERE len(ps) = 0""")
 def paragraph_sections(spark, sf_dir):
     """Lines stand in for paragraphs, as these documents have no blank lines."""
     rows = _docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return P.paragraph_sections(rows, "doc_id")
+    return P.paragraph_sections(rows, "doc_id").select("doc_id", "section", "title", F.sha2("body", 256).alias("body_hash"))
 
 
 @query("json_sections", """SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events""")
@@ -173,10 +178,68 @@ def atomic_fact_kinds(spark, sf_dir):
     return R.atomic_facts(_docs(spark, sf_dir), "doc_id", "text").select("doc_id", "position", "entity", "category", "quality")
 
 
-@query("blocks", r"""WITH b AS (SELECT doc_id, text, greatest(1, CAST(floor(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) * 1.3) AS BIGINT)) AS n FROM documents)
-  SELECT doc_id, 'full' AS compression, sha256(text) AS version_hash, n AS token_count FROM b UNION ALL SELECT doc_id, 'structured', sha256(text), n FROM b""")
+TYPE_SQL = rf"""CASE WHEN trim(text) = '' THEN 'empty' WHEN {PIPES_SQL} >= 2 THEN 'table' WHEN {_count_sql(r'^[^:]{1,60}:\s+.+')} >= 2 THEN 'key_value'
+  WHEN {_count_sql(r'^[\-\*•‣]\s+')} >= 2 THEN 'bullet_list' WHEN {_count_sql(r'^\d+[.)]\s+')} >= 2 THEN 'numbered_list' ELSE 'narrative' END"""
+#: Documents made into each kind of structure in turn.
+MADE_SQL = r"""made AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Name | Kind' || chr(10) || '--- | ---' || chr(10) || 'a |' || lang || '| x' || chr(10) || '| ' || doc_id || ' | b |' WHEN 1 THEN 'lang: ' || lang || chr(10) || 'id: ' || doc_id || chr(10) || 'lang: again'
+  WHEN 2 THEN '- ' || lang || chr(10) || '* item ' || doc_id || chr(10) || 'text' WHEN 3 THEN '1. ' || lang || chr(10) || '2) item ' || doc_id ELSE text END AS text FROM documents)"""
+
+
+def _made(spark, sf_dir):
+    d, lang = F.col("doc_id"), F.col("lang")
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    text = (
+        F.when(d % 5 == 0, line("Name | Kind\n--- | ---\na |", lang, "| x\n| ", d, " | b |"))
+        .when(d % 5 == 1, line("lang: ", lang, "\nid: ", d, "\nlang: again"))
+        .when(d % 5 == 2, line("- ", lang, "\n* item ", d, "\ntext"))
+        .when(d % 5 == 3, line("1. ", lang, "\n2) item ", d))
+        .otherwise(F.col("text"))
+    )
+    return _docs(spark, sf_dir).select("doc_id", text.alias("text"))
+
+
+@query("structured_payload", rf"""WITH {MADE_SQL}, l AS (SELECT doc_id, text, {LINES_SQL} AS ls FROM made), t AS (SELECT *, {TYPE_SQL} AS type FROM l),
+  c AS (SELECT *, list_transform(list_filter(ls, lambda x: length(x) - length(replace(x, '|', '')) >= 2), lambda x: list_filter(list_transform(string_split(x, '|'), lambda y: trim(y)), lambda y: y <> '' AND NOT regexp_matches(y, '^-+$'))) AS cells,
+         list_filter(ls, lambda x: regexp_matches(x, '^[^:]{{1,60}}:\s+.+')) AS kv FROM t)
+  SELECT doc_id, type, CASE WHEN type = 'table' THEN array_to_string(coalesce(cells[1], []), ',') END AS headers,
+    CASE WHEN type = 'table' THEN array_to_string(list_transform(list_filter(cells[2:], lambda r: len(r) > 0), lambda r: array_to_string(r, ',')), ';') END AS cells,
+    CASE WHEN type = 'key_value' THEN (SELECT string_agg(k || '=' || v, ';' ORDER BY p) FROM (SELECT k, min(p) AS p, max_by(v, p) AS v FROM (SELECT trim(regexp_extract(x, '^([^:]{{1,60}}):\s+(.+)', 1)) AS k, trim(regexp_extract(x, '^([^:]{{1,60}}):\s+(.+)', 2)) AS v, p FROM (SELECT unnest(kv) AS x, generate_subscripts(kv, 1) AS p)) GROUP BY k)) END AS data,
+    CASE WHEN type = 'bullet_list' THEN array_to_string(list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^[\-\*•‣]\s+')), lambda x: regexp_replace(regexp_replace(x, '^[\-\*•‣]\s+', ''), '^\d+[.)]\s+', '')), lambda x: x <> ''), ';')
+         WHEN type = 'numbered_list' THEN array_to_string(list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^\d+[.)]\s+')), lambda x: regexp_replace(regexp_replace(x, '^[\-\*•‣]\s+', ''), '^\d+[.)]\s+', '')), lambda x: x <> ''), ';') END AS items FROM c""")
+def structured_payload(spark, sf_dir):
+    """What tables, keys and lists hold."""
+    p = _made(spark, sf_dir).select("doc_id", R.structured(F.col("text")).alias("p")).select("doc_id", "p.*")
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
+    data = F.array_join(F.transform(F.map_entries("data"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return p.select("doc_id", "type", F.array_join("headers", ",").alias("headers"), cells.alias("cells"), data.alias("data"), F.array_join("items", ";").alias("items"))
+
+
+@query("blocks", rf"""WITH h AS (SELECT doc_id, text, trim(text) AS body, regexp_extract(trim(text), '^(.+?[.!?])\s', 1) AS sentence FROM documents),
+  b AS (SELECT doc_id, text, CASE WHEN sentence <> '' AND length(trim(sentence)) <= 200 THEN trim(sentence) WHEN length(body) <= 120 THEN body WHEN strpos(left(body, 120), ' ') > 0 AND 120 - strpos(reverse(left(body, 120)), ' ') > 40 THEN left(body, 120 - strpos(reverse(left(body, 120)), ' ')) || '...' ELSE left(body, 120) || '...' END AS head FROM h),
+  n AS (SELECT *, greatest(1, CAST(floor(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) * 1.3) AS BIGINT)) AS nt, greatest(1, CAST(floor(len(list_filter(string_split_regex(head, '\s+'), lambda x: x <> '')) * 1.3) AS BIGINT)) AS nh FROM b)
+  SELECT doc_id, 'full' AS compression, sha256(text) AS content_hash, sha256(text) AS version_hash, nt AS token_count FROM n UNION ALL SELECT doc_id, 'headline', sha256(head), sha256(text), nh FROM n
+  UNION ALL SELECT doc_id, 'structured', NULL, sha256(text), nt FROM n""")
 def blocks(spark, sf_dir):
-    """The two compressions whose token count is the source's; headlines are a query of their own."""
-    n = T.block_tokens(F.col("text"))
-    rows = _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("version_hash"), n.alias("token_count"))
-    return rows.select("doc_id", F.explode(F.array(F.lit("full"), F.lit("structured"))).alias("compression"), "version_hash", "token_count")
+    """Three blocks of each section; what the structured one holds is a query of its own."""
+    found = R.blocks(_docs(spark, sf_dir), "doc_id", F.lit(""))
+    return found.select("doc_id", "compression", F.when(F.col("compression") != "structured", F.sha2("content", 256)).alias("content_hash"), "version_hash", "token_count")
+
+
+@query("generate_tags", rf"""WITH d AS ({_domain_sql()}), docs AS (SELECT doc_id, text, source, lang, {LINES_SQL} AS ls, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents),
+  w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{4,}}') AND x NOT IN ({TOPIC_STOPS})) AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS topic, generate_subscripts(ws, 1) AS pos FROM w),
+  c AS (SELECT doc_id, topic, count(*) AS n, min(pos) AS pos FROM e GROUP BY doc_id, topic), f AS (SELECT doc_id, topic, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS r FROM c) WHERE r <= 3 AND n >= 2),
+  v AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents), x AS (SELECT doc_id, len(ws) AS n, CAST(len(list_distinct(ws)) AS DOUBLE) / greatest(len(ws), 1) AS d FROM v),
+  every AS (
+    SELECT doc_id, 'domain' AS tag_key, domain AS tag_value, confidence FROM d
+    UNION ALL SELECT doc_id, 'topic', lower(trim(source)), 0.95 FROM docs WHERE trim(source) <> '' UNION ALL SELECT doc_id, 'topic', 'archive', 0.8 FROM docs UNION ALL SELECT doc_id, 'topic', lower(trim(source)), 0.8 FROM docs WHERE length(trim(source)) > 2
+    UNION ALL SELECT doc_id, 'topic', topic, round(least(0.7, 0.3 + n * 0.1), 2) FROM f
+    UNION ALL SELECT doc_id, 'complexity', CASE WHEN n = 0 THEN 'simple' WHEN n > 500 AND d > 0.5 THEN 'high' WHEN n > 200 OR d > 0.6 THEN 'medium' ELSE 'low' END, CASE WHEN n = 0 THEN 1.0 WHEN n > 500 AND d > 0.5 THEN 0.85 WHEN n > 200 OR d > 0.6 THEN 0.8 ELSE 0.85 END FROM x
+    UNION ALL SELECT doc_id, 'format_hint', CASE WHEN len(ls) = 0 THEN 'simple' WHEN {PIPES_SQL} >= 2 THEN 'structured_data' WHEN {_count_sql(chr(92) + 't')} >= 2 THEN 'structured_data' WHEN {_count_sql(r'^[\-\*•\d]+[.)]\s+|^[\-\*•]\s+')} >= 3 THEN 'list' WHEN {_count_sql(r'^[^:]{1,60}:\s+.+')} >= 2 THEN 'structured_data' WHEN n < 30 THEN 'simple' ELSE 'narrative' END,
+      CASE WHEN len(ls) = 0 THEN 1.0 WHEN {PIPES_SQL} >= 2 THEN 0.95 WHEN {_count_sql(chr(92) + 't')} >= 2 THEN 0.85 WHEN {_count_sql(r'^[\-\*•\d]+[.)]\s+|^[\-\*•]\s+')} >= 3 THEN 0.9 WHEN {_count_sql(r'^[^:]{1,60}:\s+.+')} >= 2 THEN 0.8 WHEN n < 30 THEN 0.9 WHEN n / len(ls) > 15 THEN 0.85 ELSE 0.7 END FROM docs
+    UNION ALL {" UNION ALL ".join(rf"SELECT doc_id, 'entity_type', '{k}', round(least(0.95, 0.6 + n * 0.1), 2) FROM (SELECT doc_id, len(regexp_extract_all(text, '{p}')) AS n FROM documents) WHERE n > 0" for k, p in R.ENTITY_TYPES.items())})
+  SELECT doc_id, tag_key, tag_value, CAST(max(confidence) AS DOUBLE) AS confidence FROM every GROUP BY doc_id, tag_key, tag_value""")
+def generate_tags(spark, sf_dir):
+    """All tags but entities, which are a query of their own; the hierarchy is `archive/<source>`."""
+    docs = _docs(spark, sf_dir)
+    found = R.tags(docs, "doc_id", F.lit(""), F.col("source"), F.concat(F.lit("archive/"), "source"))
+    return found.where("tag_key <> 'entities'").select("doc_id", "tag_key", "tag_value", "confidence")

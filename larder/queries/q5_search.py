@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.functions import text as T
-from larder.operators import rules as R
+from larder.functions import vectors as V
+from larder.operators import intents as I
 from larder.operators import search as S
 from larder.plans import fixtures as X
 from larder.session import table
@@ -16,63 +16,106 @@ TOKENS_SQL = f"tokens AS (SELECT doc_id, {X.tokens_sql('text')} AS ws FROM docum
 
 
 def _queries(spark, sf_dir):
-    """The first words of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    """All benchmark items, with their whole text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-QUERIES_SQL = f"asked AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS text FROM benchmark WHERE item_id % 4 = 0), wanted AS (SELECT query_id, unnest(list_distinct({X.tokens_sql('text')})) AS term FROM asked)"
-BM25_SQL = f"""{TOKENS_SQL}, {QUERIES_SQL}, size AS (SELECT count(*) AS n, avg(doc_length) AS mean FROM (SELECT DISTINCT doc_id, doc_length FROM idx)), freq AS (SELECT term, count(*) AS df FROM idx GROUP BY term),
-  scored AS (SELECT w.query_id, i.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_length / mean))), 6) AS score FROM wanted w JOIN idx i ON w.term = i.term JOIN freq f ON f.term = i.term CROSS JOIN size GROUP BY w.query_id, i.doc_id),
-  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10)"""
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+ASKED_SQL = f"asked AS (SELECT item_id AS query_id, {X.tokens_sql('text')} AS q FROM benchmark), wanted AS (SELECT query_id, len(list_distinct(q)) AS terms, unnest(list_distinct(q)) AS term FROM asked)"
+SIZE_SQL = "size AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM tokens WHERE len(ws) > 0)"
+SCORED_SQL = f"""{TOKENS_SQL}, {ASKED_SQL}, {SIZE_SQL}, freq AS (SELECT term, count(*) AS df FROM idx GROUP BY term),
+  scored AS (SELECT w.query_id, i.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_length / mean))), 6) AS score, count(*) = any_value(terms) AS every FROM wanted w JOIN idx i ON w.term = i.term JOIN freq f ON f.term = i.term CROSS JOIN size GROUP BY w.query_id, i.doc_id)"""
+PHRASES_SQL = f"""{TOKENS_SQL}, {ASKED_SQL}, {SIZE_SQL}, bodies AS (SELECT doc_id, len(ws) AS doc_length, ' ' || array_to_string(ws, '  ') || ' ' AS body FROM tokens WHERE len(ws) > 0), needles AS (SELECT query_id, ' ' || array_to_string(q, '  ') || ' ' AS phrase FROM asked WHERE len(q) > 0),
+  held AS (SELECT query_id, doc_id, doc_length, (length(body) - length(replace(body, phrase, ''))) // length(phrase) AS tf FROM needles JOIN bodies ON contains(body, phrase)),
+  keyed AS (SELECT h.query_id, doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_length / mean)), 6) AS score FROM held h JOIN (SELECT query_id, count(*) AS df FROM held GROUP BY query_id) USING (query_id) CROSS JOIN size),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM keyed) WHERE rank <= 30)"""
+#: Each two vectors are the chunks of a document; a benchmark item asks with the vector of its own number.
+NEAREST_SQL = """vec AS (SELECT item_id AS query_id, c.vec_id // 2 AS doc_id, max(round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6)) AS similarity
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id CROSS JOIN embeddings c GROUP BY 1, 2)"""
 
 
 @query("inverted_index", f"WITH {TOKENS_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM idx GROUP BY term")
 def inverted_index(spark, sf_dir):
-    index = S.inverted_index(table(spark, sf_dir, "documents"))
+    index = S.inverted_index(_docs(spark, sf_dir))
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
-@query("bm25_search", f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM best")
+@query("bm25_search", f"WITH {SCORED_SQL} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
 def bm25_search(spark, sf_dir):
-    return S.bm25(S.inverted_index(table(spark, sf_dir, "documents")), _queries(spark, sf_dir))
+    return S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir))
 
 
-@query("phrase_search", f"""WITH {QUERIES_SQL}, phrases AS (SELECT query_id, array_to_string(list_slice({X.tokens_sql('text')}, 1, 3), ' ') AS phrase FROM asked)
-  SELECT query_id, doc_id FROM phrases JOIN (SELECT doc_id, ' ' || {X.norm_sql('text')} || ' ' AS body FROM documents) ON phrase <> '' AND contains(body, ' ' || phrase || ' ')""")
+@query("phrase_search", f"WITH {PHRASES_SQL} SELECT query_id, doc_id, CAST(tf AS BIGINT) AS tf FROM held")
 def phrase_search(spark, sf_dir):
-    """Documents that hold a query's first three words in a row: met by the rows of their trigrams, an equi-join."""
-    words = T.tokens(F.col("text"))
-    phrases = _queries(spark, sf_dir).select("query_id", F.array_join(F.slice(words, 1, 3), " ").alias("phrase"), F.size(F.slice(words, 1, 3)).alias("n")).where("phrase <> ''")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    rows = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*(F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3))))).alias("phrase"))
-    return rows.join(phrases.select("query_id", "phrase"), "phrase").select("query_id", "doc_id")
-
-
-def _vector_hits(spark, sf_dir):
-    """A stand-in for vector similarity: a fixed fraction of each pair of ids, for a tenth of the documents."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id")
-    near = ((F.col("doc_id") * 37 + F.col("query_id") * 101) % 1000).cast("double") / 1000
-    asked = _queries(spark, sf_dir).where("query_id % 8 = 0").select("query_id")
-    return docs.crossJoin(F.broadcast(asked)).select("query_id", "doc_id", near.alias("similarity"))  # asked: at most an eighth of the benchmark
-
-
-@query("hybrid_search", f"""WITH {BM25_SQL}, vec AS (SELECT query_id, doc_id, CAST((doc_id * 37 + query_id * 101) % 1000 AS DOUBLE) / 1000 AS similarity FROM (SELECT doc_id FROM documents WHERE doc_id % 10 = 0) CROSS JOIN (SELECT query_id FROM asked WHERE query_id % 8 = 0)),
-  a AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER (PARTITION BY query_id) = min(score) OVER (PARTITION BY query_id) THEN 1.0 ELSE (score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) END AS s FROM best),
-  b AS (SELECT query_id, doc_id, CASE WHEN max(similarity) OVER (PARTITION BY query_id) = min(similarity) OVER (PARTITION BY query_id) THEN 1.0 ELSE (similarity - min(similarity) OVER (PARTITION BY query_id)) / (max(similarity) OVER (PARTITION BY query_id) - min(similarity) OVER (PARTITION BY query_id)) END AS v FROM vec),
+    """Documents that hold a whole item in a row."""
+    return S.phrases(_docs(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "doc_id", "tf")
+
+
+def _sections(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return rows.groupBy("id").agg(F.collect_list("vector").alias("vectors"))
+
+
+def _vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return vectors.join(_queries(spark, sf_dir).select("query_id"), "query_id")
+
+
+@query("section_scores", f"WITH {NEAREST_SQL} SELECT query_id, doc_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM vec) WHERE rank <= 10")
+def section_scores(spark, sf_dir):
+    """The best chunk of each section counts."""
+    near, _ = V.section_search(_vectors(spark, sf_dir), _sections(spark, sf_dir), 10)
+    return near.withColumnRenamed("id", "doc_id")
+
+
+@query("hybrid_search", f"""WITH {PHRASES_SQL}, {NEAREST_SQL},
+  a AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM best WINDOW w AS (PARTITION BY query_id)),
+  b AS (SELECT query_id, doc_id, CASE WHEN max(similarity) OVER w = min(similarity) OVER w THEN 1.0 ELSE (similarity - min(similarity) OVER w) / (max(similarity) OVER w - min(similarity) OVER w) END AS v FROM vec WINDOW w AS (PARTITION BY query_id)),
   mixed AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, round(CASE WHEN h.query_id IS NOT NULL THEN 0.4 * coalesce(s, 0.0) + 0.6 * coalesce(v, 0.0) ELSE coalesce(s, 0.0) END, 4) AS score
-    FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id LEFT JOIN (SELECT DISTINCT query_id FROM vec) h ON h.query_id = coalesce(a.query_id, b.query_id))
-  SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM mixed) WHERE rank <= 10""")
+    FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id LEFT JOIN (SELECT DISTINCT query_id FROM vec) h ON h.query_id = coalesce(a.query_id, b.query_id)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM mixed)
+  SELECT query_id, r.doc_id, score, rank, left(text, 300) AS snippet FROM ranked r LEFT JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 10""")
 def hybrid_search(spark, sf_dir):
-    return S.fuse(S.bm25(S.inverted_index(table(spark, sf_dir, "documents")), _queries(spark, sf_dir)), _vector_hits(spark, sf_dir), "doc_id")
+    """Whole items as phrases, three times as many as asked for, fused with vectors; the ten best with a snippet."""
+    keyword = S.phrase_bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=30)
+    found = S.hybrid(keyword, _vectors(spark, sf_dir), _sections(spark, sf_dir))
+    return found.join(_docs(spark, sf_dir).select("doc_id", S.snippet(F.col("text")).alias("snippet")), "doc_id", "left")
 
 
-@query("hybrid_search_left", f"""WITH {BM25_SQL}, vec AS (SELECT query_id, doc_id, CAST((doc_id * 37 + query_id * 101) % 1000 AS DOUBLE) / 1000 AS similarity FROM (SELECT doc_id FROM documents WHERE doc_id % 10 = 0) CROSS JOIN (SELECT query_id FROM asked WHERE query_id % 8 = 0))
-  SELECT b.query_id, b.doc_id, round(0.4 * score + 0.6 * coalesce(similarity, 0.0), 4) AS score FROM best b LEFT JOIN vec v ON b.query_id = v.query_id AND b.doc_id = v.doc_id""")
+@query("hybrid_search_left", f"""WITH {SCORED_SQL}, {NEAREST_SQL}
+  SELECT b.query_id, b.doc_id, round(0.4 * score + 0.6 * coalesce(similarity, 0.0), 4) AS score FROM (SELECT * FROM scored WHERE every) b LEFT JOIN vec v ON b.query_id = v.query_id AND b.doc_id = v.doc_id""")
 def hybrid_search_left(spark, sf_dir):
-    """The variant that keeps only keyword hits and doesn't normalise."""
-    found = S.bm25(S.inverted_index(table(spark, sf_dir, "documents")), _queries(spark, sf_dir)).join(_vector_hits(spark, sf_dir), ["query_id", "doc_id"], "left")
-    return found.select("query_id", "doc_id", F.round(0.4 * F.col("score") + 0.6 * F.coalesce("similarity", F.lit(0.0)), 4).alias("score"))
+    """The variant over documents with all words of an item, that keeps only these and doesn't scale."""
+    keyword = S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=None, every_term=True)
+    return S.hybrid_left(keyword, _vectors(spark, sf_dir), _sections(spark, sf_dir))
+
+
+@query("search_in_scope", f"""WITH {SCORED_SQL}, scoped AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.doc_id WHERE d.lang IN ('en', 'de') AND d.source <> '')
+  SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scoped) WHERE rank <= 10""")
+def search_in_scope(spark, sf_dir):
+    """Document type and jurisdiction as filters: weights are those of the whole corpus, hits those of the scope."""
+    scope = _docs(spark, sf_dir).where("lang in ('en', 'de') and source <> ''").select("doc_id")
+    return S._best(S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=None).join(scope, "doc_id", "left_semi"), "score", "doc_id", 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query("deterministic_answers", f"""WITH {SCORED_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 20),
+  sums AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN doc_id END) AS top, max(CASE WHEN rank = 1 THEN score END) AS score FROM best GROUP BY query_id)
+  SELECT query_id, 'Found ' || n || ' matching sections.' AS counted, CASE WHEN score > 0.5 THEN 'Validated: found ' || n || ' relevant sections. Top match: ' || source || ' (score: ' || printf('%.2f', score) || ')' ELSE 'Could not validate: no strong matches found.' END AS validated
+  FROM sums LEFT JOIN documents ON doc_id = top""")
+def deterministic_answers(spark, sf_dir):
+    """Answers to counting and validating questions, from a search of twenty."""
+    best = S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=20)
+    return I.answers(best, _docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), "text"), "doc_id").select("query_id", "counted", "validated")
+
+
+@query("extract_answers")
+def extract_answers(spark, sf_dir):
+    """Answers to extracting questions: entities of the ten best snippets, whose patterns SQL can't express."""
+    best = S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=20)
+    return I.answers(best, _docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), "text"), "doc_id").select("query_id", "extracted")
 
 
 @query("search_by_tag", "SELECT doc_id, source FROM documents WHERE lang = 'fr' AND doc_id % 11 <> 0 ORDER BY doc_id LIMIT 20")
@@ -91,15 +134,10 @@ def tag_index(spark, sf_dir):
     return tags.groupBy("tag_key", "tag_value").agg(F.count("*").alias("n"))
 
 
-@query("relationships_upsert", """SELECT least(source, lang) AS a, greatest(source, lang) AS b, count(*) AS hit_count FROM documents GROUP BY 1, 2""")
+@query("relationships_upsert", """SELECT least(source, lang) AS a, greatest(source, lang) AS b, count(*) + max(CASE WHEN lang = 'fr' THEN 10 ELSE 0 END) AS hit_count FROM documents GROUP BY 1, 2""")
 def relationships_upsert(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy(F.least("source", "lang").alias("a"), F.greatest("source", "lang").alias("b")).agg(F.count("*").alias("hit_count"))
-
-
-@query("tags_table", f"""WITH lines AS (SELECT doc_id, text FROM documents), c AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS n, CAST(len(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS DOUBLE) / greatest(len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')), 1) AS d FROM lines)
-  SELECT d.doc_id, 'complexity' AS tag_key, CASE WHEN n = 0 THEN 'simple' WHEN n > 500 AND c.d > 0.5 THEN 'high' WHEN n > 200 OR c.d > 0.6 THEN 'medium' ELSE 'low' END AS tag_value FROM c JOIN documents d ON d.doc_id = c.doc_id
-  UNION ALL SELECT doc_id, 'language', lang FROM documents""")
-def tags_table(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(F.create_map(F.lit("complexity"), R.complexity(F.col("text")), F.lit("language"), F.col("lang"))).alias("tag_key", "tag_value"))
+    """Pairs met together, added to the hits of those that are stored."""
+    docs = _docs(spark, sf_dir)
+    met = docs.groupBy(F.least("source", "lang").alias("a"), F.greatest("source", "lang").alias("b")).agg(F.count("*").alias("hit_count"))
+    stored = docs.where("lang = 'fr'").select(F.least("source", "lang").alias("a"), F.greatest("source", "lang").alias("b"), F.lit(10).cast("long").alias("hit_count")).distinct()
+    return stored.unionByName(met).groupBy("a", "b").agg(F.sum("hit_count").alias("hit_count"))

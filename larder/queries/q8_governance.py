@@ -13,6 +13,7 @@ from larder.plans import fixtures as X
 from larder.session import table
 
 from . import query
+from .q9_streaming import BREAKER_SQL
 
 OPENINGS = ["List all", "Explain how", "Compare", "How many", "Summarize the", "Write a short", "What is", "Extract every", "Find me", "Run", "in detail", "Translate it to a table"]
 
@@ -20,10 +21,10 @@ OPENINGS = ["List all", "Explain how", "Compare", "How many", "Summarize the", "
 def _asked(spark, sf_dir):
     """Turns behind openings that fire the patterns."""
     opening = F.get(F.array(*map(F.lit, OPENINGS)), (F.col("conv_id") % len(OPENINGS)).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(opening, F.lit(" "), F.left("text", F.lit(60))).alias("q"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(opening, F.lit(" "), "text").alias("q"))
 
 
-ASKED_SQL = "asked AS (SELECT conv_id, turn, CASE conv_id % 12 " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(OPENINGS)) + " END || ' ' || left(text, 60) AS q FROM conversations)"
+ASKED_SQL = "asked AS (SELECT conv_id, turn, CASE conv_id % 12 " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(OPENINGS)) + " END || ' ' || text AS q FROM conversations)"
 
 
 def _intent_sql() -> str:
@@ -122,12 +123,18 @@ def rate_limit_sliding(spark, sf_dir):
     return L.sliding_bound(table(spark, sf_dir, "events"), "user_id", "ts", 43_200, 2).select("event_id", "recent", "over")
 
 
-@query("rate_limit_exact")
+@query("rate_limit_exact", """WITH RECURSIVE asked AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  steps AS (
+    SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS recent, false AS allowed FROM (SELECT DISTINCT user_id FROM asked)
+    UNION ALL
+    SELECT user_id, i, event_id, CASE WHEN len(kept) < 2 THEN list_append(kept, us) ELSE kept END, len(kept) < 2
+    FROM (SELECT a.user_id, a.i, a.event_id, a.us, list_filter(s.recent, lambda x: x > a.us - 43200000000) AS kept FROM steps s JOIN asked a ON a.user_id = s.user_id AND a.i = s.i + 1))
+  SELECT user_id, event_id, allowed FROM steps WHERE i > 0""")
 def rate_limit_exact(spark, sf_dir):
     return L.sliding_exact(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 43_200, 2)
 
 
-@query("circuit_breaker")
+@query("circuit_breaker", f"WITH {BREAKER_SQL} SELECT user_id, event_id, shown AS state, admitted FROM steps WHERE i > 0")
 def circuit_breaker(spark, sf_dir):
     calls = table(spark, sf_dir, "events").withColumn("failed", F.col("event_type").isin("error", "click"))
     return L.breaker(calls, "user_id", "ts", "event_id", failures=2, seconds=86_400, probes=1)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from larder.session import table
+from larder.storage import fresh
 from larder.streaming import streams as S
 
 from . import query
@@ -23,6 +27,35 @@ def stream_rate_limit(spark, sf_dir):
     return S.run_once(S.request_rates(S.events_stream(spark, sf_dir)), "complete")
 
 
-@query("stream_breaker")
+#: A breaker in SQL: each call by recursion over its key's calls; two failures in a row, a day, one probe.
+BREAKER_SQL = """RECURSIVE calls AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type IN ('error', 'click') AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  steps AS (
+    SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 'closed' AS state, CAST(0 AS BIGINT) AS bad, CAST(0 AS BIGINT) AS opened, CAST(0 AS BIGINT) AS tried, '' AS shown, false AS admitted FROM (SELECT DISTINCT user_id FROM calls)
+    UNION ALL
+    SELECT user_id, i, event_id, CASE WHEN NOT admitted THEN now WHEN NOT failed THEN 'closed' WHEN now = 'half_open' OR bad + 1 >= 2 THEN 'open' ELSE now END, CASE WHEN NOT admitted THEN bad WHEN NOT failed THEN 0 ELSE bad + 1 END,
+           CASE WHEN admitted AND failed AND (now = 'half_open' OR bad + 1 >= 2) THEN us ELSE opened END, CASE WHEN admitted AND now = 'half_open' THEN tries + 1 ELSE tries END, now, admitted
+    FROM (SELECT *, now = 'closed' OR now = 'half_open' AND tries < 1 AS admitted FROM (
+      SELECT c.user_id, c.i, c.event_id, c.us, c.failed, s.bad, s.opened, CASE WHEN s.state = 'open' AND c.us - s.opened >= 86400000000 THEN 'half_open' ELSE s.state END AS now,
+             CASE WHEN s.state = 'open' AND c.us - s.opened >= 86400000000 THEN 0 ELSE s.tried END AS tries FROM steps s JOIN calls c ON c.user_id = s.user_id AND c.i = s.i + 1)))"""
+
+
+@query("stream_breaker", f"""WITH {BREAKER_SQL}, mark AS (SELECT max(epoch_us(ts)) - 3600000000 AS us FROM events), last AS (SELECT user_id, max_by(state, i) AS state, max_by(bad, i) AS bad, max_by(opened, i) AS opened FROM steps GROUP BY user_id)
+  SELECT user_id, CASE WHEN state = 'open' AND opened + 86400000000 <= us THEN 'half_open' ELSE state END AS state, bad AS failures_in_row FROM last CROSS JOIN mark""")
 def stream_breaker(spark, sf_dir):
-    return S.run_once(S.breaker_states(S.events_stream(spark, sf_dir)), "update")
+    events = S.events_stream(spark, sf_dir).withColumn("failed", F.col("event_type").isin("error", "click"))
+    return S.run_once(S.breaker_states(events, failures=2, seconds=86_400, probes=1), "update", "user_id")
+
+
+@query("polling_diff", """SELECT doc_id AS path, CASE WHEN doc_id % 6 = 0 THEN 'new' WHEN doc_id % 6 = 1 THEN 'deleted' ELSE 'changed' END AS change FROM documents WHERE doc_id % 6 < 3""")
+def polling_diff(spark, sf_dir):
+    """Two polls of a folder: the second finds files that are new, gone or written again."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
+    folder = fresh(spark, "poll")
+    S.poll(docs.where("path % 6 <> 0"), folder)
+    return S.poll(docs.where("path % 6 <> 1").withColumn("hash", F.when(F.col("path") % 6 == 2, "written again").otherwise(F.col("hash"))), folder)
+
+
+@query("counter_gates", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 10 = 0")
+def counter_gates(spark, sf_dir):
+    """Each tenth write of a tenant."""
+    return S.gates(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 10).where("opens").select("event_id", "user_id")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder.operators.chunking import table_function
 
 #: What may be ingested, by suffix, and how large it may be.
-FORMATS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "html": "html", "htm": "html", "md": "markdown", "markdown": "markdown", "csv": "csv", "json": "json", "txt": "text", "log": "text", "xml": "text", "rst": "text"}
+FORMATS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "html": "html", "htm": "html", "md": "markdown", "markdown": "markdown", "csv": "csv", "json": "json", "txt": "text", "text": "text", "log": "text", "rst": "text"}
 MOST_BYTES = 50 * 1024 * 1024
 
 
@@ -160,6 +160,14 @@ def docx_sections(rows: DataFrame, key: str = "path", column: str = "content") -
     return table_function(rows, key, [column], _docx, "section long, title string, body string")
 
 
+def has_pdf() -> bool:
+    try:
+        import pypdf  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
 def pdf_sections(rows: DataFrame, key: str = "path", column: str = "content") -> DataFrame:
     """(key, section, title, body): one for each page with text. Needs a PDF library on the executors."""
 

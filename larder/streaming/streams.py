@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.operators.limits import CLOSED, breaker_step
+from larder.storage import fresh
+
 
 def events_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
     """The events table as a stream of its files; zoneless times become instants, so that a watermark can be set."""
@@ -28,12 +29,26 @@ def _children(spark: SparkSession, path: str):
         yield from fs.listStatus(p)
 
 
-def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, through the stream, as a table."""
-    name = f"larder_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
+    """All that is there now, through the stream, as a table in the shared folder; its state is kept there too.
+
+    Each batch replaces its own folder, so that a batch run again leaves nothing twice. In mode complete the last batch is the
+    result; in mode update the last row of each key; in mode append all rows.
+    """
+    spark, folder = stream.sparkSession, fresh(stream.sparkSession, "stream")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.foreachBatch(put).start().awaitTermination()
+    found = spark.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{folder}/out")
+    if mode == "complete":
+        found = found.join(F.broadcast(found.agg(F.max("batch").alias("batch"))), "batch", "left_semi")  # one row
+    elif mode == "update":
+        last = Window.partitionBy(key).orderBy(F.desc("batch"))
+        found = found.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    return found.drop("batch")
 
 
 def daily_usage(events: DataFrame) -> DataFrame:
@@ -51,19 +66,54 @@ def request_rates(events: DataFrame, length: str = "12 hours", slide: str = "6 h
     return events.groupBy(F.window("ts", length, slide).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
 
 
-def breaker_states(events: DataFrame, failures: int = 2) -> DataFrame:
-    """(user_id, failures_in_row, state) after each batch, from keyed state: failures in a row open the breaker."""
+def breaker_states(events: DataFrame, failures: int = 5, seconds: int = 60, probes: int = 2) -> DataFrame:
+    """(user_id, state, failures_in_row) of events(user_id, ts, event_id, failed) after each batch, from keyed state.
+
+    An open breaker has a timer: once the watermark is `seconds` past its opening, it is half-open without any call.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, batches, state):
-        bad = state.get[0] if state.exists else 0
-        opened = state.get[1] if state.exists else False
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            bad = bad + 1 if kind in ("error", "click") else 0
-            opened = opened or bad >= failures
-        state.update((int(bad), bool(opened)))
-        yield pd.DataFrame({"user_id": [key[0]], "failures_in_row": [int(bad)], "state": ["open" if opened else "closed"]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, failures_in_row long, state string", "bad long, opened boolean", "update", GroupStateTimeout.NoTimeout)
+        held = state.get if state.exists else CLOSED
+        if state.hasTimedOut:
+            held = ("half_open", held[1], held[2], 0)
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            for at, failed in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["failed"], strict=True):
+                held, _, _ = breaker_step(tuple(held), int(at), bool(failed), failures, seconds * 1_000_000, probes)
+        state.update(tuple(held))
+        if held[0] == "open":
+            state.setTimeoutTimestamp(max(held[2] // 1000 + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "state": [held[0]], "failures_in_row": [held[1]]})
+
+    kept = "state string, bad long, opened long, tried long"
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, state string, failures_in_row long", kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def file_changes(before: DataFrame, now: DataFrame, key: str = "path", version: str = "hash") -> DataFrame:
+    """(key, change) of two polls of a folder: new, changed and deleted files; what is as it was is left out."""
+    both = before.select(key, F.col(version).alias("_old")).join(now.select(key, F.col(version).alias("_new")), key, "full")
+    change = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "deleted").when(F.col("_old") != F.col("_new"), "changed")
+    return both.select(key, change.alias("change")).where("change is not null")
+
+
+def poll(files: DataFrame, folder: str, key: str = "path", version: str = "hash") -> DataFrame:
+    """A poll that remembers: changes since the last one under this folder, whose snapshot is then replaced by this one's.
+
+    Called by a scheduler, or from foreachBatch of a stream with a trigger of 30 seconds.
+    """
+    spark = files.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(int(p.getPath().getName()[2:]) for p in system.listStatus(path) if p.getPath().getName().startswith("n=")) if system.exists(path) else []
+    now = files.select(key, version)
+    now.write.parquet(f"{folder}/n={done[-1] + 1 if done else 0}")
+    before = spark.read.schema(now.schema).parquet(f"{folder}/n={done[-1]}") if done else spark.createDataFrame([], now.schema)
+    return file_changes(before, spark.read.schema(now.schema).parquet(f"{folder}/n={done[-1] + 1 if done else 0}"), key, version)
+
+
+def gates(counted: DataFrame, by: str, order: list[str], every: int) -> DataFrame:
+    """counted with opens: each `every`-th write of a counter opens a gate, to maintenance, say."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return counted.withColumn("opens", n % every == 0)
