@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.storage import spill
+
 #: Prices per million tokens (input, output); the longest prefix counts, then `_default`.
 PRICES = {
     "gpt-4.1": (2.00, 8.00), "gpt-4.1-mini": (0.40, 1.60), "gpt-4.1-nano": (0.10, 0.40), "gpt-4o": (2.50, 10.00), "gpt-4o-mini": (0.15, 0.60),
@@ -35,5 +37,36 @@ def priced(usage: DataFrame, table: DataFrame) -> DataFrame:
     return usage.join(rates, "model").withColumn("cost", cost)
 
 
-def percentile(values: Column, p: float) -> Column:
-    return F.percentile(values, F.lit(p))
+def ranked_values(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value, below, upto, n): of each distinct value of a group how many rows are below it, and below or equal; n of all.
+
+    Values are counted first, then dealt into ranges and written. Ranks run within a range of a group and are raised by the counts
+    of the ranges before, of which there are as many as partitions; so no group is one task's work.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    ranged = spill(counted.repartitionByRange(by, value).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(by, "_range").agg(F.sum("_c").alias("_sum"))
+    order = Window.partitionBy(by).orderBy("_range")
+    sums = sums.select(by, "_range", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(by)).alias("n"))
+    within = F.sum("_c").over(Window.partitionBy(by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    found = ranged.withColumn("_within", within).join(sums, [by, "_range"])
+    upto = F.col("_before") + F.col("_within")
+    return found.select(by, value, (upto - F.col("_c")).alias("below"), upto.alias("upto"), "n")
+
+
+def at_rank(rank: Column, value: str) -> Column:
+    """The value of a group's ranked_values that holds a rank, from 0."""
+    return F.max(F.when((F.col("below") <= rank) & (rank < F.col("upto")), F.col(value)))
+
+
+def percentiles(rows: DataFrame, by: str, value: str, wanted: dict[str, float], nearest: bool = False) -> DataFrame:
+    """(by, <name>...): each wanted share's percentile of a group, by linear interpolation; nearest: the value of rank int(n * p)."""
+    parts = {}
+    for name, p in wanted.items():
+        exact = (F.col("n") - 1) * p
+        parts[name] = [F.least(F.floor(F.col("n") * p), F.col("n") - 1)] if nearest else [F.floor(exact), F.ceil(exact)]
+    ranked = ranked_values(rows, by, value)
+    found = ranked.groupBy(by).agg(F.first("n").alias("n"), *(at_rank(r, value).alias(f"{name}_{i}") for name, ranks in parts.items() for i, r in enumerate(ranks)))
+    share = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+    of = lambda name, p: F.col(f"{name}_0") if nearest else F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * share(p)
+    return found.select(by, *(of(name, p).alias(name) for name, p in wanted.items()))

@@ -63,8 +63,10 @@ def usage_by_tenant(spark, sf_dir):
 
 @query("benchmark_report", f"""WITH {X.USAGE_SQL} SELECT layer, count(*) AS n, round(avg(latency_ms), 4) AS mean, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(quantile_cont(latency_ms, 0.99), 4) AS p99 FROM usage GROUP BY layer""")
 def benchmark_report(spark, sf_dir):
-    v = F.col("latency_ms")
-    return X.usage(spark, sf_dir).groupBy("layer").agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"), *(F.round(A.percentile(v, p), 4).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+    rows = X.usage(spark, sf_dir)
+    sums = rows.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean"))
+    found = A.percentiles(rows, "layer", "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return sums.join(found, "layer", "left").select("layer", "n", "mean", *(F.round(p, 4).alias(p) for p in ("p50", "p95", "p99")))
 
 
 @query("benchmark_projection", f"""WITH {PRICED_SQL} SELECT round(avg(CASE WHEN cached THEN latency_ms END), 4) AS cached_ms, round(avg(CASE WHEN NOT cached THEN latency_ms END), 4) AS model_ms, round(avg(CASE WHEN NOT cached THEN latency_ms END) / avg(CASE WHEN cached THEN latency_ms END), 2) AS speedup,
@@ -78,13 +80,11 @@ def benchmark_projection(spark, sf_dir):
 @query("stress_metrics", """SELECT event_type AS category, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error' AND event_id % 20 <> 0) AS success, round(list_sort(list(value))[least(CAST(floor(count(*) * 0.5) AS INTEGER), CAST(count(*) AS INTEGER) - 1) + 1], 6) AS p50,
   round(list_sort(list(value))[least(CAST(floor(count(*) * 0.95) AS INTEGER), CAST(count(*) AS INTEGER) - 1) + 1], 6) AS p95 FROM events GROUP BY event_type""")
 def stress_metrics(spark, sf_dir):
-    """Nearest-rank percentiles, from counts of distinct values: ranks run over these, so that no group is collected."""
+    """Nearest-rank percentiles."""
     events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "category")
     totals = events.groupBy("category").agg(F.count("*").alias("n"), F.count_if((F.col("category") != "error") & (F.col("event_id") % 20 != 0)).alias("success"))
-    counted = events.groupBy("category", "value").agg(F.count("*").alias("c"))
-    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("category").orderBy("value"))).join(totals, "category")
-    at = lambda p: F.round(F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("value"))), 6)
-    return upto.groupBy("category").agg(F.first("n").alias("n"), F.first("success").alias("success"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    found = A.percentiles(events, "category", "value", {"p50": 0.5, "p95": 0.95}, nearest=True)
+    return totals.join(found, "category", "left").select("category", "n", "success", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("stress_errors", "SELECT left(props, 80) AS error, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, error LIMIT 5")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,45 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larder-{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that spill has written within each open cleared().
+_open: list[list[str]] = []
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path, system = _path(spark, name)
+    system.delete(path, True)
+
+
+def delete_at_exit(spark: SparkSession, name: str) -> None:
+    """The folder goes when the driver ends."""
+    path, system = _path(spark, name)
+    system.deleteOnExit(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what spill has written within it; for steps whose result is written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for name in _open.pop():
+            delete(spark, name)
+
+
 def spill(df: DataFrame) -> DataFrame:
-    """Writes df once and reads it back: cuts its lineage, and lost executors don't cost a second run of it."""
+    """Writes df once and reads it back: cuts its lineage, and lost executors don't cost a second run of it.
+
+    The table is deleted when the driver ends, or by cleared().
+    """
     path = fresh(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_exit(df.sparkSession, path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
