@@ -126,7 +126,7 @@ def is_doubtful(tag: str, attrs: dict[str, str]) -> bool:
 def blocks(source: str) -> list[Block]:
     """The blocks of a page in order, without those of elements that never hold the article and of doubtful containers."""
     found: list[Block] = []
-    stack, doubts = Stack(), []  # doubts: of each doubtful container the one around it
+    stack, doubts = Stack(), []  # doubts: of each doubtful container the one around it, and whether it is within the article
     now, links, at = Block(), 0, 0
 
     def close(heading: bool = False) -> None:
@@ -196,7 +196,7 @@ def blocks(source: str) -> list[Block]:
         dropped = outer.dropped or is_dropped(tag, attrs, outer.article)
         doubt = outer.doubt
         if not dropped and is_doubtful(tag, attrs):
-            doubts.append(doubt)
+            doubts.append((doubt, outer.article))
             doubt = len(doubts) - 1
         depth = len(stack.open)
         stack.push(Open(tag, dropped, (outer.article or says) and not dropped, doubt, depth if tag in BLOCK else outer.block))
@@ -209,8 +209,11 @@ def blocks(source: str) -> list[Block]:
     return _without_doubtful(found, doubts)
 
 
-def _without_doubtful(found: list[Block], doubts: list[int]) -> list[Block]:
-    """Blocks that are in no doubtful container, but for those that hold over half of the marked text, or of all if none is marked."""
+def _without_doubtful(found: list[Block], doubts: list[tuple[int, bool]]) -> list[Block]:
+    """Blocks that are in no doubtful container, but for those that hold over half of the marked text, or of all if none is marked.
+
+    A container within the article, as comments are, must hold nine tenths of it.
+    """
     if not doubts:
         return found
     counted = [b.article for b in found] if any(b.article for b in found) else [True] * len(found)
@@ -219,12 +222,12 @@ def _without_doubtful(found: list[Block], doubts: list[int]) -> list[Block]:
         if counts and b.doubt >= 0:
             held[b.doubt] += len(b.text)
     for i in range(len(doubts) - 1, -1, -1):
-        if doubts[i] >= 0:
-            held[doubts[i]] += held[i]
+        if doubts[i][0] >= 0:
+            held[doubts[i][0]] += held[i]
     total = sum(len(b.text) for b, counts in zip(found, counted, strict=True) if counts)
     dropped = [False] * len(doubts)
-    for i, outer in enumerate(doubts):
-        dropped[i] = 2 * held[i] <= total or outer >= 0 and dropped[outer]
+    for i, (outer, inside) in enumerate(doubts):
+        dropped[i] = held[i] <= total * (0.9 if inside else 0.5) or outer >= 0 and dropped[outer]
     return [b for b in found if b.doubt < 0 or not dropped[b.doubt]]
 
 
