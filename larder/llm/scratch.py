@@ -1,29 +1,5 @@
 """Intermediate tables in the folder that all executors share."""
 
-from __future__ import annotations
+from larder.storage import cleared, delete, fresh, shared_dir, spill
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where none is given (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="larder-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def spill(df: DataFrame) -> DataFrame:
-    """Writes df once and reads it back: cuts its lineage, and lost executors don't cost a second run of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larder-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cleared", "delete", "fresh", "shared_dir", "spill"]
