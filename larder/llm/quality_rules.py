@@ -107,7 +107,8 @@ def judge(docs: DataFrame, columns: list[str], common: dict[str, list[str]] | No
     The references are the summed histograms of all rows of a language that don't fail the base rules, with one for all
     rows of unknown or null languages; there are as many as languages in `common`, plus one. Null and empty texts have no
     words and fail. Documents under LEAST_WORDS aren't held to that histogram; nor are those whose language has no
-    reference. Repeated rows are judged alike. The columns may have any names. An empty table gives none.
+    reference. Repeated rows are judged alike. The columns may have any names. An empty table gives none. A very long text is
+    one row's arrays of words and windows, some 100 bytes a word. Runs a job while it is built.
     """
     found = spill(features(docs, columns, common or COMMON_WORDS))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -135,5 +136,5 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of docs that the rules keep."""
+    """Pipeline stage: the rows of docs that the rules keep, all columns as they are; null and empty texts go. See `judge`."""
     return judge(docs, docs.columns).where("kept").select("row.*")
