@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +49,35 @@ class Engine:
 
     def status(self) -> DataFrame:
         return self.sections.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))
+
+    def cache_stats(self) -> DataFrame:
+        """(answers, chars): what the cache holds."""
+        return self.answers.agg(F.count("*").alias("answers"), F.sum(F.length("answer")).alias("chars"))
+
+    def admin_metrics(self) -> DataFrame:
+        """(metric, value): status and cache in one table."""
+        parts = [x for x in (self.status() if self.sections is not None else None, self.cache_stats() if self.answers is not None else None) if x is not None]
+        out = self.spark.createDataFrame([], "metric string, value long")
+        for x in parts:
+            out = out.unionByName(x.select(F.explode(F.create_map(*(c for name in x.columns for c in (F.lit(name), F.col(name).cast("long"))))).alias("metric", "value")))
+        return out
+
+    async def aquery(self, questions: DataFrame) -> list:
+        """The rows of query, collected in a thread; for small batches of questions that someone waits for."""
+        return await asyncio.to_thread(lambda: self.query(questions).collect())
+
+    # What a model may call, each as a table.
+
+    def search_data(self, text: str, k: int = 10) -> DataFrame:
+        """(doc_id, score, rank, snippet) of the best sections for one question."""
+        asked = self.spark.createDataFrame([(0, text)], "query_id long, text string")
+        return self.search(asked, k).join(self.sections.select("doc_id", S.snippet(F.col("text")).alias("snippet")), "doc_id").select("doc_id", "score", "rank", "snippet")
+
+    def get_section(self, doc_id: int) -> DataFrame:
+        return self.sections.where(F.col("doc_id") == doc_id)
+
+    def search_project(self, chunks: DataFrame, files: DataFrame, text: str, k: int = 10) -> DataFrame:
+        """(chunk_id, path, score, rank) of chunks(chunk_id, file_id, text), with the paths of files(file_id, path)."""
+        asked = self.spark.createDataFrame([(0, text)], "query_id long, text string")
+        found = S.bm25(chunks, asked, key="chunk_id", k=k).join(chunks.select("chunk_id", "file_id"), "chunk_id")
+        return found.join(files, "file_id").select("chunk_id", "path", "score", "rank")

@@ -26,6 +26,19 @@ def prices(spark, table: dict[str, tuple[float, float]] | None = None) -> DataFr
     return spark.createDataFrame(rows, "prefix string, input_rate double, output_rate double")
 
 
+def read_prices(spark, path: str) -> DataFrame:
+    """A price file: a JSON object of models, each with `input` and `output` per million tokens; read anew by each query that asks."""
+    rows = spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json("value", "map<string,struct<input:double,output:double>>")).alias("prefix", "p"))
+    return rows.select("prefix", F.col("p.input").alias("input_rate"), F.col("p.output").alias("output_rate"))
+
+
+def export_csv(daily: DataFrame, path: str, order: str) -> None:
+    """Daily rows as CSV in order, and beside them the totals of all whole-number and double columns, as `summary`."""
+    numbers = [f.name for f in daily.schema.fields if f.dataType.typeName() in ("long", "integer", "double")]
+    daily.repartitionByRange(order).sortWithinPartitions(order).write.option("header", "true").csv(f"{path}/daily")
+    daily.agg(*(F.sum(c).alias(c) for c in numbers)).write.option("header", "true").csv(f"{path}/summary")
+
+
 def priced(usage: DataFrame, table: DataFrame) -> DataFrame:
     """usage(model, input_tokens, output_tokens, ...) with rates and cost: each distinct model is matched once, then joined."""
     models = usage.select("model").distinct()

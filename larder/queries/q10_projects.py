@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder import api
 from larder.functions import text as T
+from larder.operators import analytics as A
 from larder.operators import chunking as K
 from larder.operators import project as P
 from larder.operators import rules as R
@@ -197,12 +198,15 @@ def count_answers(spark, sf_dir):
     return found.groupBy("lang").agg(F.concat(F.lit("Found "), F.count("*"), F.lit(" matching sections.")).alias("answer"))
 
 
-@query("usage_export", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS requests FROM events GROUP BY 1 UNION ALL SELECT '# total', count(*) FROM events")
+@query("usage_export", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS requests, round(sum(value), 2) AS total FROM events GROUP BY 1 UNION ALL SELECT '# total', count(*), round(sum(value), 2) FROM events")
 def usage_export(spark, sf_dir):
-    """Daily rows and a trailer, as they go into a CSV file."""
-    events = table(spark, sf_dir, "events")
-    daily = events.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("requests"))
-    return daily.unionByName(events.agg(F.count("*").alias("requests")).select(F.lit("# total").alias("day"), "requests"))
+    """Daily rows and their totals, written as CSV and read again."""
+    daily = table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("requests"), F.sum("value").alias("total"))
+    path = fresh(spark, "export")
+    A.export_csv(daily, path, "day")
+    read = lambda name, schema: spark.read.schema(schema).option("header", "true").csv(f"{path}/{name}")
+    rows = read("daily", "day string, requests long, total double").unionByName(read("summary", "requests long, total double").withColumn("day", F.lit("# total")))
+    return rows.select("day", "requests", F.round("total", 2).alias("total"))
 
 
 @query("api_ingest_status", "SELECT count(*) AS documents, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
@@ -217,3 +221,9 @@ def api_query(spark, sf_dir):
     rows = X.exchanges(spark, sf_dir)
     engine = api.Engine(spark).remember(rows.where("answer is not null").select(F.col("question_id").alias("cache_id"), "question", "answer"))
     return engine.query(rows.select("question_id", "question")).select("question_id", "cache_id", "needs_generation")
+
+
+@query("api_cache_stats", f"WITH {X.EXCHANGES_SQL}, k AS (SELECT sha256({X.norm_sql('question')}) AS key, answer FROM exchanges) SELECT count(DISTINCT key) AS answers, CAST((SELECT sum(first) FROM (SELECT key, length(min_by(answer, question_id)) AS first FROM (SELECT question_id, answer, sha256({X.norm_sql('question')}) AS key FROM exchanges WHERE answer IS NOT NULL) GROUP BY key)) AS BIGINT) AS chars FROM k WHERE answer IS NOT NULL")
+def api_cache_stats(spark, sf_dir):
+    rows = X.exchanges(spark, sf_dir)
+    return api.Engine(spark).remember(rows.where("answer is not null").select(F.col("question_id").alias("cache_id"), "question", "answer")).cache_stats()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -18,14 +20,26 @@ FORMATS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "html": "html", "htm": "
 MOST_BYTES = 50 * 1024 * 1024
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, format, length, content) of all files under a folder that may be ingested; the rest are pruned by name and size."""
+def files(spark: SparkSession, folder: str, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """(path, format, length, content) of all files under a folder that may be ingested; the rest are pruned by name and size, and empty files.
+
+    With `allowed` the folder must lie within one of these, once both are resolved; else it is refused.
+    """
+    if allowed and not any(_within(folder, a) for a in allowed):
+        raise PermissionError(f"{folder} is in no allowed folder")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.create_map(*(F.lit(x) for pair in FORMATS.items() for x in pair))[suffix]
     return found.where((F.col("length") <= MOST_BYTES) & suffix.isin(list(FORMATS))).select("path", kind.alias("format"), "length", "content")
 
 
+def _within(path: str, folder: str) -> bool:
+    """Whether a path is a folder or in it; dots and, of local paths, links are resolved."""
+    resolve = lambda p: os.path.realpath(p.removeprefix("file://")) if "://" not in p.removeprefix("file://") else posixpath.normpath(p)
+    inner, outer = resolve(path), resolve(folder)
+    return inner == outer or inner.startswith(outer.rstrip("/") + "/")
+
+
 def csv_sections(rows: DataFrame, by: list[str], order: str, columns: list[str], size: int = 50) -> DataFrame:
     """(by, part, title, body): groups of 50 rows as `k: v | k: v` lines; empty values are left out."""
     at = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
