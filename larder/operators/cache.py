@@ -17,9 +17,14 @@ def expired(created_s: Column, ttl: Column, as_of: Column) -> Column:
 
 
 def exact_lookup(asks: DataFrame) -> DataFrame:
-    """asks(key, asked_s, question_id, ...) with hit and source_id: the first ask of a key pays, all later ones hit."""
-    order = Window.partitionBy("key").orderBy("asked_s", "question_id")
-    return asks.withColumn("hit", F.row_number().over(order) > 1).withColumn("source_id", F.first("question_id").over(order))
+    """asks(key, asked_s, question_id, ...) with hit and source_id: the first ask of a key pays, all later ones hit.
+
+    The first is a minimum, combined on the map side, and the join back is one that adaptive execution can split: a question
+    that a third of all asks repeat isn't one task's work. question_id is unique.
+    """
+    first = asks.groupBy("key").agg(F.min(F.struct("asked_s", "question_id")).alias("_first"))
+    met = asks.join(first, "key")
+    return met.withColumn("hit", F.struct("asked_s", "question_id") != F.col("_first")).withColumn("source_id", F.col("_first.question_id")).drop("_first")
 
 
 def verify(cache: DataFrame, sections: DataFrame) -> DataFrame:
