@@ -45,14 +45,24 @@ def shingles(words: list[bytes], width: int) -> list[bytes]:
     return [b" ".join(words)] if words else []
 
 
-def fingerprint_of(words: list[bytes], width: int, seed: int = 42) -> int:
-    """A bit is set if it is set in over half of the shingles' XXH64; no words: zero."""
-    found, ones = shingles(words, width), np.zeros(64, dtype=np.int64)
+def hashes(found: list[bytes], seed: int = 42) -> np.ndarray:
+    """The XXH64 of each shingle."""
     digest = xxhash.xxh64_intdigest
-    for i in range(0, len(found), 65536):
-        part = np.array([digest(x, seed) for x in found[i : i + 65536]], dtype=np.uint64)
+    return np.array([digest(x, seed) for x in found], dtype=np.uint64)
+
+
+def majority(values: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the values; none: zero."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(values), 65536):
+        part = values[i : i + 65536]
         ones += np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(len(part), 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(found)).view(">u8")[0])
+    return int(np.packbits(2 * ones > len(values)).view(">u8")[0])
+
+
+def fingerprint_of(words: list[bytes], width: int, seed: int = 42) -> int:
+    """The majority of all shingles' XXH64; no words: zero."""
+    return majority(hashes(shingles(words, width), seed))
 
 
 def fingerprints(docs: DataFrame, width: int = 4, text: str = "text", key: str = "doc_id", seeds: tuple[int, ...] = (42,)) -> DataFrame:
@@ -174,7 +184,7 @@ def _near(x: np.ndarray, y: np.ndarray, k: int, wide: int | None) -> np.ndarray:
 
 def _forest(values: np.ndarray, k: int, wide: int | None) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among values: each is compared with those that no tree has reached yet."""
-    left = values[np.unique(values[:, 0], return_index=True)[1]]
+    left = np.unique(values, axis=0)
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -274,9 +284,10 @@ def shared_points(fps: DataFrame, k: int) -> DataFrame:
 
 
 def links(fps: DataFrame, k: int = 4, bucket: int = BUCKET, wide: int | None = None) -> DataFrame:
-    """(a, b): edges among the fingerprints fps(fp[, fp2]), distinct in fp, that connect just what links connect.
+    """(a, b): edges among the fingerprints fps(fp[, fp2]), distinct rows, that connect just what links connect.
 
-    A link: k or fewer differing bits of fp and, with `wide`, that many or fewer of fp and fp2 together.
+    A link: k or fewer differing bits of fp and, with `wide`, that many or fewer of fp and fp2 together, for any fp2 of
+    either. Runs jobs while it is built: the statistics, and the test for hot buckets.
     """
     n, both = bit_statistics(fps)
     rows = probes(fps, probe_plan(n, both, k))
@@ -295,12 +306,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, text: str = "te
     agrees: at most so many of the 128 bits differ. component_id is the least key that links reach, itself
     included. Null and empty texts have fingerprint zero, which is linked like any other. A null key is kept and is never
     the least unless all keys of its component are null. Repeated rows are repeated in the result. Other columns of
-    docs don't matter. An empty table gives none.
+    docs don't matter. An empty table gives none. A very long text is hashed whole, in one task. Runs jobs while it is built.
     """
-    rows = spill(fingerprints(docs, width, text, key, (42,) if wide is None else (42, 43)))
-    extra = [] if wide is None else [F.min("fp2").alias("fp2")]
-    nodes = spill(rows.groupBy("fp").agg(F.min(key).alias("least"), *extra))
-    roots = components(links(nodes.drop("least"), k, bucket, wide)).select(F.col("node").alias("fp"), "root")
+    return united(spill(fingerprints(docs, width, text, key, (42,) if wide is None else (42, 43))), k, key, bucket, wide)
+
+
+def united(rows: DataFrame, k: int, key: str, bucket: int = BUCKET, wide: int | None = None) -> DataFrame:
+    """(key, fp, component_id) of rows(key, fp[, fp2]), a written table: as near_duplicates."""
+    nodes = spill(rows.groupBy("fp").agg(F.min(key).alias("least")))
+    fps = nodes.select("fp") if wide is None else spill(rows.select("fp", "fp2").distinct())
+    roots = components(links(fps, k, bucket, wide)).select(F.col("node").alias("fp"), "root")
     rooted = spill(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     of_root = spill(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = spill(rooted.join(of_root, "root").select("fp", "component_id"))
@@ -316,13 +331,18 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the first row of docs stays.
 
     Shingles of five words. Rows are linked that have a Jaccard similarity of 0.8 or more, all of them, and those that
-    a 128-bit similarity of 0.8 or more links with eight differing bits at most in the first 64. docs is a written
-    table, so that a row has the same number in all scans of it.
+    a 128-bit similarity of 0.8 or more links with eight differing bits at most in the first 64. Rows are numbered in a
+    table that is written once. Null and empty texts are near copies of each other by their fingerprint: one stays. An empty
+    table gives none. Columns may have any names.
     """
-    from .jaccard import joined  # which needs the shingles of this module
-
-    numbered = docs.withColumn("larder_row", F.monotonically_increasing_id())
-    near = spill(near_duplicates(numbered, width=5, k=8, key="larder_row", wide=25).select(F.col("larder_row").alias("row"), F.col("component_id").alias("root")))
-    rows = numbered.select(F.col("larder_row").alias("row"), F.col("text").cast("string").alias("text"))
-    first = joined(rows, near, 5, Fraction(4, 5)).where("row = root").select(F.col("row").alias("larder_row"))
-    return numbered.join(spill(first), "larder_row", "left_semi").select(*docs.columns)
+    from .jaccard import joined, sketches  # which need the shingles of this module
+
+    number = "larder_row"
+    while number in docs.columns:
+        number += "_"
+    numbered = spill(docs.withColumn(number, F.monotonically_increasing_id()))
+    rows = numbered.select(F.col(number).alias("row"), F.col("text").cast("string").alias("text"))
+    sketched = spill(sketches(rows, 5, Fraction(4, 5)))
+    near = united(sketched.select("row", "fp", "fp2"), 8, "row", wide=25).select("row", F.col("component_id").alias("root"))
+    first = joined(rows, sketched, spill(near), 5, Fraction(4, 5)).where("row = root").select(F.col("row").alias(number))
+    return numbered.join(spill(first), number, "left_semi").select(*docs.columns)
