@@ -59,14 +59,14 @@ def cleared(spark: SparkSession) -> Iterator[None]:
             delete(spark, name)
 
 
-def spill(df: DataFrame) -> DataFrame:
+def spill(df: DataFrame, outer: bool = False) -> DataFrame:
     """Writes df once and reads it back: cuts its lineage, and lost executors don't cost a second run of it.
 
-    The table is deleted when the driver ends, or by cleared().
+    The table is deleted when the driver ends, or by the innermost cleared(), or, with outer, by the one around that.
     """
     path = fresh(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     delete_at_exit(df.sparkSession, path)
-    if _open:
-        _open[-1].append(path)
+    if len(_open) > outer:
+        _open[-1 - outer].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
