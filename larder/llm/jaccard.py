@@ -4,7 +4,7 @@ Shingles have one order everywhere: frequent ones last, others by their hash. Of
 holds a shared shingle among its first |x| - ceil(t * |x|) + 1, so sets that meet under none of these are never
 similar. Frequent shingles are found on a sample of rows; that decides only how many sets meet, not which are found.
 
-Sets that meet are compared by the parity of their shingles' counts in about |x| to 2 |x| buckets: each bucket that differs
+Sets that meet are compared by the parity of their shingles' counts in about |x| / 2 to |x| buckets: each bucket that differs
 holds a shingle that only one of them has, so too many of these rule a pair out, and never a similar one. What is left is
 nearly always similar. It is verified on all shingles, first one pair for each group, then what those pairs leave open.
 """
@@ -29,6 +29,8 @@ from .words import LOWER_ASCII, portions, texts
 SAMPLED, OFTEN, FREQUENT = 8, 3, 65536
 #: Rows of a bucket are paired with so many that follow in the first round, and that many times as many in each later one.
 WINDOW = 16
+#: Bytes of the bitmaps of rows that are broadcast at most; beyond, rows are joined.
+BROADCAST = 64 << 20
 #: Slots of the bitmaps that spare the shuffle what is met once; where they fill up at last, they only spare less.
 SLOTS = 1 << 24
 
@@ -54,8 +56,8 @@ def frequent_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def parity(x: np.ndarray) -> bytes:
-    """The parity of the number of shingles in each of as many buckets as a power of two holds them, 64 at least."""
-    buckets = 1 << max(6, (len(x) - 1).bit_length())
+    """The parity of the number of shingles in each of a half to one bucket a shingle, a power of two, 64 at least."""
+    buckets = 1 << max(6, (len(x) - 1).bit_length() - 1)
     return np.packbits((np.bincount((x & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1).astype(np.uint8)).tobytes()
 
 
@@ -97,13 +99,45 @@ def within(words: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (words[slots >> 6] >> (slots & 63)) & 1 == 1
 
 
+def only_rows(rows: DataFrame, kept: DataFrame, number: str) -> DataFrame:
+    """The rows whose number is one of kept(number), distinct ids of monotonically_increasing_id or small numbers.
+
+    Such ids are dense within a partition, so kept ones are a bit for each row. Where the bits of all partitions fit into BROADCAST,
+    rows are tested where they are read and nothing of them is shuffled; beyond, they are joined.
+    """
+    at = F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+    placed = kept.select(F.shiftright(number, 33).alias("_part"), at.alias("_at"))
+    last = placed.groupBy("_part").agg(F.expr("max(_at) div 64").alias("_last"))
+    if (last.agg(F.coalesce(F.sum(F.col("_last") + 1), F.lit(0))).first()[0] or 0) * 8 > BROADCAST:
+        return rows.join(kept.select(number), number, "left_semi").select(*(F.col(f"`{c}`") for c in rows.columns))
+    none = last.select("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    words = placed.select("_part", F.expr("_at div 64").alias("_word"), F.expr("shiftleft(1L, cast(_at % 64 as int))").alias("_bits")).unionByName(none)
+    words = words.groupBy("_part", "_word").agg(F.bit_or("_bits").alias("_bits")).groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).alias("_w"))
+    bits = spill(words.select("_part", F.transform("_w", lambda w: w["_bits"]).alias("_words")))
+    part, place, held = (next(n for k in range(len(rows.columns) + 1) if (n := name + "_" * k) not in rows.columns) for name in ("_part", "_at", "_words"))
+    bits = bits.select(F.col("_part").alias(part), F.col("_words").alias(held))
+    met = rows.withColumns({part: F.shiftright(number, 33), place: at}).join(F.broadcast(bits), part)  # at most BROADCAST bytes
+    return met.where(F.expr(f"getbit(get(`{held}`, cast(`{place}` div 64 as int)), cast(`{place}` % 64 as int)) = 1")).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
+def screened(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose column may be among keys(column): by a bitmap, so that nothing is shuffled; some others come along."""
+    words, names = bitmap(keys, column), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(within(words, batch.column("_slot").to_numpy(zero_copy_only=False)))).select(names)
+
+    return rows.withColumn("_slot", F.pmod(F.xxhash64(column), F.lit(SLOTS))).mapInArrow(run, rows.schema)
+
+
 def met_keys(sets: DataFrame) -> DataFrame:
     """(key, row, size, place) of sets(row, size, keys): each key that two rows have, and the rows that have it.
 
     Keys are combined on the map side, so a common one is a row for each task. Those that only one row has are mostly left out
     by a bitmap before rows are joined.
     """
-    twice = spill(sets.select("row", F.explode("keys").alias("key")).groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("z")).where("a < z").select("key"))
+    twice = spill(sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     words = bitmap(twice, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +269,8 @@ def joined(rows: DataFrame, sketched: DataFrame, roots: DataFrame, width: int, b
     A root is the least row of its group, before and after. Texts of no words are like none. sketched: as of sketches, written.
     """
     real = sketched.where("size > 0")
-    sets = spill(real.groupBy("digest").agg(F.min(F.struct("row", "size", "keys", "parity")).alias("r")).select("r.*"))
+    one_of_each = spill(real.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
+    sets = spill(only_rows(real.select("row", "size", "keys", "parity"), one_of_each, "row"))
     copies = real.select("row", "digest").join(roots, "row")  # equal sets may have unlike fingerprints, by repeats
     least = copies.groupBy("digest").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("digest", "a")
     edges = spill(copies.join(least, "digest").where("root <> a").select(F.col("root").alias("b"), "a").distinct())
@@ -250,7 +285,7 @@ def joined(rows: DataFrame, sketched: DataFrame, roots: DataFrame, width: int, b
     while True:
         now = spill(met.join(roots, "row"))
         mixed = spill(now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"))
-        open_rows = now.join(mixed, "key", "left_semi").join(sets.select("row", "parity"), "row")
+        open_rows = screened(now, mixed, "key").join(sets.select("row", "parity"), "row")
         found = spill(meetings(open_rows.repartition("key").sortWithinPartitions("key", "size", "row"), low, high, bound))
         pairs = spill(found.where("key is null").select("a", "b", "ra", "rb").distinct())
         names = unions(rows, pairs, width, bound) if pairs.take(1) else None

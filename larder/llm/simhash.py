@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import spill
+from .scratch import cleared, spill
 from .words import LOWER_ASCII, portions, texts
 
 #: Above so many fingerprints a bucket goes the way of shared points: about where comparing all costs as much.
@@ -335,14 +335,16 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     table that is written once. Null and empty texts are near copies of each other by their fingerprint: one stays. An empty
     table gives none. Columns may have any names.
     """
-    from .jaccard import joined, sketches  # which need the shingles of this module
+    from .jaccard import joined, only_rows, sketches  # which need the shingles of this module
 
     number = "larder_row"
     while number in docs.columns:
         number += "_"
     numbered = spill(docs.withColumn(number, F.monotonically_increasing_id()))
-    rows = numbered.select(F.col(number).alias("row"), F.col("text").cast("string").alias("text"))
-    sketched = spill(sketches(rows, 5, Fraction(4, 5)))
-    near = united(sketched.select("row", "fp", "fp2"), 8, "row", wide=25).select("row", F.col("component_id").alias("root"))
-    first = joined(rows, sketched, spill(near), 5, Fraction(4, 5)).where("row = root").select(F.col("row").alias(number))
-    return numbered.join(spill(first), number, "left_semi").select(*docs.columns)
+    with cleared(spark):  # of all that is put aside only what the result reads is left
+        rows = numbered.select(F.col(number).alias("row"), F.col("text").cast("string").alias("text"))
+        sketched = spill(sketches(rows, 5, Fraction(4, 5)))
+        near = united(sketched.select("row", "fp", "fp2"), 8, "row", wide=25).select("row", F.col("component_id").alias("root"))
+        first = joined(rows, sketched, spill(near), 5, Fraction(4, 5)).where("row = root").select(F.col("row").alias(number))
+        kept = spill(first, outer=True)
+    return only_rows(numbered, kept, number).select(*docs.columns)

@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -82,3 +83,13 @@ def test_stage_keeps_columns_and_odd_rows(spark, tmp_path):
     kept = simhash.keep_one_of_each(spark, docs, "").collect()
     assert sorted((r["text"] or "", r["larder_row"]) for r in kept) == [("", "a"), ("one two three", "d"), ("other words of its own here", "f")]
     assert simhash.keep_one_of_each(spark, docs.limit(0), "").collect() == []
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_only_rows(spark, monkeypatch, most):
+    """By bits and by a join; ids of several partitions, and columns named like those it uses."""
+    monkeypatch.setattr(jaccard, "BROADCAST", most)
+    rows = jaccard.spill(spark.range(3000, numPartitions=5).select("id", F.lit(1).alias("_part"), F.lit(2).alias("_words"), F.monotonically_increasing_id().alias("row")))
+    kept = rows.where("id % 7 = 0 or id > 2990").select("row")
+    assert sorted(r["id"] for r in jaccard.only_rows(rows, kept, "row").collect()) == [i for i in range(3000) if i % 7 == 0 or i > 2990]
+    assert jaccard.only_rows(rows, kept.limit(0), "row").collect() == [] and jaccard.only_rows(rows, kept, "row").columns == rows.columns
