@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP9_SQL, op9_chat
 from .decontaminate import op5_decontamination
 from .html_text import op3_html
+from .merkle import OP13_SQL, op13_merkle
 from .packing import op4_packing
 from .parts import PERSONAL_BASE_SQL, QUALITY_COUNTS_SQL, personal_base, quality_counts
 from .pii import op8_pii
@@ -25,8 +26,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op13_merkle": op13_merkle,
     "quality_counts": quality_counts,
     "personal_base": personal_base,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_chat": OP9_SQL, "quality_counts": QUALITY_COUNTS_SQL, "personal_base": PERSONAL_BASE_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_chat": OP9_SQL, "op13_merkle": OP13_SQL, "quality_counts": QUALITY_COUNTS_SQL, "personal_base": PERSONAL_BASE_SQL}
