@@ -11,6 +11,7 @@ from .parts import PERSONAL_BASE_SQL, QUALITY_COUNTS_SQL, personal_base, quality
 from .pii import op8_pii
 from .quality_model import op6_quality
 from .quality_rules import op7_quality_rules
+from .repair import op11_repair
 from .simhash import op10_simhash
 from .substrings import OP1_SQL, op1_substring_dedup
 from .url_filter import OP2_SQL, op2_url_filter
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op11_repair": op11_repair,
     "op13_merkle": op13_merkle,
     "quality_counts": quality_counts,
     "personal_base": personal_base,
