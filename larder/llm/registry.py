@@ -14,6 +14,7 @@ from .quality_rules import op7_quality_rules
 from .repair import op11_repair
 from .simhash import op10_simhash
 from .substrings import OP1_SQL, op1_substring_dedup
+from .suffixes import OP12_SQL, op12_suffixes
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -28,9 +29,10 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
     "op11_repair": op11_repair,
+    "op12_suffixes": op12_suffixes,
     "op13_merkle": op13_merkle,
     "quality_counts": quality_counts,
     "personal_base": personal_base,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_chat": OP9_SQL, "op13_merkle": OP13_SQL, "quality_counts": QUALITY_COUNTS_SQL, "personal_base": PERSONAL_BASE_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_chat": OP9_SQL, "op12_suffixes": OP12_SQL, "op13_merkle": OP13_SQL, "quality_counts": QUALITY_COUNTS_SQL, "personal_base": PERSONAL_BASE_SQL}
