@@ -252,19 +252,20 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """found(piece, length, [ids], ...), a written table, with sequence_id and offset, ids as plain numbers.
+    """found(row, piece, length, [ids], ...), a written table, with sequence_id and offset instead of row.
 
-    The driver gets one count per length, `capacity` at most; the plan it hands out has a few runs for each length.
-    Equal lengths are told apart by the row's number in the table: repeated rows stay and take places of their own.
+    row numbers the table's rows. It is a column of it, since a number given while reading changes with the splits, that
+    is with the executors there are. The driver gets one count per length, `capacity` at most; the plan it hands out has a
+    few runs for each length. Equal lengths are told apart by row: repeated rows stay and take places of their own.
     Runs jobs: the counts are taken while the plan is built.
     """
-    row, names = F.monotonically_increasing_id(), found.columns
-    full = found.where(F.col("length") == capacity).select("*", (-1 - row).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    names = [c for c in found.columns if c != "row"]
+    full = found.where(F.col("length") == capacity).select(*names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = found.where(F.col("length") < capacity)
     totals = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = np.array(best_fit(totals, capacity), dtype=np.int64).reshape(-1, 5)
     groups = -(-sum(totals.values()) // GROUP) or 1
-    salted = rest.withColumn("row", row).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(groups)))
     counts = spill(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spill(counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
@@ -281,7 +282,7 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             places = [pa.array(run_of[:, 2] + ahead // run_of[:, 3]), pa.array(run_of[:, 4] + ahead % run_of[:, 3] * length)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *places], [*names, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "row")
     return full.unionByName(ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long"))
 
 
@@ -304,7 +305,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capac
     and empty texts are the end id alone. A null doc_id is carried along. Repeated rows are packed each. Extra columns are
     dropped. An empty table gives none. A very long text is tokenised whole, in one task. Runs jobs while it is built.
     """
-    out = packed(spill(pieces(docs, path, end, capacity, with_ids=with_ids)), capacity)
+    numbered = pieces(docs, path, end, capacity, with_ids=with_ids).withColumn("row", F.monotonically_increasing_id())
+    out = packed(spill(numbered), capacity)
     return unpacked(out) if with_ids else out
 
 

@@ -54,6 +54,26 @@ def test_op4(spark, small, docs):
     assert len(places) == len(free)
 
 
+def test_op4_with_other_parallelism_between_jobs(spark, tmp_path, monkeypatch):
+    """Splits of files follow the cores there are; ranks must not."""
+    monkeypatch.setattr(packing, "GROUP", 32)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["word", "other", "ünd", "7"], k=rng.choice([1, 5, 400, 900, 1500, 2500, 9000])))) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    key = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        spark.conf.set(key, 2)
+        out = packing.pack_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"), with_ids=False)
+        spark.conf.set(key, 64)
+        places = collections.defaultdict(list)
+        for r in out.collect():
+            places[r["sequence_id"]].append((r["offset"], r["length"]))
+    finally:
+        spark.conf.unset(key)
+    for parts in places.values():
+        assert [o for o, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1]) and sum(n for _, n in parts) <= 4096
+
+
 def test_tokens_are_the_tokenizers(monkeypatch):
     """With a memory so small that words are forgotten all the time, and marks in the texts themselves."""
     monkeypatch.setattr(packing, "MEMORY", 4000)
