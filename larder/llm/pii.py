@@ -25,22 +25,25 @@ BASE = {
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Candidates: what is assigned or labelled, to the closing quote or white space; groups of up to four letters and digits
-#: with spaces between, three or more that hold a digit; and runs of eight or more letters and digits, joined by `-`, `_`
-#: or `.` or not, that hold a digit. With up to three words and signs to the left. A look-behind of one character stands before the
-#: long ones: it spares these at nearly all places.
+#: Candidates: key blocks; what is assigned or labelled, to the closing quote or white space; groups of up to four letters
+#: and digits with spaces between, three or more that hold a digit; and runs of eight or more letters and digits, joined by
+#: `-`, `_` or `.` or not, that hold a digit. With up to three words and signs to the left. A look-behind of one character
+#: stands before the long ones: it spares these at nearly all places. Look-behinds have bounds, values have none.
 GROUP = r"(?=[A-Za-z]*+[0-9])[A-Za-z0-9]"
 VALUE = "|".join(
     [
-        r"(?<=[\"'`])(?<=[A-Za-z0-9_][\"'`]?[ \t]{0,2}[=:][ \t]{0,2}[\"'`])[^\s\"'`](?:[^\"'`\n]{2,126}[^\s\"'`])(?=[\"'`])",
-        rf"(?<![A-Za-z0-9]){GROUP}{{2,4}}+(?: {GROUP}{{2,4}}+){{2,10}}+(?![A-Za-z0-9])",
-        r"(?<=[=: \t])(?<=[A-Za-z0-9_][\"'`]?[ \t]{0,2}[=:][ \t]{0,2})[^\s\"'`=:/][^\s\"'`]{2,254}[^\s\"'`,.;:!?)\]}>]",
+        r"-----BEGIN [A-Z ]++-----[A-Za-z0-9+/=\s]++-----END [A-Z ]++-----",
+        r"(?<=[\"'`])(?<=[\p{L}0-9_][\"'`]?[ \t]{0,2}[=:][ \t]{0,2}[\"'`])[^\s\"'`][^\"'`\n]{2,}+(?<=[^\s])(?=[\"'`])",
+        rf"(?<![A-Za-z0-9]){GROUP}{{2,4}}+(?: {GROUP}{{2,4}}+){{2,}}+(?![A-Za-z0-9])",
+        r"(?<=[=: \t])(?<=[\p{L}0-9_][\"'`]?[ \t]{0,2}[=:][ \t]{0,2})[^\s\"'`=:/][^\s\"'`]+[^\s\"'`,.;:!?)\]}>]",
         r"(?<![A-Za-z0-9])(?=[A-Za-z._-]*+[0-9])(?=[A-Za-z0-9._-]{8})[A-Za-z0-9]++(?:[-_.][A-Za-z0-9]++)*+",
     ]
 )
 #: Words that take a secret as their value, and forms of keys.
-SEED_WORDS = ["password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "access_key", "auth", "bearer", "ssn", "iban"]
-SEED_FORM = r"^(AKIA|ASIA)[A-Z0-9]{16}$"
+SEED_WORDS = ["password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "access_key", "auth", "bearer", "ssn", "iban", "passwort", "kennwort", "passe", "contraseña", "clave"]
+SEED_FORM = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}$|-----BEGIN |eyJ[A-Za-z0-9_-]+\.eyJ)"
+#: Longer values of mixed signs have one shape for each kind.
+LONGEST_SHAPE = 256
 ROUNDS = 3
 #: A pattern counts from so many distinct instances on, and from this mean score on; an instance from that score on.
 SUPPORT, CONFIDENCE, ACCEPTED = 3, 0.8, 0.8
@@ -112,14 +115,14 @@ def candidates(text: Column) -> Column:
     def described(m: Column) -> Column:
         value = m["value"]
         left = F.substring(text, F.greatest(m["start"] - 39, F.lit(1)).cast("int"), F.least(m["start"], F.lit(40)).cast("int"))
-        lexical = F.lower(F.regexp_extract(left, r"([A-Za-z_]{2,24})[\"'`]?\s*([=:]?)[\s\"'`(\[<]*$", 0))
+        lexical = F.lower(F.regexp_extract(left, r"([\p{L}_]{2,24})[\"'`]?\s*([=:]?)[\s\"'`(\[<]*$", 0))
         lexical = F.regexp_replace(lexical, r"[\s\"'`(\[<]+", "")
-        words = F.lower(F.regexp_extract(left, r"((?:[A-Za-z_]{2,24}\s+){1,2}[A-Za-z_]{2,24}[\"'`]?\s*[=:]?)[\s\"'`(\[<]*$", 1))
+        words = F.lower(F.regexp_extract(left, r"((?:[\p{L}_]{2,24}\s+){1,2}[\p{L}_]{2,24}[\"'`]?\s*[=:]?)[\s\"'`(\[<]*$", 1))
         words = F.regexp_replace(F.regexp_replace(words, r"[\"'`]+", ""), r"\s+", " ")
         letters = F.regexp_extract(value, "^[A-Z]{2,4}", 0)
         kinds = F.when(value.rlike("^[0-9]+$"), "9").when(value.rlike("^[0-9a-f]+$"), "x").when(value.rlike("^[A-Z0-9]+$"), F.concat(F.lit("U"), letters)).when(value.rlike("^[a-z0-9]+$"), "l").otherwise("a")
         mask = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[A-Z]", "U"), "[a-z]", "l")
-        shape = F.when(~value.rlike("[0-9]"), "").when(value.rlike("[^A-Za-z0-9]"), mask).otherwise(F.concat(kinds, F.length(value).cast("string")))
+        shape = F.when(~value.rlike("[0-9]"), "").when(value.rlike("[^A-Za-z0-9]"), F.when(F.length(value) > LONGEST_SHAPE, F.concat(F.lit("long "), kinds)).otherwise(mask)).otherwise(F.concat(kinds, F.length(value).cast("string")))
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), lexical.alias("lexical"), words.alias("words"), shape.alias("shape"))
 
     found = F.transform(placed(text, VALUE), described)
