@@ -38,7 +38,7 @@ ANCHOR = 20
 #: Anchors that a window may have.
 PLACES = WINDOW - ANCHOR + 1
 #: Bytes of text worked on at a time; longer texts are cut, and a cut only ends a suffix early.
-PORTION = 1 << 20
+PORTION = 1 << 18
 #: Suffixes that a task gathers before it sends them, and that a bucket holds, about.
 FLUSH = BUCKET = 1 << 20
 MOST_BUCKETS = 1 << 16
@@ -151,11 +151,12 @@ def _pieces(column) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
 
 
 Records = tuple[np.ndarray, ...]  # id, check, start, size, first, second
+NARROW = (np.int64, np.int32, np.int32, np.int8, np.uint64, np.uint64)
 
 
 def sampled_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[Records]:
     """The sampled suffixes of rows (id, check, text)."""
-    for batch in portions(batches, "text", 8 * PORTION):
+    for batch in portions(batches, "text", 8 << 20):
         ids, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "check"))
         for rows, offsets, pieces in _pieces(batch.column("text")):
             s = Suffixes(pieces)
@@ -166,7 +167,7 @@ def sampled_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[Records]:
 def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Records]:
     """The windows of open suffixes of rows (id, check, blob, opens), each a suffix of its own."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in portions(batches, "blob", 4 * PORTION):
+    for batch in portions(batches, "blob", 2 << 20):
         ids, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "check"))
         column = pa.array([unpack(x) for x in batch.column("blob").to_pylist()], pa.large_binary())
         starts = [np.unique(_spread(*_decoded(x)[:2])) for x in batch.column("opens").to_pylist()]
@@ -241,8 +242,15 @@ def _unpack(block: bytes) -> Records:
     return ids[which.astype(np.int64)], checks[which.astype(np.int64)], start.astype(np.int64), size.astype(np.int64), np.cumsum(first), second
 
 
+def _narrow(r: Records) -> Records:
+    return tuple(c.astype(kind) for c, kind in zip(r, NARROW))
+
+
 def _joined(parts: list[Records]) -> Records:
-    return tuple(np.concatenate(c) for c in zip(*parts))
+    """All parts as one; the list is emptied, as their memory is needed."""
+    r = tuple(np.concatenate(c) for c in zip(*parts))
+    parts.clear()
+    return r
 
 
 def _sorted(r: Records) -> tuple[Records, np.ndarray, np.ndarray]:
@@ -287,7 +295,7 @@ def _blocks(make: Callable, splitters: np.ndarray, second: np.ndarray, buckets:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for r in make(batches):
-            parts.append(r)
+            parts.append(_narrow(r))
             n += len(r[0])
             if n >= most:
                 yield from send(parts)
@@ -302,7 +310,7 @@ def _settled(splitters: np.ndarray, leave_open: bool) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return table.select(["id", "check", "block"]).rename_columns(["id", "check", "codes"])
-        r, new_first, new = _sorted(_joined([_unpack(x) for x in table.column("block").to_pylist()]))
+        r, new_first, new = _sorted(_joined([_narrow(_unpack(x)) for x in table.column("block").to_pylist()]))
         goes = r[0] > _least_before(r[0], new)
         is_open = np.zeros(len(goes), dtype=bool)
         if leave_open:
@@ -363,7 +371,7 @@ def _apply(with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in portions(batches, "text", 4 * PORTION):
+        for batch in portions(batches, "text", 4 << 20):
             rows = []
             for text, marks in zip(texts(batch.column("text")), batch.column("marks").to_pylist()):
                 start, size, is_open = _decoded(b"".join(marks or []))
@@ -380,7 +388,7 @@ def _apply(with_text: bool):
 def _finish(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in portions(batches, "blob", 2 * PORTION):
+        for batch in portions(batches, "blob", 2 << 20):
             rows = []
             for blob, bits, marks in zip(*(batch.column(c).to_pylist() for c in ("blob", "gone", "marks"))):
                 text = unpack(blob)
