@@ -170,7 +170,7 @@ def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Records]:
     for batch in portions(batches, "blob", 2 << 20):
         ids, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "check"))
         column = pa.array([unpack(x) for x in batch.column("blob").to_pylist()], pa.large_binary())
-        starts = [np.unique(_spread(*_decoded(x)[:2])) for x in batch.column("opens").to_pylist()]
+        starts = [np.unique(_spread(*_decoded(np.frombuffer(x, dtype=np.int64))[:2])) for x in batch.column("opens").to_pylist()]
         for rows, offsets, pieces in _pieces(column):
             counts = np.array([len(p) for p in pieces], dtype=np.int64)
             begin = np.cumsum(counts) - counts
@@ -188,11 +188,19 @@ def _codes(start: np.ndarray, size: np.ndarray, is_open: np.ndarray) -> np.ndarr
     return (start.astype(np.int64) << 7) | (size.astype(np.int64) << 1) | is_open
 
 
-def _decoded(codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(codes, dtype=np.int64)
+def _decoded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x >> 7, (x >> 1) & 63, (x & 1).astype(bool)
 
 
+def _lists(column) -> Iterator[np.ndarray]:
+    """The numbers of each row of a list column, null as none."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    for low, high in zip(np.append(0, ends[:-1]), ends):
+        yield values[low:high]
+
+
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All starts of some suffixes' windows."""
     return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
@@ -308,8 +316,12 @@ def _blocks(make: Callable, splitters: np.ndarray, second: np.ndarray, buckets:
 
 def _settled(splitters: np.ndarray, leave_open: bool) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        names = ["id", "check", "code"]
         if key[0].as_py() < 0:
-            return table.select(["id", "check", "block"]).rename_columns(["id", "check", "codes"])
+            packed = table.column("block").to_pylist()
+            times = [len(x) // 8 for x in packed]
+            ids, checks = (np.repeat(table.column(c).to_numpy(), times) for c in names[:2])
+            return pa.Table.from_arrays([pa.array(ids), pa.array(checks), pa.array(np.frombuffer(b"".join(packed), dtype=np.int64))], names)
         r, new_first, new = _sorted(_joined([_narrow(_unpack(x)) for x in table.column("block").to_pylist()]))
         goes = r[0] > _least_before(r[0], new)
         is_open = np.zeros(len(goes), dtype=bool)
@@ -320,8 +332,7 @@ def _settled(splitters: np.ndarray, leave_open: bool) -> Callable:
             mixed = np.minimum.reduceat(r[0], heads) != np.maximum.reduceat(r[0], heads)
             is_open = ~goes & ((several & mixed)[run_of] | np.isin(r[4], splitters))
         some = goes | is_open
-        columns = _by_document(r[0][some], r[1][some], _codes(r[2][some], r[3][some], is_open[some]))
-        return pa.Table.from_arrays(columns, ["id", "check", "codes"])
+        return pa.Table.from_arrays([pa.array(r[0][some]), pa.array(r[1][some]), pa.array(_codes(r[2][some], r[3][some], is_open[some]))], names)
 
     return run
 
@@ -342,8 +353,8 @@ def compared(rows: DataFrame, make: Callable, suffixes: int, leave_open: bool) -
             at = np.unique(np.linspace(0, len(pairs), buckets + 1).astype(np.int64)[1:-1])
             splitters, second = pairs.first[at], pairs.second[at]
     blocks = rows.mapInArrow(_blocks(make, splitters, second, buckets), BLOCKS)
-    marks = blocks.groupBy("bucket").applyInArrow(_settled(splitters, leave_open), "id long, check int, codes binary")
-    return marks.groupBy("id", "check").agg(F.collect_set("codes").alias("marks"))
+    marks = blocks.groupBy("bucket").applyInArrow(_settled(splitters, leave_open), "id long, check int, code long")
+    return marks.groupBy("id", "check").agg(F.collect_set("code").alias("marks"))
 
 
 def _cover(n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -373,8 +384,8 @@ def _apply(with_text: bool):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in portions(batches, "text", 4 << 20):
             rows = []
-            for text, marks in zip(texts(batch.column("text")), batch.column("marks").to_pylist()):
-                start, size, is_open = _decoded(b"".join(marks or []))
+            for text, marks in zip(texts(batch.column("text")), _lists(batch.column("marks"))):
+                start, size, is_open = _decoded(marks)
                 gone = _cover(len(text), start[~is_open], size[~is_open])
                 opens = np.unique(_codes(start[is_open], size[is_open], 1))
                 waits = len(opens) > 0
@@ -390,10 +401,10 @@ def _finish(with_text: bool):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in portions(batches, "blob", 2 << 20):
             rows = []
-            for blob, bits, marks in zip(*(batch.column(c).to_pylist() for c in ("blob", "gone", "marks"))):
+            for blob, bits, marks in zip(*(batch.column(c).to_pylist() for c in ("blob", "gone")), _lists(batch.column("marks"))):
                 text = unpack(blob)
                 gone = np.unpackbits(np.frombuffer(unpack(bits), dtype=np.uint8), count=len(text)).astype(bool)
-                rows.append(_result(text, gone | _cover(len(text), *_decoded(b"".join(marks or []))[:2]), with_text))
+                rows.append(_result(text, gone | _cover(len(text), *_decoded(marks)[:2]), with_text))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(v), k) for v, k in zip(zip(*rows), KINDS))], ["id", *RESULT])
 
     return run
