@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as T
 from larder.operators import cache as C
 from larder.operators import chunking as K
+from larder.operators import postings as P
 from larder.operators import search as S
 
 
@@ -45,7 +46,7 @@ class Engine:
 
     def search(self, questions: DataFrame, k: int = 10) -> DataFrame:
         """The k best sections for each of questions(query_id, text)."""
-        return S.bm25(self.sections, questions, k=k)
+        return P.top(P.build(self.sections), questions, k=k)
 
     def status(self) -> DataFrame:
         return self.sections.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))
@@ -79,5 +80,5 @@ class Engine:
     def search_project(self, chunks: DataFrame, files: DataFrame, text: str, k: int = 10) -> DataFrame:
         """(chunk_id, path, score, rank) of chunks(chunk_id, file_id, text), with the paths of files(file_id, path)."""
         asked = self.spark.createDataFrame([(0, text)], "query_id long, text string")
-        found = S.bm25(chunks, asked, key="chunk_id", k=k).join(chunks.select("chunk_id", "file_id"), "chunk_id")
+        found = P.top(P.build(chunks, key="chunk_id"), asked, k=k, key="chunk_id").join(chunks.select("chunk_id", "file_id"), "chunk_id")
         return found.join(files, "file_id").select("chunk_id", "path", "score", "rank")

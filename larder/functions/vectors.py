@@ -1,4 +1,4 @@
-"""Vectors: exact cosine expressions, blocked top-k search and an inverted-file index."""
+"""Vectors: exact cosine expressions and blocked top-k search. The stored index is in operators/cells."""
 
 from __future__ import annotations
 
@@ -123,59 +123,6 @@ def section_search(queries: DataFrame, sections: DataFrame, k: int, block: int =
     return near, extremes
 
 
-def centroids(items: DataFrame, clusters: int = 16, rounds: int = 10, sample: int = 20_000) -> np.ndarray:
-    """Unit centroids by spherical k-means on the rows of the least hash, `sample` at most: a bounded, stated sample."""
-    chosen = items.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
-    rows = matrix(chosen.column("vector").combine_chunks())
-    if len(rows) <= clusters:
-        return rows
-    centre = rows[np.random.default_rng(42).choice(len(rows), clusters, replace=False)].copy()
-    for _ in range(rounds):
-        nearest = (rows @ centre.T).argmax(axis=1)
-        for c in range(clusters):
-            members = rows[nearest == c]
-            if len(members):  # an empty cluster keeps its centroid
-                total = members.sum(axis=0)
-                centre[c] = total / max(np.linalg.norm(total), 1e-10)
-    return centre
-
-
-def _cluster_search(ids: np.ndarray, unit: np.ndarray, centre: np.ndarray, probed: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(keys), 8192):
-                rows, part = matrix(batch.column(1).slice(at, 8192)), keys[at : at + 8192]
-                cluster = (rows @ centre.T).argmax(axis=1)
-                for c in np.unique(cluster):
-                    asked, mine = np.flatnonzero(probed[:, c]), np.flatnonzero(cluster == c)
-                    if not len(asked):
-                        continue
-                    near = np.where(ids[asked, None] != part[None, mine], unit[asked] @ rows[mine].T, -np.inf)
-                    keep = near > -np.inf
-                    if len(mine) > k:
-                        keep &= near >= np.partition(near, len(mine) - k, axis=1)[:, len(mine) - k, None]
-                    q, i = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[asked[q]]), pa.array(part[mine[i]]), pa.array(near[q, i])], ["query_id", "id", "similarity"])
-
-    return run
-
-
-def clustered_search(queries: DataFrame, items: DataFrame, centre: np.ndarray, probes: int = 3, k: int = 10, block: int = 4096) -> DataFrame:
-    """(query_id, id, similarity, rank): the k nearest among the items whose centroid is one of the query's nearest `probes`.
-
-    Every item is indexed: a batch is dealt to its clusters, and a query meets only the clusters it probes. A batch's k best
-    of a cluster leave a task, so no cluster is gathered anywhere, however large it is.
-    """
-    found = items.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-    for ids, unit in blocks(queries, block):
-        probed = np.zeros((len(ids), len(centre)), dtype=bool)
-        np.put_along_axis(probed, np.argsort(-(unit @ centre.T), axis=1, kind="stable")[:, :probes], True, axis=1)
-        found = found.unionByName(items.select("id", "vector").mapInArrow(_cluster_search(ids, unit, centre, probed, k), found.schema))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def upsert(items: DataFrame, new: DataFrame, most: int = 50_000, order: str = "added") -> DataFrame:
     """items(id, vector, ...) with those of new in their place; over `most` the oldest by `order` go.
 

@@ -83,31 +83,6 @@ def composed(found: DataFrame) -> DataFrame:
     return sums.withColumn("outcome", F.when(F.col("hits") == F.col("parts"), "complete").when(F.col("hits") > 0, "partial").otherwise("miss"))
 
 
-def fuzzy_matches(asks: DataFrame, cache: DataFrame, k: int = 3, threshold: float = 0.3) -> DataFrame:
-    """(question_id, cache_id, similarity, rank): the k records nearest to each question by words and edits.
-
-    Candidates hold the question's two longest words (of equal length the smaller word) anywhere in their text; a question
-    with no such candidate takes those that hold the longest. They are met by an equi-join on three letters from the middle
-    of the longest word, or on all of a shorter one.
-    """
-    words = T.tokens(F.col("question"))
-    ranked = F.array_sort(F.array_distinct(words), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    asked = asks.select("question_id", F.array_join(F.array_sort(words), " ").alias("query"), ranked.alias("w")).where(F.size("w") > 0)
-    first = F.get("w", F.lit(0))
-    width = F.least(F.length(first), F.lit(3))
-    asked = asked.select("question_id", "query", first.alias("first"), F.coalesce(F.get("w", F.lit(1)), first).alias("second"), F.substring(first, F.floor((F.length(first) - width) / 2).cast("int") + 1, width).alias("gram"))
-    text = F.col("question_normalized")
-    grams = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    stored = cache.select("cache_id", "question_normalized", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
-    wanted = stored.join(asked.select("gram").distinct(), "gram", "left_semi")
-    met = asked.join(wanted, "gram").where(F.contains(text, F.col("first"))).withColumn("both", F.contains(text, F.col("second")))
-    any_both = met.groupBy("question_id").agg(F.bool_or("both").alias("any_both"))
-    met = met.join(any_both, "question_id").where("both or not any_both")
-    scored = met.select("question_id", "cache_id", F.round(T.fuzzy_similarity(F.col("query"), text), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "cache_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def stats(cache: DataFrame, by: list[str] = ()) -> DataFrame:
     """Counts, hit rate (serves over serves and entries never served, per cent), and generation time saved by valid entries."""
     never = F.count_if(F.col("serve_count") == 0)

@@ -1,93 +1,17 @@
-"""Keyword, phrase and hybrid search over an inverted index."""
+"""Fusion of keyword scores with vectors; the scores come from the written index of postings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions import text as T
 from larder.functions import vectors as V
 
-K1, B = 1.2, 0.75
-
-
-def term_counts(words: Column) -> Column:
-    """Array of struct(term, tf), terms in order: runs of the sorted words, all within the row."""
-    ends = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i + 1)))
-    return F.transform(F.array(ends), lambda e: F.transform(e, lambda i, j: F.struct(F.get(words, i).alias("term"), (i - F.coalesce(F.when(j > 0, F.get(e, j - 1)), F.lit(-1))).cast("long").alias("tf"))))[0]
-
-
-def _worded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.array_sort(T.tokens(F.col(text))).alias("words")).where(F.size("words") > 0)
-
-
-def inverted_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, doc_length): one row per distinct term of a row of docs, without any shuffle."""
-    rows = _worded(docs, key, text).select(key, F.size("words").alias("doc_length"), F.explode(term_counts(F.col("words"))).alias("t"))
-    return rows.select("t.term", key, "t.tf", "doc_length")
-
-
-def corpus_size(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(n, mean), one row: documents with words, and their mean number of words."""
-    return _worded(docs, key, text).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-
-
-def _weight(tf: Column, df: Column) -> Column:
-    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_length") / F.col("mean")))
-
-
 def _best(scored: DataFrame, value: str, key: str, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(value), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = 10, every_term: bool = False) -> DataFrame:
-    """(query_id, key, score, rank) of the k best documents for each of queries(query_id, text); with k null all, unranked.
-
-    Only postings of the queries' terms leave the scan; the two totals come from one pass over documents. With every_term a
-    document must hold all terms of a query.
-    """
-    terms = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("t")).select("query_id", F.size("t").alias("terms"), F.explode("t").alias("term"))
-    wanted = inverted_index(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi")
-    frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    postings = wanted.join(frequency, "term").crossJoin(F.broadcast(corpus_size(docs, key, text)))  # one row
-    scored = postings.select("term", key, _weight(F.col("tf"), F.col("df")).alias("weight")).join(terms, "term")
-    scored = scored.groupBy("query_id", key).agg(F.round(F.sum("weight"), 6).alias("score"), F.count("*").alias("met"), F.first("terms").alias("terms"))
-    scored = (scored.where("met = terms") if every_term else scored).select("query_id", key, "score")
-    return scored if k is None else _best(scored, "score", key, k)
-
-
-def _spaced(words: Column) -> Column:
-    """Words with two spaces between and one around, so that phrases side by side each have their own."""
-    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-
-
-def phrases(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, key, tf, doc_length): documents that hold all words of a query, without stop words, in a row, and how often.
-
-    Candidates are met by each query's rarest word, an equi-join; only their texts are looked at.
-    """
-    asked = queries.select("query_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0).select("query_id", _spaced(F.col("w")).alias("phrase"), F.array_distinct("w").alias("w"))
-    terms = asked.select("query_id", F.size("w").alias("terms"), F.explode("w").alias("term"))
-    wanted = inverted_index(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi").select("term", key)
-    frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = terms.join(frequency, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("m"), F.count("*").alias("met"), F.first("terms").alias("terms")).where("met = terms").select("query_id", "m.term")
-    candidates = wanted.join(rarest.join(asked.select("query_id", "phrase"), "query_id"), "term").select("query_id", key, "phrase")
-    words = T.tokens(F.col(text))
-    met = candidates.join(docs.select(key, words.alias("w")), key).select("query_id", key, "phrase", _spaced(F.col("w")).alias("body"), F.size("w").alias("doc_length"))
-    times = (F.length("body") - F.length(F.replace("body", F.col("phrase"), F.lit("")))) / F.length("phrase")
-    return met.where(F.contains("body", F.col("phrase"))).select("query_id", key, times.cast("long").alias("tf"), "doc_length")
-
-
-def phrase_bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
-    """(query_id, key, score, rank): a phrase is one term, whose frequency is that of documents that hold it."""
-    found = phrases(docs, queries, key, text)
-    df = found.groupBy("query_id").agg(F.count("*").alias("df"))
-    scored = found.join(df, "query_id").crossJoin(F.broadcast(corpus_size(docs, key, text)))  # one row
-    return _best(scored.select("query_id", key, F.round(_weight(F.col("tf"), F.col("df")), 6).alias("score")), "score", key, k)
-
-
 def hybrid(keyword: DataFrame, queries: DataFrame, sections: DataFrame, key: str = "doc_id", weights: tuple[float, float] = (0.4, 0.6), k: int = 10) -> DataFrame:
     """(query_id, key, score, rank): keyword scores and the nearest vector of each section, each scaled to [0, 1] for a query.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text as T
 from larder.operators import cache as C
+from larder.operators import fuzzy
 from larder.operators import qualify
 from larder.plans import fixtures as X
 from larder.session import table
@@ -160,7 +161,16 @@ def fuzzy_topk(spark, sf_dir):
     """Each hundredth answered question, misspelt in a word, against all. By code points; SQL's edit distance counts bytes, so a test has a plain version."""
     cache = X.answer_cache(spark, sf_dir)
     misspelt = F.concat(F.left("question", F.length("question") - 2), F.lit("x"), F.substring(F.col("question"), F.length("question") - 1, F.lit(2)))
-    return C.fuzzy_matches(cache.where("cache_id % 100 = 0").select(F.col("cache_id").alias("question_id"), misspelt.alias("question")), cache)
+    return fuzzy.matches(cache.where("cache_id % 100 = 0").select(F.col("cache_id").alias("question_id"), misspelt.alias("question")), cache)
+
+
+@query("edit_join", r"""WITH told AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM conversations)
+  SELECT a.id AS left_id, b.id AS right_id, levenshtein(a.text, b.text) AS edits FROM (SELECT id, left(text, 3) || 'zz' || substr(text, 6) AS text FROM told) a JOIN told b ON abs(length(a.text) - length(b.text)) <= 3 AND levenshtein(a.text, b.text) <= 3""")
+def edit_join(spark, sf_dir):
+    """Each turn misspelt by two letters, against all turns, within three edits; in ASCII, as SQL's edit distance counts bytes."""
+    told = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_replace("text", "[^ -~]", "?").alias("text"))
+    misspelt = F.concat(F.left("text", F.lit(3)), F.lit("zz"), F.substring("text", 6, 1 << 30))
+    return fuzzy.within_edits(told.select(F.col("id").alias("left_id"), misspelt.alias("text")), told.select(F.col("id").alias("right_id"), "text"), 3).withColumn("edits", F.col("edits").cast("long"))
 
 
 STATS_SQL = """count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalidated, CAST(sum(serve_count) AS BIGINT) AS total_serves,

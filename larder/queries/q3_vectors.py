@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text as T
 from larder.functions import vectors as V
+from larder.operators import cells
 from larder.operators import evidence as E
 from larder.session import table
 
@@ -105,9 +106,16 @@ def scoped_vector_search(spark, sf_dir):
 
 @query("ivf_search")
 def ivf_search(spark, sf_dir):
-    """Ten nearest by an index of 16 clusters. The reference probes 3; these vectors have random directions, and a recall of 0.9 takes 12, as a test measures."""
+    """Ten nearest by a stored index of 16 cells. The usual probes are 3; these vectors have random directions, and a recall of 0.9 takes 12, as a test measures."""
+    return cells.search(cells.build(_items(spark, sf_dir)), _queries(spark, sf_dir), probes=12).select("query_id", "id", "similarity", "rank")
+
+
+@query("cosine_join", """WITH near AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id)
+  SELECT query_id, id, round(s, 6) AS similarity FROM near WHERE s >= 0.4""")
+def cosine_join(spark, sf_dir):
+    """All pairs over a threshold, whole table against whole table."""
     items = _items(spark, sf_dir)
-    return V.clustered_search(_queries(spark, sf_dir), items, V.centroids(items), probes=12).select("query_id", "id", "similarity", "rank")
+    return cells.similar(items.select(F.col("id").alias("query_id"), "vector"), items, 0.4)
 
 
 @query("upsert_vectors", """WITH stored AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector, vec_id AS added FROM embeddings), new AS (SELECT id, list_transform(vector, lambda x: -x) AS vector, id + 1000000 AS added FROM stored WHERE id % 10 = 0),

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from larder.functions import vectors as V
 from larder.operators import intents as I
+from larder.operators import postings as P
 from larder.operators import search as S
 from larder.plans import fixtures as X
 from larder.session import table
+from larder.storage import spill
 
 from . import query
 
@@ -39,19 +41,19 @@ NEAREST_SQL = """vec AS (SELECT item_id AS query_id, c.vec_id // 2 AS doc_id, ma
 
 @query("inverted_index", f"WITH {TOKENS_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM idx GROUP BY term")
 def inverted_index(spark, sf_dir):
-    index = S.inverted_index(_docs(spark, sf_dir))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return P.term_counts(_docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 @query("bm25_search", f"WITH {SCORED_SQL} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
 def bm25_search(spark, sf_dir):
-    return S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir))
+    return P.top(P.build(_docs(spark, sf_dir)), _queries(spark, sf_dir))
 
 
 @query("phrase_search", f"WITH {PHRASES_SQL} SELECT query_id, doc_id, CAST(tf AS BIGINT) AS tf FROM held")
 def phrase_search(spark, sf_dir):
     """Documents that hold a whole item in a row."""
-    return S.phrases(_docs(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "doc_id", "tf")
+    docs = _docs(spark, sf_dir)
+    return P.phrases(P.build(docs), docs, _queries(spark, sf_dir)).select("query_id", "doc_id", "tf")
 
 
 def _sections(spark, sf_dir):
@@ -80,7 +82,8 @@ def section_scores(spark, sf_dir):
   SELECT query_id, r.doc_id, score, rank, left(text, 300) AS snippet FROM ranked r LEFT JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 10""")
 def hybrid_search(spark, sf_dir):
     """Whole items as phrases, three times as many as asked for, fused with vectors; the ten best with a snippet."""
-    keyword = S.phrase_bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=30)
+    docs = _docs(spark, sf_dir)
+    keyword = spill(P.phrase_top(P.build(docs), docs, _queries(spark, sf_dir), k=30))
     found = S.hybrid(keyword, _vectors(spark, sf_dir), _sections(spark, sf_dir))
     return found.join(_docs(spark, sf_dir).select("doc_id", S.snippet(F.col("text")).alias("snippet")), "doc_id", "left")
 
@@ -89,7 +92,7 @@ def hybrid_search(spark, sf_dir):
   SELECT b.query_id, b.doc_id, round(0.4 * score + 0.6 * coalesce(similarity, 0.0), 4) AS score FROM (SELECT * FROM scored WHERE every) b LEFT JOIN vec v ON b.query_id = v.query_id AND b.doc_id = v.doc_id""")
 def hybrid_search_left(spark, sf_dir):
     """The variant over documents with all words of an item, that keeps only these and doesn't scale."""
-    keyword = S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=None, every_term=True)
+    keyword = P.with_every_term(P.build(_docs(spark, sf_dir)), _queries(spark, sf_dir))
     return S.hybrid_left(keyword, _vectors(spark, sf_dir), _sections(spark, sf_dir))
 
 
@@ -98,7 +101,7 @@ def hybrid_search_left(spark, sf_dir):
 def search_in_scope(spark, sf_dir):
     """Document type and jurisdiction as filters: weights are those of the whole corpus, hits those of the scope."""
     scope = _docs(spark, sf_dir).where("lang in ('en', 'de') and source <> ''").select("doc_id")
-    return S._best(S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=None).join(scope, "doc_id", "left_semi"), "score", "doc_id", 10).select("query_id", "doc_id", "score", "rank")
+    return P.top(P.build(_docs(spark, sf_dir)), _queries(spark, sf_dir), scope=scope)
 
 
 @query("deterministic_answers", f"""WITH {SCORED_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 20),
@@ -107,14 +110,14 @@ def search_in_scope(spark, sf_dir):
   FROM sums LEFT JOIN documents ON doc_id = top""")
 def deterministic_answers(spark, sf_dir):
     """Answers to counting and validating questions, from a search of twenty."""
-    best = S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=20)
+    best = P.top(P.build(_docs(spark, sf_dir)), _queries(spark, sf_dir), k=20)
     return I.answers(best, _docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), "text"), "doc_id").select("query_id", "counted", "validated")
 
 
 @query("extract_answers")
 def extract_answers(spark, sf_dir):
     """Answers to extracting questions: entities of the ten best snippets, whose patterns SQL can't express."""
-    best = S.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), k=20)
+    best = P.top(P.build(_docs(spark, sf_dir)), _queries(spark, sf_dir), k=20)
     return I.answers(best, _docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), "text"), "doc_id").select("query_id", "extracted")
 
 

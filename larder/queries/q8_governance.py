@@ -13,7 +13,7 @@ from larder.plans import fixtures as X
 from larder.session import table
 
 from . import query
-from .q9_streaming import BREAKER_SQL
+from .q9_streaming import BREAKER_SQL, LIMIT_SQL
 
 OPENINGS = ["List all", "Explain how", "Compare", "How many", "Summarize the", "Write a short", "What is", "Extract every", "Find me", "Run", "in detail", "Translate it to a table"]
 
@@ -123,13 +123,7 @@ def rate_limit_sliding(spark, sf_dir):
     return L.sliding_bound(table(spark, sf_dir, "events"), "user_id", "ts", 43_200, 2).select("event_id", "recent", "over")
 
 
-@query("rate_limit_exact", """WITH RECURSIVE asked AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-  steps AS (
-    SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS recent, false AS allowed FROM (SELECT DISTINCT user_id FROM asked)
-    UNION ALL
-    SELECT user_id, i, event_id, CASE WHEN len(kept) < 2 THEN list_append(kept, us) ELSE kept END, len(kept) < 2
-    FROM (SELECT a.user_id, a.i, a.event_id, a.us, list_filter(s.recent, lambda x: x > a.us - 43200000000) AS kept FROM steps s JOIN asked a ON a.user_id = s.user_id AND a.i = s.i + 1))
-  SELECT user_id, event_id, allowed FROM steps WHERE i > 0""")
+@query("rate_limit_exact", LIMIT_SQL)
 def rate_limit_exact(spark, sf_dir):
     return L.sliding_exact(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 43_200, 2)
 

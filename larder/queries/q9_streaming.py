@@ -46,6 +46,38 @@ def stream_breaker(spark, sf_dir):
     return S.run_once(S.breaker_states(events, failures=2, seconds=86_400, probes=1), "update", "user_id")
 
 
+#: The exact limiter in SQL: each request by recursion over its client's.
+LIMIT_SQL = """WITH RECURSIVE asked AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  steps AS (
+    SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS recent, false AS allowed FROM (SELECT DISTINCT user_id FROM asked)
+    UNION ALL
+    SELECT user_id, i, event_id, CASE WHEN len(kept) < 2 THEN list_append(kept, us) ELSE kept END, len(kept) < 2
+    FROM (SELECT a.user_id, a.i, a.event_id, a.us, list_filter(s.recent, lambda x: x > a.us - 43200000000) AS kept FROM steps s JOIN asked a ON a.user_id = s.user_id AND a.i = s.i + 1))
+  SELECT user_id, event_id, allowed FROM steps WHERE i > 0"""
+
+
+@query("stream_limiter", LIMIT_SQL)
+def stream_limiter(spark, sf_dir):
+    """The exact limiter with state: refused requests don't count."""
+    return S.run_once(S.limited(S.events_stream(spark, sf_dir), "user_id", "ts", "event_id", 43_200, 2), "append")
+
+
+@query("stream_poll", """SELECT CAST(n AS BIGINT) AS n, doc_id AS path, change FROM (
+  SELECT 0 AS n, doc_id, 'new' AS change FROM documents WHERE doc_id % 6 <> 0
+  UNION ALL SELECT 1, doc_id, CASE doc_id % 6 WHEN 0 THEN 'new' WHEN 1 THEN 'deleted' ELSE 'changed' END FROM documents WHERE doc_id % 6 < 3
+  UNION ALL SELECT 2, doc_id, CASE doc_id % 6 WHEN 1 THEN 'new' ELSE 'deleted' END FROM documents WHERE doc_id % 6 IN (1, 3))""")
+def stream_poll(spark, sf_dir):
+    """Three rounds of file events, each read by a stream that starts again from where it was: files found, gone, written again, and written as they were."""
+    docs, folder = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash")), fresh(spark, "watch")
+    kind = F.col("path") % 6
+    again = F.when(kind == 2, "written again").otherwise(F.col("hash"))
+    rounds = [docs.where(kind != 0).withColumn("deleted", F.lit(False)), docs.where(kind < 3).select("path", again.alias("hash"), (kind == 1).alias("deleted")), docs.where(kind.isin(1, 3, 4)).withColumn("deleted", kind == 3)]
+    for i, rows in enumerate(rounds):
+        rows.withColumn("seen", F.lit(i)).write.mode("append").parquet(f"{folder}/events")
+        S.watch(spark.readStream.schema("path long, hash string, deleted boolean, seen int").parquet(f"{folder}/events"), folder)
+    return S.changes(spark, folder).select(F.col("n").cast("long").alias("n"), F.col("path").cast("long").alias("path"), "change")
+
+
 @query("polling_diff", """SELECT doc_id AS path, CASE WHEN doc_id % 6 = 0 THEN 'new' WHEN doc_id % 6 = 1 THEN 'deleted' ELSE 'changed' END AS change FROM documents WHERE doc_id % 6 < 3""")
 def polling_diff(spark, sf_dir):
     """Two polls of a folder: the second finds files that are new, gone or written again."""
