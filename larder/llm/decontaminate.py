@@ -7,6 +7,10 @@ token by token: literal tokens must be equal, and what fills the slots of a wind
 question with other numbers or names is caught, and a chance meeting of placeholders is not. Names must be renamed alike on
 all of a diagonal, unless two separate windows of it are verbatim. The windows of a diagonal count together: they must hold
 EVIDENCE literal tokens, or all of the item.
+
+Items alike but for what fills their slots are one template: documents meet it once, not each of its items, so that results
+grow with documents and items, not with their product. Which item of a template a document holds word for word, if any, is
+looked up by hashes of whole windows. item_templates gives the items of each template.
 """
 
 from __future__ import annotations
@@ -123,8 +127,15 @@ def benchmark_windows(items: list[tuple]) -> list[tuple[int, int, int, int]]:
     return found
 
 
+def item_template(value: np.ndarray, kind: np.ndarray, cores: list[bytes]) -> int:
+    """A hash of an item's tokens and of which of its slots are filled alike: items of one hash are renamings of each other."""
+    first: dict[tuple, int] = {}
+    alike = [first.setdefault((int(k), c), i) for i, (k, c) in enumerate(zip(kind, cores)) if k != LITERAL_TYPE]
+    return xxhash.xxh64_intdigest(value.tobytes() + b"|" + np.array(alike, dtype=np.int64).tobytes(), 11) - (1 << 63)
+
+
 class Slice:
-    """Benchmark items, and their windows by hash."""
+    """Benchmark items by template, and the windows of one item of each template by hash."""
 
     _loaded: dict[str, Slice] = {}
 
@@ -141,14 +152,59 @@ class Slice:
         self.ids = [i for i, _ in items]
         self.maker = Templates()
         self.words = [(t or "").encode().split() for _, t in items]
+        self.parsed: dict[int, tuple] = {}  # of the first item of each template: value, kind, cores, template
+        self.members: dict[int, list[int]] = {}
+        by_template: dict[int, int] = {}
+        for number, words in enumerate(self.words):
+            value, kind, token = template(self.maker.codes(words), np.array([0]))
+            cores = [words[t].strip(EDGES).lower() for t in token]
+            name = item_template(value, kind, cores)
+            if name not in by_template:
+                by_template[name] = number
+                self.parsed[number] = (value, kind, cores, name)
+            self.members.setdefault(by_template[name], []).append(number)
         self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for size, h, number, position in benchmark_windows(items):
-            self.at[size][h].append((number, position))
+        #: Of templates of several items: (template's first item, position, hash of a window's words) -> items that have them.
+        self.verbatim: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        firsts = list(self.parsed)
+        for size, h, number, position in benchmark_windows([items[n] for n in firsts]):
+            first = firsts[number]
+            self.at[size][h].append((first, position))
+            if len(self.members[first]) > 1 and (self.parsed[first][1][position : position + size] != LITERAL_TYPE).any():
+                for m in self.members[first]:
+                    self.verbatim[first, position, self._hash(self._cores(m)[position : position + size])].append(m)
         self.sorted = {size: np.array(sorted(x), dtype=np.uint64) for size, x in self.at.items()}
         self.sieve = {size: np.bincount((x >> np.uint64(42)).astype(np.int64), minlength=1 << 22).astype(bool) for size, x in self.sorted.items()}
 
-    def matches(self, all_texts: list[bytes]) -> dict[int, list[tuple]]:
-        """text number -> [(item number, first word, last word, windows, exact)]."""
+    def _cores(self, number: int) -> list[bytes]:
+        if number in self.parsed:
+            return self.parsed[number][2]
+        words = self.words[number]
+        return [words[t].strip(EDGES).lower() for t in template(self.maker.codes(words), np.array([0]))[2]]
+
+    @staticmethod
+    def _hash(cores: list[bytes]) -> int:
+        return xxhash.xxh64_intdigest(b" ".join(cores), 3)
+
+    def _word_for_word(self, first: int, windows: list[tuple[int, int]], pairs: dict[int, tuple[int, bytes, bytes]]) -> dict[int, list[tuple[int, int]]]:
+        """Items of a template, each with the windows that a document has word for word."""
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        everyone = []
+        for w in windows:
+            part = [pairs[p] for p in range(w[0], w[0] + w[1])]
+            if all(kind == LITERAL_TYPE for kind, _, _ in part):
+                everyone.append(w)
+            elif len(self.members[first]) > 1:
+                for m in self.verbatim.get((first, w[0], self._hash([theirs for _, _, theirs in part])), ()):
+                    found[m].append(w)
+            elif all(ours == theirs for _, ours, theirs in part):
+                found[first].append(w)
+        if everyone and not found:
+            found[first] = []
+        return {m: sorted(ws + everyone) for m, ws in found.items()}
+
+    def matches(self, all_texts: list[bytes], first_only: bool = False) -> dict[int, list[tuple]]:
+        """text number -> [(item number, template, first word, last word, windows, exact)]; first_only: one each at most."""
         words = [t.split() for t in all_texts]
         flat = [w for x in words for w in x]
         if not flat:
@@ -167,34 +223,37 @@ class Slice:
                     met[int(owner[at]), number, at - position].append((position, size))
         out: dict[int, list[tuple]] = defaultdict(list)
         for (doc, number, shift), windows in met.items():
-            item_value, item_kind, item_token = template(self.maker.codes(self.words[number]), np.array([0]))
+            if first_only and doc in out:
+                continue
+            item_value, item_kind, item_cores, name = self.parsed[number]
             pairs = {}
             for p in sorted({p for position, size in windows for p in range(position, position + size)}):
-                ours, theirs = self.words[number][item_token[p]].strip(EDGES).lower(), flat[token[p + shift]].strip(EDGES).lower()
-                pairs[p] = (int(item_kind[p]), ours, theirs)
+                pairs[p] = (int(item_kind[p]), item_cores[p], flat[token[p + shift]].strip(EDGES).lower())
+            literally = None
             if not consistent(list(pairs.values())):
-                windows = _kept_windows(windows, pairs)
+                kept = [w for w in windows if consistent([pairs[p] for p in range(w[0], w[0] + w[1])])]
+                literally = self._word_for_word(number, kept, pairs)
+                windows = _kept_windows(kept, pairs, literally)
             places = sorted({p for position, size in windows for p in range(position, position + size)})
             literal = sum(pairs[p][0] == LITERAL_TYPE for p in places)
             if windows and (literal >= EVIDENCE or len(places) == len(item_value)):
+                literally = self._word_for_word(number, windows, pairs) if literally is None else literally
+                exact = min((m for m, ws in literally.items() if set(windows) <= set(ws)), default=None)
                 begin = int(token[places[0] + shift] - first[doc])
-                out[doc].append((number, begin, int(token[places[-1] + shift] - first[doc]), len(windows), all(pairs[p][1] == pairs[p][2] for p in places)))
+                out[doc].append((number if exact is None else exact, name, begin, int(token[places[-1] + shift] - first[doc]), len(windows), exact is not None))
         return out
 
 
-def _kept_windows(windows: list[tuple[int, int]], pairs: dict[int, tuple[int, bytes, bytes]]) -> list[tuple[int, int]]:
-    """Of the windows (position, size) of a diagonal without one renaming, those that count.
+def _kept_windows(kept: list[tuple[int, int]], pairs: dict[int, tuple[int, bytes, bytes]], literally: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Of the windows (position, size) of a diagonal that are consistent one by one, but not together, those that count.
 
     Numbers and units may be renamed otherwise in each window, as equal ones may be so by chance. Names may not; where
-    they are, verbatim windows still count if two of them have no token in common.
+    they are, windows that one item has word for word still count if two of them have no token in common.
     """
-    of = lambda w: [pairs[p] for p in range(w[0], w[0] + w[1])]
-    kept = [w for w in windows if consistent(of(w))]
     places = sorted({p for position, size in kept for p in range(position, position + size)})
     if consistent([pairs[p] for p in places if pairs[p][0] == NAME]):
         return kept
-    verbatim = sorted(w for w in kept if all(a == b for _, a, b in of(w)))
-    return verbatim if verbatim and verbatim[0][0] + verbatim[0][1] <= verbatim[-1][0] else []
+    return next((ws for _, ws in sorted(literally.items()) if ws and ws[0][0] + ws[0][1] <= ws[-1][0]), [])
 
 
 def consistent(pairs: list[tuple[int, bytes, bytes]]) -> bool:
@@ -231,29 +290,30 @@ def _runner(spark, items: list[tuple], clean_only: bool, names: list[str], id_ty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text", 4 << 20):
             here = Slice.of(name, shared)
-            found = here.matches(list(texts(batch.column("text"))))
+            found = here.matches(list(texts(batch.column("text"))), clean_only)
             if clean_only:
                 yield batch.filter(pa.array([i not in found for i in range(len(batch))]))
             else:
                 rows = [(i, *x) for i, listed in sorted(found.items()) for x in listed]
-                at, number, begin, end, windows, exact = zip(*rows, strict=True) if rows else [()] * 6
+                at, number, template_of, begin, end, windows, exact = zip(*rows, strict=True) if rows else [()] * 7
                 ids = pa.array([here.ids[n] for n in number], id_type)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int32())), ids, *(pa.array(x, pa.int64()) for x in (begin, end, windows)), pa.array(exact, pa.bool_())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int32())), ids, *(pa.array(x, pa.int64()) for x in (template_of, begin, end, windows)), pa.array(exact, pa.bool_())], names)
 
     return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, item_id, first_word, last_word, n_windows, exact): one row per document, item and place where they meet.
+    """(key, item_id, template, first_word, last_word, n_windows, exact): one row per document, template and place where they meet.
 
-    exact is false for a re-parameterised copy. Words are numbered from 0 over the document's white-space words. Null and
+    item_id is an item of the template: the one that the document has word for word, else any, and exact is false. A
+    template whose items are in several slices has a row for each. Words are numbered from 0 over the document's white-space words. Null and
     empty texts meet nothing, nor do items of under five tokens, nor such of which no window has two literal tokens.
     Repeated rows, of either table, each give their rows. Keys may be of any type; a null key or item_id is carried along.
     Extra columns don't matter. An empty table of either kind gives none. A very long text is worked through whole.
     """
     kind, item = docs.schema[key].dataType.simpleString(), benchmark.schema["item_id"].dataType
-    names = ["key", "item_id", "first_word", "last_word", "n_windows", "exact"]
-    schema = f"key {kind}, item_id {item.simpleString()}, first_word long, last_word long, n_windows long, exact boolean"
+    names = ["key", "item_id", "template", "first_word", "last_word", "n_windows", "exact"]
+    schema = f"key {kind}, item_id {item.simpleString()}, template long, first_word long, last_word long, n_windows long, exact boolean"
     rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for items in slices(benchmark):
@@ -268,10 +328,31 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs
 
 
+def item_templates(benchmark: DataFrame) -> DataFrame:
+    """(item_id, template): which template each item of benchmark(item_id, text) is of; repeated rows have one each."""
+    item = benchmark.schema["item_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Templates()
+        for batch in batches:
+            names = []
+            for text in texts(batch.column("text")):
+                words = text.split()
+                value, kind, token = template(maker.codes(words), np.array([0]))
+                names.append(item_template(value, kind, [words[t].strip(EDGES).lower() for t in token]))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(names, pa.int64())], ["item_id", "template"])
+
+    return benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"item_id {item.simpleString()}, template long")
+
+
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     found = leaks(read("documents"), read("benchmark"))
-    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_places"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.sum("n_windows").alias("n_windows"), F.max("exact").alias("exact"))
+    met = found.groupBy("doc_id", "template").agg(
+        F.coalesce(F.min(F.when(F.col("exact"), F.col("item_id"))), F.min("item_id")).alias("item_id"), F.count("*").alias("n_places"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.sum("n_windows").alias("n_windows"), F.max("exact").alias("exact")
+    )
+    items = item_templates(read("benchmark")).groupBy("template").agg(F.count("*").alias("n_items"))
+    return met.join(items, "template").select("doc_id", "item_id", "template", "n_items", "n_places", "first_word", "last_word", "n_windows", "exact")
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
