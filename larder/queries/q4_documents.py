@@ -72,6 +72,27 @@ def paragraph_sections(spark, sf_dir):
     return P.paragraph_sections(rows, "doc_id").select("doc_id", "section", "title", F.sha2("body", 256).alias("body_hash"))
 
 
+JSON_SQL = """WITH made AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"k": ' || user_id || ', "type": "' || event_type || '", "at": {"deep": [' || event_id || ', null]}, "ok": ' || (event_id % 2 = 0) || ', "none": null}'
+    WHEN 1 THEN '[' || event_id || ', "' || event_type || '", [true], {"a": 1}]' WHEN 2 THEN '"' || event_type || '"' WHEN 3 THEN CAST(event_id AS VARCHAR) ELSE props END AS body FROM events),
+  parts AS (SELECT event_id, json_type(body) AS t, body FROM made),
+  members AS (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY name) - 1 AS position, name, json_extract(body, '$."' || name || '"') AS v FROM (SELECT event_id, body, unnest(json_keys(body)) AS name FROM parts WHERE t = 'OBJECT')),
+  items AS (SELECT event_id, CAST(i AS BIGINT) AS position, NULL AS name, json_extract(body, '$[' || i || ']') AS v FROM (SELECT event_id, body, unnest(range(CAST(json_array_length(body) AS BIGINT))) AS i FROM parts WHERE t = 'ARRAY')),
+  every AS (SELECT * FROM members UNION ALL SELECT * FROM items UNION ALL SELECT event_id, 0, NULL, CAST(body AS JSON) FROM parts WHERE t NOT IN ('OBJECT', 'ARRAY'))
+  SELECT event_id, position, name, CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'truth' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+    CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' ELSE replace(CAST(v AS VARCHAR), ' ', '') END AS value FROM every"""
+
+
+@query("json_values", JSON_SQL)
+def json_values(spark, sf_dir):
+    """Objects, lists, scalars and nested values, each with its kind."""
+    e = F.col("event_id")
+    events = table(spark, sf_dir, "events")
+    whole = F.concat(F.lit('{"k": '), "user_id", F.lit(', "type": "'), "event_type", F.lit('", "at": {"deep": ['), e, F.lit(', null]}, "ok": '), (e % 2 == 0).cast("string"), F.lit(', "none": null}'))
+    listed = F.concat(F.lit("["), e, F.lit(', "'), "event_type", F.lit('", [true], {"a": 1}]'))
+    body = F.when(e % 5 == 0, whole).when(e % 5 == 1, listed).when(e % 5 == 2, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(e % 5 == 3, e.cast("string")).otherwise(F.col("props"))
+    return P.json_values(events.select("event_id", body.alias("body")), "event_id", "body")
+
+
 @query("json_sections", """SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events""")
 def json_sections(spark, sf_dir):
     return P.json_sections(table(spark, sf_dir, "events"), "event_id", "props")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
+from larder.functions import vectors as V
 from larder.operators import cache as C
+from larder.operators import facts as stores
 from larder.operators import ingest as I
 from larder.operators import memory as M
 from larder.operators import rules as R
@@ -229,6 +231,18 @@ def fact_store_policy(spark, sf_dir):
     return same.select(F.sha2("t", 256).alias("fact_hash"), "serve_count", "source_id")
 
 
+@query("fact_merge")
+def fact_merge(spark, sf_dir):
+    """The same facts, merged at a cosine over 0.95 as they are stored one after another; a test has the loop, as SQL has no hash of words like the vectors'."""
+    from pyspark.sql import Window
+
+    facts = R.atomic_facts(table(spark, sf_dir, "documents").where(F.length("text") >= 100), "doc_id", "text")
+    first = facts.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("position"))).where("n <= 10")
+    place = F.col("doc_id") * 10 + F.col("n")
+    vectors = first.select(place.alias("fact_id"), place.alias("ord"), F.col("fact_text").alias("text"), V.hashed_embedding(F.col("fact_text")).alias("vector"))
+    return stores.merged(vectors)[0]
+
+
 @query("mask_secrets", "SELECT c_custkey, left(c_name, 4) || repeat('*', greatest(length(c_name) - 4, 0)) AS masked FROM customer")
 def mask_secrets(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.mask_secret(F.col("c_name")).alias("masked"))

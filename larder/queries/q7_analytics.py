@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from larder.operators import analytics as A
 from larder.operators import cache as C
+from larder.operators import counters as N
 from larder.plans import fixtures as X
 from larder.session import table
+from larder.storage import spill
 
 from . import query
 
@@ -147,3 +149,22 @@ def latency_histogram(spark, sf_dir):
 @query("pricing_stale", f"WITH {X.USAGE_SQL} SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') > 7 AS stale FROM usage")
 def pricing_stale(spark, sf_dir):
     return X.usage(spark, sf_dir).select("event_id", (F.datediff(F.lit("2024-01-31").cast("date"), F.to_date("ts")) > 7).alias("stale"))
+
+
+LAYERS = ["view", "click", "signup"]
+SERIES_SQL = f"""WITH {PRICED_SQL}, rows AS (SELECT CASE WHEN layer IN ('view', 'click', 'signup') THEN layer ELSE 'other' END AS layer, cached, latency_ms, cost FROM priced),
+  bounds AS (SELECT CAST(unnest([1, 5, 10, 50, 100, 500, 1000, 5000]) AS DOUBLE) AS bound)
+  SELECT 'hits_total' AS metric, layer, CAST(NULL AS DOUBLE) AS bound, CAST(count(*) FILTER (cached) AS DOUBLE) AS value FROM rows GROUP BY layer
+  UNION ALL SELECT 'misses_total', layer, NULL, CAST(count(*) FILTER (NOT cached) AS DOUBLE) FROM rows GROUP BY layer
+  UNION ALL SELECT 'cost_saved_total', layer, NULL, round(sum(CASE WHEN cached THEN cost ELSE 0.0 END), 4) FROM rows GROUP BY layer
+  UNION ALL SELECT 'latency_bucket', layer, bound, CAST(count(*) FILTER (latency_ms <= bound) AS DOUBLE) FROM rows CROSS JOIN bounds GROUP BY layer, bound
+  UNION ALL SELECT 'latency_sum', layer, NULL, round(sum(latency_ms), 4) FROM rows GROUP BY layer
+  UNION ALL SELECT 'latency_count', layer, NULL, CAST(count(latency_ms) AS DOUBLE) FROM rows GROUP BY layer"""
+
+
+@query("usage_series", SERIES_SQL)
+def usage_series(spark, sf_dir):
+    """Counters and histograms by layer, taken while the priced records are written."""
+    rows, seen = N.observed(_priced(spark, sf_dir).withColumn("saved", F.when(F.col("cached"), F.col("cost")).otherwise(F.lit(0.0))), N.counters(LAYERS))
+    spill(rows)
+    return N.series(spark, seen).withColumn("value", F.round("value", 4))

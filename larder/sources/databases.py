@@ -6,7 +6,25 @@ import sqlite3
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceWriter,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+    Not,
+    StringStartsWith,
+    WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 #: Spark types of SQLite's column affinities.
@@ -22,11 +40,60 @@ class Range(InputPartition):
         self.low, self.high = low, high
 
 
+COMPARED = {EqualTo: "=", EqualNullSafe: "IS", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+PLAIN = (bool, int, float, str)
+
+
+def predicate(wanted: Filter, kinds: dict[str, str]) -> tuple[str, list] | None:
+    """A filter as SQLite's condition with its values, if both decide alike; kinds: the columns' declared affinities.
+
+    Values must be of the column's kind, as SQLite compares a text with a number by their kinds. Texts compare by their
+    bytes, if the column keeps the usual collation, as Spark's do. A prefix is a range, not LIKE, which ignores case.
+    """
+    if isinstance(wanted, Not):
+        inner = predicate(wanted.child, kinds)
+        return None if inner is None else (f"NOT ({inner[0]})", inner[1])
+    name = wanted.attribute[0] if hasattr(wanted, "attribute") and len(wanted.attribute) == 1 else None
+    if name not in kinds:
+        return None
+    fits = lambda v: isinstance(v, PLAIN) and ((kinds[name] == "string") == isinstance(v, str)) and kinds[name] in ("string", "bigint", "double")
+    column = quoted(name)
+    if isinstance(wanted, IsNull):
+        return f"{column} IS NULL", []
+    if isinstance(wanted, IsNotNull):
+        return f"{column} IS NOT NULL", []
+    if type(wanted) in COMPARED and fits(wanted.value):
+        return f"{column} {COMPARED[type(wanted)]} ?", [wanted.value]
+    if isinstance(wanted, In) and wanted.value and all(map(fits, wanted.value)):
+        return f"{column} IN ({', '.join('?' * len(wanted.value))})", list(wanted.value)
+    if isinstance(wanted, StringStartsWith) and kinds[name] == "string" and wanted.value:
+        return f"substr({column}, 1, {len(wanted.value)}) = ?", [wanted.value]
+    return None
+
+
 class SqliteReader(DataSourceReader):
-    """Ranges of rowids, read side by side; only the schema's columns are selected."""
+    """Ranges of rowids, read side by side; only the schema's columns are selected, and rows that pass the filters that SQLite can decide.
+
+    Spark hands filters over where spark.sql.python.filterPushdown.enabled is set.
+    """
 
     def __init__(self, schema: StructType, path: str, table: str, parts: int):
         self.columns, self.path, self.table, self.parts = schema.names, path, table, parts
+        self.kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+        self.where: list[str] = []
+        self.values: list = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for wanted in filters:
+            found = predicate(wanted, self.kinds)
+            if found is None:
+                yield wanted
+            else:
+                self.where.append(f"({found[0]})")
+                self.values += found[1]
+
+    def statement(self) -> str:
+        return f"SELECT {', '.join(map(quoted, self.columns))} FROM {quoted(self.table)} WHERE {' AND '.join(['rowid >= ? AND rowid < ?', *self.where])}"
 
     def partitions(self) -> list[Range]:
         with sqlite3.connect(self.path) as db:
@@ -38,7 +105,7 @@ class SqliteReader(DataSourceReader):
 
     def read(self, part: Range) -> Iterator[tuple]:
         with sqlite3.connect(self.path) as db:
-            yield from db.execute(f"SELECT {', '.join(map(quoted, self.columns))} FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (part.low, part.high))
+            yield from db.execute(self.statement(), (part.low, part.high, *self.values))
 
 
 class Written(WriterCommitMessage):
@@ -82,7 +149,9 @@ class SqliteSource(DataSource):
 
 
 def sqlite_table(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
+    """A table of a SQLite file; filters on it go to SQLite."""
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).load()
 
 

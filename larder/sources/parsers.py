@@ -192,3 +192,21 @@ def pdf_sections(rows: DataFrame, key: str = "path", column: str = "content") ->
         return [(i, f"Page {i}", t) for i, t in enumerate(texts, 1) if t.strip()]
 
     return table_function(rows, key, [column], pages, "section long, title string, body string")
+
+
+def json_values(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, position, name, kind, value) of JSON texts of any form: a row for each member of an object or item of a list.
+
+    Members come in order of their names, items in theirs, without a name; a scalar is one row without name. kind: object, list,
+    text, number, truth or null. value: texts as they are, everything else as JSON, nested values whole. Texts that aren't
+    JSON, and nulls, have no row; an empty object or list has none either.
+    """
+    kind_of = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    parsed = rows.select(key, F.try_parse_json(column).alias("_v")).where("_v is not null").withColumn("_kind", kind_of(F.col("_v")))
+    listed = F.col("_kind").isin("OBJECT", "ARRAY")
+    many = parsed.where(listed).lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_v").outer()).toDF("position", "name", "_part")).select(key, "position", "name", "_part")
+    one = parsed.where(~listed).select(key, F.lit(0).alias("position"), F.lit(None).cast("string").alias("name"), F.col("_v").alias("_part"))
+    kind = F.when(kind_of(F.col("_part")) == "OBJECT", "object").when(kind_of(F.col("_part")) == "ARRAY", "list").when(kind_of(F.col("_part")) == "STRING", "text")
+    kind = kind.when(kind_of(F.col("_part")) == "BOOLEAN", "truth").when(kind_of(F.col("_part")) == "VOID", "null").otherwise("number")
+    value = F.when(kind_of(F.col("_part")) == "STRING", F.variant_get("_part", "$", "string")).otherwise(F.to_json("_part"))
+    return many.unionByName(one).select(key, F.col("position").cast("long").alias("position"), "name", kind.alias("kind"), value.alias("value"))

@@ -78,6 +78,30 @@ def test_fuzzy_topk(spark, small):
     assert [g[:2] + g[3:] for g in sorted(got)] == [w[:2] + w[3:] for w in sorted(want)] and want
 
 
+def test_fact_merge(spark, small, docs):
+    """Facts stored one after another, on the same vectors."""
+    from pyspark.sql import functions as F
+
+    from larder.functions.vectors import hashed_embedding
+    from larder.operators import rules
+
+    found = rules.atomic_facts(spark.read.parquet(f"{small}/documents.parquet").where(F.length("text") >= 100), "doc_id", "text")
+    facts = sorted(found.select("doc_id", "position", "fact_text", hashed_embedding(F.col("fact_text")).alias("v")).collect())
+    stored, serves, seen = np.empty((0, 64)), {}, {}
+    for doc, group in groupby(facts, key=lambda r: r["doc_id"]):
+        for n, r in enumerate(list(group)[:10], 1):
+            v = np.array(r["v"])
+            near = np.round(stored @ v, 6)
+            if len(near) and near.max() > 0.95 or r["fact_text"] in seen:
+                best = seen.get(r["fact_text"], list(serves)[int(near.argmax())] if len(near) else None)
+                serves[best] += 1
+            else:
+                serves[doc * 10 + n] = 0
+                seen[r["fact_text"]] = doc * 10 + n
+                stored = np.vstack([stored, v])
+    assert {r["fact_id"]: r["serve_count"] for r in rows(spark, small, "fact_merge")} == serves and max(serves.values()) > 0
+
+
 def test_ivf_search(spark, small):
     """Its recall against brute force, on vectors of random directions."""
     items = pd.read_parquet(f"{small}/embeddings.parquet")
