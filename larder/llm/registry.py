@@ -11,7 +11,7 @@ from .parts import PERSONAL_BASE_SQL, QUALITY_COUNTS_SQL, personal_base, quality
 from .pii import op8_pii
 from .quality_model import op6_quality
 from .quality_rules import op7_quality_rules
-from .repair import op11_repair
+from .repair import OP11_SQL, op11_repair
 from .simhash import op10_simhash
 from .substrings import OP1_SQL, op1_substring_dedup
 from .suffixes import OP12_SQL, op12_suffixes
@@ -35,4 +35,4 @@ QUERIES = {
     "personal_base": personal_base,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_chat": OP9_SQL, "op12_suffixes": OP12_SQL, "op13_merkle": OP13_SQL, "quality_counts": QUALITY_COUNTS_SQL, "personal_base": PERSONAL_BASE_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_chat": OP9_SQL, "op11_repair": OP11_SQL, "op12_suffixes": OP12_SQL, "op13_merkle": OP13_SQL, "quality_counts": QUALITY_COUNTS_SQL, "personal_base": PERSONAL_BASE_SQL}

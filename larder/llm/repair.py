@@ -310,3 +310,36 @@ def op11_repair(spark, sf_dir: str) -> DataFrame:
     every = turns.select("conv_id").distinct()
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in SUMS[1:7]]
     return every.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """Costs and letters of each state as one text that sorts by both, row by row; letters are replayed for the texts."""
+    add = lambda s, cost, letter: f"lpad(CAST(CAST(left({s}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({s}, 10) || '{letter}'"
+    late, free = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END", "fault NOT IN ('blank', 'duplicate')"
+    open_ = "least(z, s, a)"
+    return rf"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  told AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+  dealt AS (SELECT told.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM told, crc),
+  turns AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM dealt WHERE kind <> 0),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM turns),
+  judged AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+  steps AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS z, CAST(NULL AS VARCHAR) AS s, '000000003I' AS u, '000000006II' AS a FROM (SELECT DISTINCT conv_id FROM judged)
+    UNION ALL
+    SELECT conv_id, i, z, s, u, least(a, {add("u", 3, "I")}) FROM (SELECT conv_id, i, z, s, least(u, {add(open_, 3, "I")}) AS u, a FROM (
+      SELECT p.conv_id, r.i, {add("z", 4, "D")} AS z, least({add("s", 4, "D")}, CASE WHEN {free} AND initial = 's' THEN {add("z", late, "K")} END) AS s,
+        least({add("u", 4, "D")}, CASE WHEN {free} AND initial = 'u' THEN {add(open_, late, "K")} END, CASE WHEN {free} THEN {add(open_, f"3 + {late}", "R")} END) AS u,
+        least({add("a", 4, "D")}, CASE WHEN {free} AND initial = 'a' THEN {add("u", late, "K")} END, CASE WHEN {free} THEN {add("u", f"3 + {late}", "R")} END) AS a
+      FROM steps p JOIN judged r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1))),
+  best AS (SELECT conv_id, CAST(left(w, 9) AS BIGINT) AS cost, substr(w, 10) AS audit FROM (SELECT conv_id, least(arg_max(z, i), arg_max(a, i)) AS w FROM steps GROUP BY conv_id)),
+  letters AS (SELECT conv_id, p, letter, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER o AS i, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER o AS j
+    FROM (SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS p FROM best WHERE audit <> '') WINDOW o AS (PARTITION BY conv_id ORDER BY p)),
+  told_again AS (SELECT l.*, role, text, max(CASE WHEN letter = 'K' AND j = 1 AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS system FROM letters l LEFT JOIN judged r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i WHERE letter <> 'D'),
+  repaired AS (SELECT conv_id, sha256(string_agg(CASE letter WHEN 'K' THEN role || ':' || text ELSE CASE WHEN (j - system) % 2 = 1 THEN 'user:' ELSE 'assistant:' END || CASE WHEN letter = 'R' THEN text ELSE '' END END, chr(10) ORDER BY p)) AS h FROM told_again GROUP BY conv_id),
+  counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+  SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
+OP11_SQL = _sql()
