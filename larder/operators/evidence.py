@@ -34,8 +34,9 @@ def best_answer(evidence: DataFrame) -> DataFrame:
 
 
 def context(evidence: DataFrame) -> DataFrame:
-    """(question_id, context): the texts by falling confidence, each under its layer and confidence."""
-    line = F.struct((-F.col("confidence")).alias("c"), "ord", F.concat(F.lit("["), "layer", F.lit(":"), F.format_number("confidence", 2), F.lit("]\n"), "text").alias("t"))
+    """(question_id, context): the texts by falling confidence, each under its layer and confidence, and the sub-question it answers, if evidence has such a column."""
+    about = F.when(F.coalesce(F.col("sub_query"), F.lit("")) != "", F.concat(F.lit(" (re: "), "sub_query", F.lit(")"))).otherwise("") if "sub_query" in evidence.columns else F.lit("")
+    line = F.struct((-F.col("confidence")).alias("c"), "ord", F.concat(F.lit("["), "layer", F.lit(":"), F.format_number("confidence", 2), F.lit("]"), about, F.lit("\n"), "text").alias("t"))
     listed = evidence.where("text <> ''").groupBy("question_id").agg(F.sort_array(F.collect_list(line)).alias("e"))
     return listed.select("question_id", F.array_join(F.transform("e", lambda x: x["t"]), "\n\n---\n\n").alias("context"))
 

@@ -41,7 +41,7 @@ def parse(files: DataFrame) -> DataFrame:
     of = lambda kind: named.where(F.col("format") == kind)
     parts = [
         P.paragraph_sections(of("text").select("path", "text"), "path"),
-        P.markdown_sections(of("markdown").select("path", "text"), "path").select("path", "section", F.coalesce("heading", F.lit("Content")).alias("title"), "body"),
+        P.markdown_sections(of("markdown").select("path", "text"), "path").select("path", "section", "title", "body"),
         P.html_sections(of("html").select("path", F.col("text").alias("html")), "path"),
         table_function(of("csv").select("path", "text"), "path", ["text"], _csv, SECTION),
         table_function(of("json").where(F.col("length") <= MOST_JSON_BYTES).select("path", "text"), "path", ["text"], json_groups, SECTION),

@@ -197,12 +197,21 @@ def model_comparison(spark, sf_dir):
     return rows.select("cache_id", "model", "serve_count", F.round(g * (1 + n), 2).alias("ms_without"), F.round(g + 0.5 * n, 2).alias("ms_with"), F.round(g * n - 0.5 * n, 2).alias("ms_saved"), T.quarter_tokens(F.col("answer_text")).alias("tokens"))
 
 
-@query("comparison_rollup", f"""WITH {X.CACHE_SQL} SELECT model, count(*) AS entries, round(sum(generation_ms * (1 + serve_count)), 2) AS ms_without, round(sum(generation_ms + 0.5 * serve_count), 2) AS ms_with,
-  round(sum(generation_ms * (1 + serve_count)) / sum(generation_ms + 0.5 * serve_count), 1) AS savings_factor FROM cache WHERE is_valid AND serve_count > 0 GROUP BY model""")
+@query("comparison_rollup", f"""WITH {X.CACHE_SQL} SELECT model, count(*) AS entries, CAST(sum(serve_count) AS BIGINT) AS serves, round(sum(generation_ms * (1 + serve_count)), 2) AS ms_without, round(sum(generation_ms + 0.5 * serve_count), 2) AS ms_with,
+  round(sum(generation_ms * (1 + serve_count)) / sum(generation_ms + 0.5 * serve_count), 1) AS savings_factor, CAST(sum(tokens) AS BIGINT) AS tokens_with, CAST(sum(tokens * (1 + serve_count)) AS BIGINT) AS tokens_without,
+  round(sum(cost), 4) AS cost_with, round(sum(cost * (1 + serve_count)), 4) AS cost_without
+  FROM (SELECT c.*, greatest(1, CAST(floor(length(answer_text) / 4.0) AS BIGINT)) AS tokens, floor((CAST(length(question) AS DOUBLE) / 4 * CAST(rate_in AS DOUBLE) + CAST(length(answer_text) AS DOUBLE) / 4 * CAST(rate_out AS DOUBLE)) / 1000 * 1e6 + 0.5) / 1e6 AS cost FROM (
+    SELECT *, CASE WHEN model LIKE 'gpt-4o%' THEN 0.0025 WHEN model LIKE 'gpt-4-turbo%' THEN 0.01 WHEN model LIKE 'claude-3-haiku%' THEN 0.00025 ELSE 0.0 END AS rate_in,
+           CASE WHEN model LIKE 'gpt-4o%' THEN 0.01 WHEN model LIKE 'gpt-4-turbo%' THEN 0.03 WHEN model LIKE 'claude-3-haiku%' THEN 0.00125 ELSE 0.0 END AS rate_out FROM cache WHERE is_valid AND serve_count > 0) c) GROUP BY ROLLUP (model)""")
 def comparison_rollup(spark, sf_dir):
-    without, with_cache = F.sum(F.col("generation_ms") * (1 + F.col("serve_count"))), F.sum(F.col("generation_ms") + 0.5 * F.col("serve_count"))
-    rows = X.answer_cache(spark, sf_dir).where("is_valid and serve_count > 0")
-    return rows.groupBy("model").agg(F.count("*").alias("entries"), F.round(without, 2).alias("ms_without"), F.round(with_cache, 2).alias("ms_with"), F.round(without / with_cache, 1).alias("savings_factor"))
+    """With the cache and without it, by model and in all (a null model): time, tokens and costs."""
+    served = 1 + F.col("serve_count")
+    without, with_cache = F.sum(F.col("generation_ms") * served), F.sum(F.col("generation_ms") + 0.5 * F.col("serve_count"))
+    rows = X.answer_cache(spark, sf_dir).where("is_valid and serve_count > 0").withColumns({"tokens": T.quarter_tokens(F.col("answer_text")), "cost": T.generation_cost(F.col("model"), F.col("answer_text"), F.col("question"))})
+    return rows.rollup("model").agg(
+        F.count("*").alias("entries"), F.sum("serve_count").alias("serves"), F.round(without, 2).alias("ms_without"), F.round(with_cache, 2).alias("ms_with"), F.round(without / with_cache, 1).alias("savings_factor"),
+        F.sum("tokens").alias("tokens_with"), F.sum(F.col("tokens") * served).alias("tokens_without"), F.round(F.sum("cost"), 4).alias("cost_with"), F.round(F.sum(F.col("cost") * served), 4).alias("cost_without"),
+    )
 
 
 @query("recent_queries", f"WITH {X.CACHE_SQL} SELECT cache_id, namespace_id, created_s, serve_count FROM cache ORDER BY created_s DESC, cache_id LIMIT 20 OFFSET 5")

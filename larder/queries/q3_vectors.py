@@ -159,9 +159,10 @@ def best_answer(spark, sf_dir):
     return E.best_answer(_evidence(spark, sf_dir))
 
 
-@query("context_assembly", f"WITH {EVIDENCE_SQL} SELECT question_id, string_agg('[' || layer || ':' || printf('%.2f', CAST(confidence AS DOUBLE)) || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY confidence DESC, ord) AS context FROM evidence WHERE text <> '' GROUP BY question_id")
+@query("context_assembly", f"WITH {EVIDENCE_SQL} SELECT question_id, string_agg('[' || layer || ':' || printf('%.2f', CAST(confidence AS DOUBLE)) || ']' || CASE WHEN layer = 'composable' THEN ' (re: part ' || ord || ')' ELSE '' END || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY confidence DESC, ord) AS context FROM evidence WHERE text <> '' GROUP BY question_id")
 def context_assembly(spark, sf_dir):
-    return E.context(_evidence(spark, sf_dir))
+    part = F.when(F.col("layer") == "composable", F.concat(F.lit("part "), "ord"))
+    return E.context(_evidence(spark, sf_dir).withColumn("sub_query", part))
 
 
 @query("decision_accumulate", f"""WITH {EVIDENCE_SQL}, whole AS (SELECT DISTINCT question_id FROM evidence WHERE NOT is_partial), questions AS (SELECT event_id AS question_id FROM events WHERE event_id < (SELECT count(*) FROM events) // 5)

@@ -48,16 +48,21 @@ def sections_csv_groups(spark, sf_dir):
     return P.csv_sections(rows, ["c_nationkey"], "c_custkey", ["c_custkey", "c_name", "c_mktsegment"])
 
 
-@query("markdown_sections", r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-  marked AS (SELECT *, pos % 4 = 1 AS is_heading FROM lines), grouped AS (SELECT *, sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM marked)
-  SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN is_heading THEN trim(line) END) AS heading, sha256(trim(coalesce(string_agg(CASE WHEN NOT is_heading THEN line END, chr(10) ORDER BY pos), ''), ' ' || chr(10) || chr(13) || chr(9))) AS version_hash FROM grouped GROUP BY doc_id, section
-  HAVING count(*) FILTER (WHERE NOT is_heading) > 0""")
+TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("markdown_sections", rf"""WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+  marked AS (SELECT doc_id, source, pos, CASE WHEN pos % 4 = 1 THEN '## ' || line ELSE ' ' || line END AS line FROM lines), judged AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+.+$') AS is_heading FROM marked),
+  grouped AS (SELECT *, sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM judged),
+  parts AS (SELECT doc_id, any_value(source) AS source, part, max(CASE WHEN is_heading THEN {TRIMMED.format("regexp_extract(line, '^#{1,6}\s+(.+)$', 1)")} END) AS heading, count(*) FILTER (NOT is_heading) AS n, {TRIMMED.format("coalesce(string_agg(CASE WHEN NOT is_heading THEN line END, chr(10) ORDER BY pos), '')")} AS body, part = max(part) OVER (PARTITION BY doc_id) AS last FROM grouped GROUP BY doc_id, part),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS section FROM parts WHERE CASE WHEN last THEN body <> '' ELSE n > 0 END)
+  SELECT doc_id, section, coalesce(heading, source) AS title, source || ' > ' || coalesce(heading, source) AS path, sha256(body) AS version_hash FROM kept
+  UNION ALL SELECT doc_id, 0, source, '', sha256({TRIMMED.format("marked_text")}) FROM (SELECT doc_id, any_value(source) AS source, string_agg(line, chr(10) ORDER BY pos) AS marked_text FROM marked GROUP BY doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM kept)""")
 def markdown_sections(spark, sf_dir):
     """Each fourth line becomes a heading, as these documents have none."""
-    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), x)).otherwise(F.concat(F.lit(" "), x))), "\n")
-    found = P.markdown_sections(_docs(spark, sf_dir).select("doc_id", marked.alias("text")), "doc_id")
-    body = F.regexp_replace(F.array_join(F.transform(F.split("body", "\n"), lambda x: F.substring(x, F.lit(2), F.length(x))), "\n"), r"^[ \n\r\t]+|[ \n\r\t]+$", "")
-    return found.select("doc_id", "section", "heading", F.sha2(body, 256).alias("version_hash"))
+    marked = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), x)).otherwise(F.concat(F.lit(" "), x))), "\n")
+    found = P.markdown_sections(_docs(spark, sf_dir).select("doc_id", "source", marked.alias("text")), "doc_id", title="source")
+    return found.select("doc_id", "section", "title", F.array_join("hierarchy", " > ").alias("path"), F.sha2("body", 256).alias("version_hash"))
 
 
 @query("paragraph_sections", """WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS ps FROM documents),

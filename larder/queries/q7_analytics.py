@@ -64,12 +64,18 @@ def usage_by_tenant(spark, sf_dir):
     return _priced(spark, sf_dir).groupBy("tenant_id", "layer").agg(*_summary())
 
 
-@query("benchmark_report", f"""WITH {X.USAGE_SQL} SELECT layer, count(*) AS n, round(avg(latency_ms), 4) AS mean, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(quantile_cont(latency_ms, 0.99), 4) AS p99 FROM usage GROUP BY layer""")
+@query("benchmark_report", f"""WITH {PRICED_SQL} SELECT layer, count(*) AS n, count(*) FILTER (cached) AS hits, round(100.0 * count(*) FILTER (cached) / count(*), 2) AS hit_rate, CAST(coalesce(sum(input_tokens + output_tokens) FILTER (cached), 0) AS BIGINT) AS saved_tokens,
+  round(coalesce(sum(cost) FILTER (cached), 0.0), 4) AS saved_cost, round(coalesce(sum(cost) FILTER (NOT cached), 0.0), 4) AS paid, round(avg(latency_ms), 4) AS mean, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(quantile_cont(latency_ms, 0.99), 4) AS p99 FROM priced GROUP BY layer""")
 def benchmark_report(spark, sf_dir):
-    rows = X.usage(spark, sf_dir)
-    sums = rows.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean"))
+    """Hits, savings and latencies by layer."""
+    rows = _priced(spark, sf_dir)
+    hit = F.col("cached")
+    sums = rows.groupBy("layer").agg(
+        F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.round(100.0 * F.count_if(hit) / F.count("*"), 2).alias("hit_rate"), F.coalesce(F.sum(F.when(hit, F.col("input_tokens") + F.col("output_tokens"))), F.lit(0)).alias("saved_tokens"),
+        F.round(F.coalesce(F.sum(F.when(hit, F.col("cost"))), F.lit(0.0)), 4).alias("saved_cost"), F.round(F.coalesce(F.sum(F.when(~hit, F.col("cost"))), F.lit(0.0)), 4).alias("paid"), F.round(F.avg("latency_ms"), 4).alias("mean"),
+    )
     found = A.percentiles(rows, "layer", "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    return sums.join(found, "layer", "left").select("layer", "n", "mean", *(F.round(p, 4).alias(p) for p in ("p50", "p95", "p99")))
+    return sums.join(found, "layer", "left").select(*sums.columns, *(F.round(p, 4).alias(p) for p in ("p50", "p95", "p99")))
 
 
 @query("benchmark_projection", f"""WITH {PRICED_SQL} SELECT round(avg(CASE WHEN cached THEN latency_ms END), 4) AS cached_ms, round(avg(CASE WHEN NOT cached THEN latency_ms END), 4) AS model_ms, round(avg(CASE WHEN NOT cached THEN latency_ms END) / avg(CASE WHEN cached THEN latency_ms END), 2) AS speedup,

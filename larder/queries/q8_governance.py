@@ -134,10 +134,17 @@ def circuit_breaker(spark, sf_dir):
     return L.breaker(calls, "user_id", "ts", "event_id", failures=2, seconds=86_400, probes=1)
 
 
-@query("session_lag", """SELECT conv_id, turn, sha256(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS previous FROM conversations""")
+@query("session_lag", """WITH told AS (SELECT conv_id, turn, role, text, max(CASE WHEN role = 'user' THEN turn END) OVER w AS q, max(CASE WHEN role = 'assistant' THEN turn END) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT t.conv_id, t.turn, sha256(lag(t.text) OVER (PARTITION BY t.conv_id ORDER BY t.turn)) AS previous, sha256(q.text) AS question, CASE WHEN a > t.q THEN sha256(r.text) END AS answer
+  FROM told t LEFT JOIN conversations q ON q.conv_id = t.conv_id AND q.turn = t.q LEFT JOIN conversations r ON r.conv_id = t.conv_id AND r.turn = t.a""")
 def session_lag(spark, sf_dir):
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(before, 256).alias("previous"))
+    """What was said before each turn: the last text, and the last exchange, a question and, if one came, its answer."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda role: F.last(F.when(F.col("role") == role, F.struct("turn", "text")), ignorenulls=True).over(earlier)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text").over(order).alias("previous"), last("user").alias("q"), last("assistant").alias("a"))
+    answer = F.when(F.col("a.turn") > F.col("q.turn"), F.sha2("a.text", 256))
+    return rows.select("conv_id", "turn", F.sha2("previous", 256).alias("previous"), F.sha2("q.text", 256).alias("question"), answer.alias("answer"))
 
 
 @query("session_id", "SELECT conv_id, left(sha256('salt|' || string_agg(role || ':' || text, '|' ORDER BY turn)), 16) AS session_id FROM conversations GROUP BY conv_id")

@@ -10,7 +10,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.operators.chunking import table_function
@@ -50,19 +50,34 @@ def csv_sections(rows: DataFrame, by: list[str], order: str, columns: list[str],
     return groups.select(*by, F.col("part").cast("long").alias("part"), title.alias("title"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
 
 
-def markdown_sections(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, section, heading, body): split at headings by an in-row fold of lines; sections without lines are left out.
+#: Before a heading line: one to six `#`, white space, and something after it.
+HEADING = r"(?:\A|(?<=\n))(?=#{1,6}[^\S\n]+[^\n]+)"
 
-    Lines before the first heading are section 0.
+
+def markdown_sections(rows: DataFrame, key: str, text: str = "text", title: str | None = None) -> DataFrame:
+    """(key, section, title, hierarchy, body): a text cut at its headings, within the row, so that nothing is shuffled.
+
+    section counts from 1. What comes before the first heading has the document's title, a column of rows, or `Content`;
+    hierarchy is that title and the heading. A heading without lines before the next one gives no section, one with blank
+    lines only gives an empty one, but not at the end. A text without any section, a null or empty one too, is one section
+    0 under the document's title, without hierarchy.
     """
-    lines = rows.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    heading = F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)
-    marked = lines.select(key, "pos", "line", F.when(heading != "", F.trim(heading)).alias("heading"), F.col("line").rlike(r"^#{1,6}\s+.+$").alias("is_heading"))
-    order = Window.partitionBy(key).orderBy("pos")
-    grouped = marked.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(order))
-    body = F.sort_array(F.collect_list(F.when(~F.col("is_heading"), F.struct("pos", "line"))))
-    out = grouped.groupBy(key, "section").agg(F.max("heading").alias("heading"), body.alias("l")).where(F.size("l") > 0)
-    return out.select(key, F.col("section").cast("long").alias("section"), "heading", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
+    name = F.coalesce(F.col(title).cast("string"), F.lit("Content")) if title else F.lit("Content")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    cut = rows.select(key, name.alias("_name"), body.alias("_text"), F.split(body, HEADING).alias("_parts"))
+
+    def section(part: Column, at: Column) -> Column:
+        heading = F.regexp_extract(part, r"\A#{1,6}[^\S\n]+([^\n]+)", 1)
+        lines = F.when(heading == "", part).otherwise(F.regexp_replace(part, r"\A[^\n]*\n?", ""))
+        last = at == F.size("_parts") - 1
+        return F.struct(F.when(heading == "", F.col("_name")).otherwise(strip(heading)).alias("title"), strip(lines).alias("body"), F.when(last, strip(lines) != "").otherwise(lines != "").alias("kept"))
+
+    found = cut.withColumn("_found", F.filter(F.transform("_parts", section), lambda x: x["kept"]))
+    several = found.where(F.size("_found") > 0).select(key, "_name", F.posexplode("_found").alias("_at", "_s"))
+    several = several.select(key, (F.col("_at") + 1).cast("long").alias("section"), F.col("_s.title").alias("title"), F.array("_name", "_s.title").alias("hierarchy"), F.col("_s.body").alias("body"))
+    whole = found.where(F.size("_found") == 0).select(key, F.lit(0).cast("long").alias("section"), F.col("_name").alias("title"), F.array().cast("array<string>").alias("hierarchy"), strip(F.col("_text")).alias("body"))
+    return several.unionByName(whole)
 
 
 def _paragraphs(text: str | None) -> list[tuple[int, str, str]]:

@@ -199,9 +199,12 @@ def test_parsers(spark, tmp_path):
     page = "<title>T</title><h1>One</h1><p>A paragraph of text.</p><p>short</p><h2>Two</h2><script>var x='</p>'</script><li>An item that is long</li>"
     got = P.html_sections(spark.createDataFrame([(1, page), (2, None)], "id long, html string"), "id").orderBy("id", "section").collect()
     assert [(r["id"], r["title"], r["body"]) for r in got] == [(1, "One", "A paragraph of text."), (1, "Two", "An item that is long"), (2, "Content", "")]
-    text = "intro\n# A\nbody a\n## B\n# C\nbody c"
-    got = P.markdown_sections(spark.createDataFrame([(1, text)], "id long, text string"), "id").orderBy("section").collect()
-    assert [(r["section"], r["heading"], r["body"]) for r in got] == [(0, None, "intro"), (1, "A", "body a"), (3, "C", "body c")]
+    texts = ["intro\n# A\nbody a\n## B\n# C\nbody c", "# only", "", None, "# A\n\n# B\n \n", "#no heading\n####### nor this\n###### six\nx\n# y\n\u00a0"]
+    got = P.markdown_sections(spark.createDataFrame([(i, t, "D") for i, t in enumerate(texts)], "id long, text string, name string"), "id", title="name").orderBy("id", "section").collect()
+    assert [(r["id"], r["section"], r["title"], r["hierarchy"], r["body"]) for r in got] == [
+        (0, 1, "D", ["D", "D"], "intro"), (0, 2, "A", ["D", "A"], "body a"), (0, 3, "C", ["D", "C"], "body c"), (1, 0, "D", [], "# only"), (2, 0, "D", [], ""), (3, 0, "D", [], ""),
+        (4, 1, "A", ["D", "A"], ""), (5, 1, "D", ["D", "D"], "#no heading\n####### nor this"), (5, 2, "six", ["D", "six"], "x"),
+    ]
     (tmp_path / "a.md").write_text("# x")
     (tmp_path / "b.exe").write_text("no")
     assert [r["format"] for r in P.files(spark, str(tmp_path)).select("format").collect()] == ["markdown"]
