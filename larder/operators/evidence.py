@@ -79,3 +79,8 @@ def two_hops(links: DataFrame, starts: DataFrame, per_hop: tuple[int, int] = (3,
     once = found.groupBy("start", "target").agg(F.min(F.struct("hop", (-F.col("confidence")).alias("c"))).alias("m")).select("start", "target", "m.hop", (-F.col("m.c")).alias("confidence"))
     order = Window.partitionBy("start").orderBy("hop", F.desc(F.round("confidence", 7)), "target")
     return once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def newest_valid(answers: DataFrame, most: int) -> DataFrame:
+    """The valid ones of answers(cache_id, created_s, is_valid, ...), at most so many, newest first, of one time the smaller id."""
+    return answers.where("is_valid").orderBy(F.desc("created_s"), "cache_id").limit(most)

@@ -97,6 +97,31 @@ def fact_search_post_filter(spark, sf_dir):
     return V.search(_queries(spark, sf_dir), items, k=5).join(items.select("id", "label"), "id").where("label % 2 = 0").select("query_id", "id", "similarity", "rank")
 
 
+NEWEST_SQL = """answers AS (SELECT vec_id, (vec_id * 7919) % 100003 AS created_s FROM embeddings WHERE vec_id % 9 <> 0), newest AS (SELECT vec_id FROM answers ORDER BY created_s DESC, vec_id LIMIT 200)"""
+
+
+@query("newest_semantic_match", f"WITH {NEAR_SQL}, {NEWEST_SQL} SELECT query_id, id, similarity FROM (SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM near n JOIN newest ON vec_id = id WHERE similarity >= 0.1) WHERE place = 1")
+def newest_semantic_match(spark, sf_dir):
+    """The best match among the 200 newest valid answers: the cut comes before the similarity."""
+    items = _items(spark, sf_dir)
+    answers = items.select(F.col("id").alias("cache_id"), (F.col("id") * 7919 % 100_003).alias("created_s"), (F.col("id") % 9 != 0).alias("is_valid"))
+    newest = E.newest_valid(answers, 200).select(F.col("cache_id").alias("id"))
+    return V.search(_queries(spark, sf_dir), items.join(newest, "id", "left_semi"), k=1, threshold=0.1).select("query_id", "id", "similarity")
+
+
+TOLD_SQL = """told AS (SELECT conv_id, conv_id % 4 AS project, count(*) AS turns FROM conversations GROUP BY conv_id)"""
+
+
+@query("conversation_recall", f"""WITH {NEAR_SQL}, {TOLD_SQL}, met AS (SELECT n.query_id, n.id, n.similarity, row_number() OVER (PARTITION BY n.query_id ORDER BY n.similarity DESC, n.id) AS rank FROM near n JOIN told a ON a.conv_id = n.query_id JOIN told b ON b.conv_id = n.id AND a.project = b.project)
+  SELECT query_id, id, similarity, rank, turns, turns % 3 = 0 AS approved FROM met JOIN told ON conv_id = id WHERE rank <= 5""")
+def conversation_recall(spark, sf_dir):
+    """Conversations by their vectors, within a project; what they were rated is looked up after the cut."""
+    told = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns")).withColumn("project", F.col("conv_id") % 4)
+    vectors = _items(spark, sf_dir).select("id", "vector").join(told.withColumnRenamed("conv_id", "id"), "id")
+    found = V.search(vectors.where("id % 100 = 0").withColumnRenamed("id", "query_id"), vectors, k=5, scope="project")
+    return found.join(vectors.select("id", "turns"), "id").select("query_id", "id", "similarity", "rank", "turns", (F.col("turns") % 3 == 0).alias("approved"))
+
+
 @query("scoped_vector_search", f"WITH {NEAR_SQL}, scoped AS (SELECT n.* FROM near n JOIN embeddings q ON n.query_id = q.vec_id WHERE q.label = n.label) SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM scoped) WHERE rank <= 5")
 def scoped_vector_search(spark, sf_dir):
     """The scope is applied before the limit, within the blocks, so that a common one gathers in no task."""
