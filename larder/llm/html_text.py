@@ -5,7 +5,8 @@ so are containers that their class or id names as adverts, notices, comments and
 of the marked article, is in them. The first pass decides each block from stop-word density, length and link density. That
 a page marks its article is one more sign, if the marked part holds no less good text than the rest: then a block in it is
 bad for its links only, and one outside is bad. In the second pass ambiguous blocks take the label of their nearest
-decided neighbours; the edge of a marked article counts as good, that of a page as bad.
+decided neighbours; the edge of a marked article counts as good, and that of a page decides nothing. Blocks of a page where
+nothing is decided are good.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ STOP_WORDS = frozenset(w for listed in COMMON_WORDS.values() for w in listed) |
 #: Thresholds of the block rules. Lengths and links are the published ones (fixed values); the densities are lower, as they are published for
 #: lists of several hundred stop words a language, and STOP_WORDS holds some fifty.
 SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.15, 0.20, 0.2
+#: What may stand around a word.
+AROUND = ".,;:!?\"'()#*$%&|<>"
 #: The share of linked text from which a block within the marked article is a menu.
 MENU = 0.8
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -232,35 +235,65 @@ def _without_doubtful(found: list[Block], doubts: list[tuple[int, bool]]) -> lis
 
 
 def first_pass(b: Block) -> str:
-    """good, near (good), short or bad, from the block alone."""
+    """good, near (good), weak, short or bad, from the block alone; weak: too few stop words, yet no links."""
     length, words = len(b.text), b.text.lower().split()
     if b.linked / max(1, length) > LINKS or "\xa9" in b.text or "&copy" in b.text:
         return "bad"
     if length < SHORT:
         return "bad" if b.linked else "short"
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
+    stops = sum(w.strip(AROUND) in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= HIGH:
         return "good" if length > LONG else "near"
-    return "near" if stops >= LOW else "bad"
+    return "near" if stops >= LOW else "bad" if b.linked else "weak"
+
+
+def nearest(found: list[Block], side: range) -> list[tuple[int, str]]:
+    """How far the nearest decided block on one side of each is, and its kind; empty if there is none."""
+    out, at, kind = [(len(found), "")] * len(found), 0, ""
+    for i in side:
+        if kind:
+            out[i] = (abs(i - at), kind)
+        if found[i].kind not in ("short", "weak"):
+            at, kind = i, "bad" if found[i].kind == "bad" else "good"  # a near-good block counts as one that is good
+    return out
 
 
 def classify(found: list[Block]) -> list[Block]:
     """The blocks of the main text."""
     for b in found:
         b.kind = first_pass(b)
-    text = {inside: sum(len(b.text) for b in found if b.article == inside and b.kind in ("good", "near")) for inside in (True, False)}
+    text = {inside: sum(len(b.text) for b in found if b.article == inside and b.kind != "bad") for inside in (True, False)}
     marked = any(b.article for b in found) and text[True] >= text[False]
     if marked:
         for b in found:
             if not b.article:
                 b.kind = "bad"
-            elif b.kind == "bad":
-                b.kind = "bad" if b.linked > MENU * len(b.text) else "near"
-    beside = [["", ""] for _ in found]  # the nearest decided kind on each side; a near-good block counts as one that is good
+            elif b.kind == "weak" or b.kind == "bad" and b.linked <= MENU * len(b.text):
+                b.kind = "near"
+        return _within(found)
+    before, after = (nearest(found, side) for side in (range(len(found)), range(len(found) - 1, -1, -1)))
+    kinds = []
+    for b, left, right in zip(found, before, after, strict=True):
+        if b.kind in ("good", "bad"):
+            kinds.append(b.kind)
+        elif b.heading:
+            kinds.append(right[1] or left[1] or "good")
+        elif b.kind == "near":
+            kinds.append("bad" if left[1] == right[1] == "bad" else "good")
+        else:
+            close = min(left[0], right[0])
+            beside = {kind for far, kind in (left, right) if far == close}
+            kinds.append("bad" if beside == {"bad"} else "good")
+    return [b for b, kind in zip(found, kinds, strict=True) if kind == "good"]
+
+
+def _within(found: list[Block]) -> list[Block]:
+    """The blocks of the main text of a page that marks its article; its edges are good."""
+    beside = [["", ""] for _ in found]
     for side, order in ((0, range(len(found))), (1, range(len(found) - 1, -1, -1))):
         kind, was_inside = "bad", False
         for i in order:
-            if marked and found[i].article != was_inside:
+            if found[i].article != was_inside:
                 was_inside = found[i].article
                 kind = "good" if was_inside else "bad"
             beside[i][side] = kind
@@ -268,12 +301,7 @@ def classify(found: list[Block]) -> list[Block]:
                 kind = "bad" if found[i].kind == "bad" else "good"
     for b, (left, right) in zip(found, beside, strict=True):
         if b.kind in ("short", "near"):
-            if b.heading:
-                b.kind = right
-            elif b.kind == "near" or marked:
-                b.kind = "bad" if left == right == "bad" else "good"
-            else:
-                b.kind = "good" if left == right == "good" else "bad"
+            b.kind = right if b.heading else "bad" if left == right == "bad" else "good"
     return [b for b in found if b.kind == "good"]
 
 
