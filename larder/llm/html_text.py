@@ -215,7 +215,7 @@ def blocks(source: str) -> list[Block]:
 def _without_doubtful(found: list[Block], doubts: list[tuple[int, bool]]) -> list[Block]:
     """Blocks that are in no doubtful container, but for those that hold over half of the marked text, or of all if none is marked.
 
-    A container within the article, as comments are, must hold nine tenths of it.
+    A container within the article, as comments are, must hold nine tenths of it. One of little text must hold all.
     """
     if not doubts:
         return found
@@ -230,7 +230,8 @@ def _without_doubtful(found: list[Block], doubts: list[tuple[int, bool]]) -> lis
     total = sum(len(b.text) for b, counts in zip(found, counted, strict=True) if counts)
     dropped = [False] * len(doubts)
     for i, (outer, inside) in enumerate(doubts):
-        dropped[i] = held[i] <= total * (0.9 if inside else 0.5) or outer >= 0 and dropped[outer]
+        little = held[i] < min(LONG, total)
+        dropped[i] = little or held[i] <= total * (0.9 if inside else 0.5) or outer >= 0 and dropped[outer]
     return [b for b in found if b.doubt < 0 or not dropped[b.doubt]]
 
 
@@ -262,7 +263,7 @@ def classify(found: list[Block]) -> list[Block]:
     """The blocks of the main text."""
     for b in found:
         b.kind = first_pass(b)
-    text = {inside: sum(len(b.text) for b in found if b.article == inside and b.kind != "bad") for inside in (True, False)}
+    text = {inside: sum(len(b.text) for b in found if b.article == inside and b.kind not in ("short", "bad")) for inside in (True, False)}
     marked = any(b.article for b in found) and text[True] >= text[False]
     if marked:
         for b in found:
@@ -280,6 +281,8 @@ def classify(found: list[Block]) -> list[Block]:
             kinds.append(right[1] or left[1] or "good")
         elif b.kind == "near":
             kinds.append("bad" if left[1] == right[1] == "bad" else "good")
+        elif b.article:  # in an article that isn't trusted, a teaser for instance
+            kinds.append("good" if left[1] == right[1] == "good" else "bad")
         else:
             close = min(left[0], right[0])
             beside = {kind for far, kind in (left, right) if far == close}
