@@ -11,17 +11,22 @@ from .scratch import spill
 
 #: Frequent function words of each language, one bin of the histogram each.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "was"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "ist"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
+    "en": "the of and to in a is that it for on was with as be by are this at from he not or an but his have which they had her has were she their been will if more when who one all there".split(),
+    "de": "der die und in den von zu das mit sich des ist für auf nicht im dem ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum".split(),
+    "fr": "de la le et les des en un du une que est pour par qui dans sur pas avec au il ne se plus ce son sont ou mais aux a sa cette ont ses nous elle être fait comme tout leur".split(),
+    "es": "de la que el en y a los se del las un por con su no una para es al lo como más pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue".split(),
 }
 WHITE = " \t\n\x0b\x0c\r"
+#: Marks that may stand around a word.
+POINTS = ".,;:\"()"
 WINDOW = 8
 #: Documents of fewer words aren't held to the histograms: to that of characters, to that of common words.
 LEAST_WORDS = (20, 60)
 #: Jensen-Shannon distances (base 2, from 0 to 1) above which a document is rejected.
-MOST_DISTANCE = (0.30, 0.55)
+MOST_DISTANCE = (0.30, 0.22)
+#: A sample of n words from a histogram of k bins lies off it by about k / (NOISE * n) in squared distance; this
+#: isn't held against a document.
+NOISE = 8
 
 
 def let(value: Column, body) -> Column:
@@ -59,7 +64,8 @@ def features(docs: DataFrame, columns: list[str], common: dict[str, list[str]])
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     bins = sorted({w for listed in common.values() for w in listed})
-    known = F.filter(F.col("words"), lambda w: F.lower(w).isin(bins))
+    plain = F.split(F.lower(F.translate(F.col("text"), POINTS, " " * len(POINTS))), r"[\x20\x09-\x0D]+")
+    known = F.filter(plain, lambda w: w.isin(bins))
     language = F.when(F.col("lang").isin(list(common)), F.col("lang")).otherwise("")
     listed = F.lit(None).cast("array<string>")
     for name, own in common.items():
@@ -78,8 +84,8 @@ def features(docs: DataFrame, columns: list[str], common: dict[str, list[str]])
         (F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", ""))).alias("n_upper"),
         (F.length("text") - F.length(F.regexp_replace("text", r"\p{N}+", ""))).alias("n_digit"),
         (F.length("text") - _without(F.col("text"), "!?")).alias("n_shout"),
-        (F.length("text") - _without(F.col("text"), ".,;:'\"()-")).alias("n_point"),
-        let(known, lambda found: F.transform(listed, lambda c: F.size(F.filter(found, lambda w: F.lower(w) == c)))).alias("commons"),
+        (F.length("text") - _without(F.col("text"), POINTS + "'-")).alias("n_point"),
+        let(known, lambda found: F.transform(listed, lambda c: F.size(found) - F.size(F.array_remove(found, c)))).alias("commons"),
     )
     parts = [F.col("n_all") - F.col("word_chars"), *map(F.col, ("n_symbols", "n_upper", "n_digit", "n_shout", "n_point"))]
     rest = F.col("word_chars") - sum(parts[2:], F.col("n_symbols"))
@@ -124,9 +130,11 @@ def judge(docs: DataFrame, columns: list[str], common: dict[str, list[str]] | No
         found = found.join(ref, F.col("language") == F.col(f"of_{name}"), "left").drop(f"of_{name}")
     found = found.withColumn("char_distance", divergence(shares(F.col("chars")), F.col("ref_chars")))
     found = found.withColumn("word_distance", divergence(shares(F.col("commons")), F.col("ref_commons")))
+    noise = F.size("commons") / (NOISE * F.col("n_words"))
+    off = {"char_distance": F.col("char_distance"), "word_distance": F.sqrt(F.greatest(F.pow("word_distance", 2) - noise, F.lit(0.0)))}
     far = F.lit(False)
-    for name, least, most in zip(("char_distance", "word_distance"), LEAST_WORDS, MOST_DISTANCE, strict=True):
-        far = far | ((F.col("n_words") >= least) & (F.coalesce(name, F.lit(0.0)) > most))
+    for name, least, most in zip(off, LEAST_WORDS, MOST_DISTANCE, strict=True):
+        far = far | ((F.col("n_words") >= least) & (F.coalesce(off[name], F.lit(0.0)) > most))
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).drop("chars", "commons", "ref_chars", "ref_commons")
 
 
