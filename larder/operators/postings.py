@@ -50,9 +50,25 @@ def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return rows.groupBy("key", "doc_length", "term").agg(F.count("*").alias("tf"), F.min("at").alias("at"))
 
 
-def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """The index of docs(key, text), written to the shared folder. Keys are unique; null texts and those without words have no postings."""
-    counts = spill(term_counts(docs, key, text))
+def field_counts(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
+    """As term_counts over several text columns: a word counts its column's weight each time it stands there, in tf and in doc_length."""
+
+    def weighted(column: str, weight: float) -> Column:
+        return F.transform(T.tokens(F.coalesce(F.col(column), F.lit(""))), lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("weight")))
+
+    listed = F.concat(*(weighted(c, w) for c, w in fields.items()))
+    words = spread(docs.select(F.col(key).alias("key"), F.struct(*fields).alias("f"))).select("key", "f.*").select("key", listed.alias("words"))
+    length = F.aggregate("words", F.lit(0.0), lambda total, w: total + w["weight"])
+    rows = words.where(F.size("words") > 0).select("key", length.alias("doc_length"), F.posexplode("words").alias("at", "w"))
+    return rows.groupBy("key", "doc_length", F.col("w.term").alias("term")).agg(F.sum("w.weight").alias("tf"), F.min("at").alias("at"))
+
+
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text", fields: dict[str, float] | None = None) -> Index:
+    """The index of docs(key, text), written to the shared folder. Keys are unique; null texts and those without words have no postings.
+
+    fields: text columns and their positive weights, instead of the one text.
+    """
+    counts = spill(field_counts(docs, fields, key) if fields else term_counts(docs, key, text))
     documents = spill(counts.agg(F.count_if(F.col("at") == 0).alias("n"), (F.sum("tf") / F.count_if(F.col("at") == 0)).alias("mean")))
     scored = counts.crossJoin(F.broadcast(documents)).select("term", "key", impact_of(F.col("tf"), F.col("doc_length"), F.col("mean")).alias("impact"))  # one row
     leveled = scored.withColumn("level", F.ceil(F.col("impact") * LEVELS).cast("int"))

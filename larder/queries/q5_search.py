@@ -96,6 +96,33 @@ def hybrid_search_left(spark, sf_dir):
     return S.hybrid_left(keyword, _vectors(spark, sf_dir), _sections(spark, sf_dir))
 
 
+#: Weights of the fields of a section: its citation, its title and its text.
+FIELDS = {"citation": 1.0, "title": 0.4, "body": 0.2}
+FIELDED_SQL = f"""{ASKED_SQL}, sections AS (SELECT doc_id, source AS citation, split_part(text, '.', 1) AS title, text AS body FROM documents),
+  terms AS ({" UNION ALL ".join(f"SELECT doc_id, unnest({X.tokens_sql(c)}) AS term, {w}::DOUBLE AS w FROM sections" for c, w in FIELDS.items())}),
+  idx AS (SELECT doc_id, term, sum(w) AS tf FROM terms GROUP BY doc_id, term), lengths AS (SELECT doc_id, sum(w) AS doc_length FROM terms GROUP BY doc_id), size AS (SELECT count(*) AS n, avg(doc_length) AS mean FROM lengths), freq AS (SELECT term, count(*) AS df FROM idx GROUP BY term),
+  scored AS (SELECT q.query_id, i.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_length / mean))), 6) AS score, count(*) = any_value(terms) AS every FROM wanted q JOIN idx i ON q.term = i.term JOIN freq f ON f.term = i.term JOIN lengths l ON l.doc_id = i.doc_id CROSS JOIN size GROUP BY q.query_id, i.doc_id)"""
+
+
+def _fields(spark, sf_dir):
+    sections = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("citation"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.col("text").alias("body"))
+    return P.build(sections, fields=FIELDS)
+
+
+@query("search_fields", f"WITH {FIELDED_SQL} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
+def search_fields(spark, sf_dir):
+    """The ten best sections, where a word in the citation or title counts more than one in the text."""
+    return P.top(_fields(spark, sf_dir), _queries(spark, sf_dir))
+
+
+@query("hybrid_search_fields", f"""WITH {FIELDED_SQL}, {NEAREST_SQL}
+  SELECT b.query_id, b.doc_id, round(0.4 * score + 0.6 * coalesce(similarity, 0.0), 4) AS score FROM (SELECT * FROM scored WHERE every) b LEFT JOIN vec v ON b.query_id = v.query_id AND b.doc_id = v.doc_id""")
+def hybrid_search_fields(spark, sf_dir):
+    """hybrid_search_left with weighted fields: a word may stand in any of them."""
+    keyword = P.with_every_term(_fields(spark, sf_dir), _queries(spark, sf_dir))
+    return S.hybrid_left(keyword, _vectors(spark, sf_dir), _sections(spark, sf_dir))
+
+
 @query("search_in_scope", f"""WITH {SCORED_SQL}, scoped AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.doc_id WHERE d.lang IN ('en', 'de') AND d.source <> '')
   SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scoped) WHERE rank <= 10""")
 def search_in_scope(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -180,3 +180,28 @@ def test_similar_copies_few(spark, vectors):
         angles = np.arccos(np.clip(unit @ centre.T, -1, 1))
         reached = (angles <= np.array([radius.get(i, -9) for i in range(len(centre))]) + turn) & (angles <= angles.min(axis=1, keepdims=True) + 2 * turn)
         assert reached.sum() / len(mine) < most
+
+
+def test_weighted_fields(spark):
+    """A word in the title counts as its weight says; nulls, empty fields and rows without words are harmless."""
+    rows = [(1, "red fox", "lake lake water"), (2, "stone", "red lake water"), (3, None, "red red red"), (4, "", None), (5, "red", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string")
+    weights = {"title": 2.0, "body": 0.5}
+    found = postings.build(docs, fields=weights)
+    tf, lengths = defaultdict(float), defaultdict(float)
+    for i, *texts in rows:
+        for text, w in zip(texts, weights.values()):
+            for word in (text or "").split():
+                tf[word, i] += w
+                lengths[i] += w
+    mean = sum(lengths.values()) / len(lengths)
+    asked = spark.createDataFrame([(7, "red lake"), (8, None), (9, "absent")], "query_id long, text string")
+    want = {}
+    for i in lengths:
+        df = {t: sum(w == t for w, _ in tf) for t in ("red", "lake")}
+        score = sum(math.log(1 + (len(lengths) - df[t] + 0.5) / (df[t] + 0.5)) * tf[t, i] * 2.2 / (tf[t, i] + 1.2 * (0.25 + 0.75 * lengths[i] / mean)) for t in df if (t, i) in tf)
+        want[7, i] = round(score, 6)
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in postings.top(found, asked).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert {r["doc_id"] for r in postings.with_every_term(found, asked).collect()} == {1, 2}
+    assert postings.top(postings.build(docs.limit(0), fields=weights), asked).collect() == []
