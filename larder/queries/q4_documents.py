@@ -54,7 +54,7 @@ TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 @query("markdown_sections", rf"""WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
   marked AS (SELECT doc_id, source, pos, CASE WHEN pos % 4 = 1 THEN '## ' || line ELSE ' ' || line END AS line FROM lines), judged AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+.+$') AS is_heading FROM marked),
   grouped AS (SELECT *, sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM judged),
-  parts AS (SELECT doc_id, any_value(source) AS source, part, max(CASE WHEN is_heading THEN {TRIMMED.format("regexp_extract(line, '^#{1,6}\s+(.+)$', 1)")} END) AS heading, count(*) FILTER (NOT is_heading) AS n, {TRIMMED.format("coalesce(string_agg(CASE WHEN NOT is_heading THEN line END, chr(10) ORDER BY pos), '')")} AS body, part = max(part) OVER (PARTITION BY doc_id) AS last FROM grouped GROUP BY doc_id, part),
+  parts AS (SELECT doc_id, any_value(source) AS source, part, max(CASE WHEN is_heading THEN {TRIMMED.format("regexp_extract(line, '^#{1,6}\\s+(.+)$', 1)")} END) AS heading, count(*) FILTER (NOT is_heading) AS n, {TRIMMED.format("coalesce(string_agg(CASE WHEN NOT is_heading THEN line END, chr(10) ORDER BY pos), '')")} AS body, part = max(part) OVER (PARTITION BY doc_id) AS last FROM grouped GROUP BY doc_id, part),
   kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS section FROM parts WHERE CASE WHEN last THEN body <> '' ELSE n > 0 END)
   SELECT doc_id, section, coalesce(heading, source) AS title, source || ' > ' || coalesce(heading, source) AS path, sha256(body) AS version_hash FROM kept
   UNION ALL SELECT doc_id, 0, source, '', sha256({TRIMMED.format("marked_text")}) FROM (SELECT doc_id, any_value(source) AS source, string_agg(line, chr(10) ORDER BY pos) AS marked_text FROM marked GROUP BY doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM kept)""")

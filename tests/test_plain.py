@@ -116,20 +116,54 @@ def test_ivf_search(spark, small):
     assert hits >= 0.9 * 10 * len(got) and all(len(g) == 10 for g in got.values())
 
 
-@pytest.mark.parametrize("name", ["chunk_recursive", "chunk_semantic"])
-def test_chunks(spark, small, docs, name):
-    """Every chunk is text of its document, none is short, no word is lost but those of short ends, and few are long."""
-    by = {k: list(g) for k, g in groupby(sorted(rows(spark, small, name), key=lambda r: (r["doc_id"], r["char_offset"], r["chunk_index"])), key=lambda r: r["doc_id"])}
-    squeeze = lambda s: re.sub(r"\s+", " ", s).strip()
-    for i, text in zip(docs.doc_id, docs.text):
-        whole = squeeze(text)
-        chunks = [squeeze(c["chunk"]) for c in by.get(i, [])]
-        assert all(c in whole and len(c) >= 40 for c in chunks)
-        if len(whole) >= 50 and name == "chunk_semantic":
-            lost = set(whole.split()) - {w for c in chunks for w in c.split()}
-            assert len(lost) <= 12
-        if len(whole) < 50:
-            assert not chunks
+def fill(parts, gap, gap_counts):
+    """(parts, offset): as many parts as fit into 500 characters, the next begun with those of the end that fit into 50."""
+    out, first, used, offset = [], 0, 0, 0
+    for i, part in enumerate(parts):
+        if i > first and used + len(part) + (gap if gap_counts else 0) > 500:
+            out.append((parts[first:i], offset))
+            start, kept = i, 0
+            while start > first and kept + len(parts[start - 1]) <= 50:
+                start -= 1
+                kept += len(parts[start]) + gap
+            first, used, offset = start, kept, offset + used - kept
+        used += len(part) + gap
+    return [*out, (parts[first:], offset)] if parts else out
+
+
+def split_finer(text, separators):
+    """Only the last group is split further, and the places of its parts are counted on from those that are already there."""
+    if not separators:
+        return []
+    out, groups = [], fill(text.split(separators[0]), len(separators[0]), True)
+    for n, (group, offset) in enumerate(groups):
+        chunk = separators[0].join(group).strip()
+        if n == len(groups) - 1 and len(chunk) > 500 and len(separators) > 1:
+            for i, at, part in split_finer(chunk, separators[1:]):
+                out.append((len(out) + i, offset + at, part))
+        elif len(chunk) >= 50:
+            out.append((len(out), offset, chunk))
+    return out
+
+
+def by_separators(text):
+    if len(text) <= 500:
+        return [(0, 0, text.strip())] if len(text.strip()) >= 50 else []
+    return split_finer(text, ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " "])
+
+
+def by_sentences(text):
+    ends = [m.end() for m in re.finditer(r"[.!?](?=\s)", text) if not (text[m.start()] == "." and re.search(r"(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|Inc|Ltd|Corp)$", text[: m.start()]))]
+    parts = [text[a:b].strip() for a, b in zip([0, *ends], [*ends, len(text)])]
+    kept = [(offset, " ".join(g)) for g, offset in fill([p for p in parts if p], 1, False)]
+    return [(n, at, c) for n, (at, c) in enumerate(x for x in kept if len(x[1]) >= 50)]
+
+
+@pytest.mark.parametrize("name, chunks_of", [("chunk_recursive", by_separators), ("chunk_semantic", by_sentences)])
+def test_chunks(spark, small, docs, name, chunks_of):
+    """Every chunk, its place and its offset."""
+    got = sorted((r["doc_id"], r["chunk_index"], r["char_offset"], r["chunk"]) for r in rows(spark, small, name))
+    assert got == sorted((i, *c) for i, text in zip(docs.doc_id, docs.text) for c in chunks_of(text)) and got
 
 
 def test_chunk_code(spark, small, docs):
