@@ -77,6 +77,18 @@ def test_gate(spark, question, history, serve):
     assert one(spark, qualify.qualification(F.lit(question), F.lit(history))["serve"]) is serve
 
 
+def test_gate_as_sql(spark):
+    """Words end at accented letters and other white space as they do in SQL."""
+    import duckdb
+
+    texts = ["perdre éno de la", "el niño va lejos", "straßeok und mehr dazu", "yes\u017f we go on there", "\u212aan be", "what i\u017f it", "\u00a0is it legal to sing", "a\u00a0b c d", "\u00a0 a b c", "a\x0bb c d", "a b c d\n", "what\u2003it means"]
+    trimmed, phrases, pronoun = "trim(t)", qualify.CONTEXT_PHRASES.replace("'", "''"), qualify.SHORT_PRONOUN
+    words = rf"len(list_filter(string_split_regex({trimmed}, '\s+'), lambda x: x <> ''))"
+    found = duckdb.execute(rf"SELECT t, NOT ({words} <= 3 OR regexp_matches(t, '(?i){phrases}') OR regexp_matches({trimmed}, '(?i){pronoun}')) FROM (SELECT unnest(?) AS t)", [texts])
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", qualify.qualification(F.col("t"), F.lit(True))["serve"].alias("serve"))
+    assert {r["t"]: r["serve"] for r in rows.collect()} == dict(found.fetchall())
+
+
 @pytest.mark.parametrize("created,ttl,expired", [(0, None, False), (None, 10, True), (0, 100, False), (0, 99, True), (0, 101, False)])
 def test_expiry(spark, created, ttl, expired):
     value = lambda x: F.lit(x).cast("long")
