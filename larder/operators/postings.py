@@ -46,21 +46,29 @@ def idf_of(df: Column, n: Column) -> Column:
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, doc_length, term, tf, at): one row per distinct term of a row of docs, and the place where it first stands."""
     words = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", T.tokens(F.col("text")).alias("words"))
-    rows = words.where(F.size("words") > 0).select("key", F.size("words").alias("doc_length"), F.posexplode("words").alias("at", "term"))
+    # The length is a column of its own before words are listed, or each word's row would carry all words of its text along.
+    # Listed with a null where there are none, as a filter on the words would be pushed down and find them a second time.
+    listed = words.select("key", F.size("words").alias("doc_length"), "words")
+    rows = listed.select("key", "doc_length", F.posexplode_outer("words").alias("at", "term")).where("term is not null")
     return rows.groupBy("key", "doc_length", "term").agg(F.count("*").alias("tf"), F.min("at").alias("at"))
 
 
 def field_counts(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
     """As term_counts over several text columns: a word counts its column's weight each time it stands there, in tf and in doc_length."""
 
-    def weighted(column: str, weight: float) -> Column:
-        return F.transform(T.tokens(F.coalesce(F.col(column), F.lit(""))), lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("weight")))
-
-    listed = F.concat(*(weighted(c, w) for c, w in fields.items()))
-    words = spread(docs.select(F.col(key).alias("key"), F.struct(*fields).alias("f"))).select("key", "f.*").select("key", listed.alias("words"))
-    length = F.aggregate("words", F.lit(0.0), lambda total, w: total + w["weight"])
-    rows = words.where(F.size("words") > 0).select("key", length.alias("doc_length"), F.posexplode("words").alias("at", "w"))
-    return rows.groupBy("key", "doc_length", F.col("w.term").alias("term")).agg(F.sum("w.weight").alias("tf"), F.min("at").alias("at"))
+    def total(values) -> Column:
+        return F.aggregate(F.array(*values), F.lit(0.0), lambda a, x: a + x)
+
+    lists = F.array(*(T.tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields)).alias("lists")
+    words = spread(docs.select(F.col(key).alias("key"), F.struct(*fields).alias("f"))).select("key", "f.*").select("key", lists)
+    # A word's place says which column it comes from, so that no weights are listed beside the words.
+    sizes = [F.size(F.col("lists")[i]) for i in range(len(fields))]
+    length = total(n * F.lit(float(w)) for n, w in zip(sizes, fields.values(), strict=True))
+    ends = F.array(*(F.aggregate(F.array(*sizes[: i + 1]), F.lit(0), lambda a, n: a + n) for i in range(len(fields))))
+    listed = words.select("key", length.alias("doc_length"), ends.alias("ends"), F.flatten("lists").alias("words"))
+    rows = listed.select("key", "doc_length", "ends", F.posexplode_outer("words").alias("at", "term")).where("term is not null")
+    weight = F.coalesce(*(F.when(F.col("at") < F.col("ends")[i], F.lit(float(w))) for i, w in enumerate(fields.values())))
+    return rows.groupBy("key", "doc_length", "term").agg(F.sum(weight).alias("tf"), F.min("at").alias("at"))
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", fields: dict[str, float] | None = None) -> Index:
