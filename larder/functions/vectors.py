@@ -28,8 +28,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of an array column, scaled to unit length; rows that aren't finite or have no length are zero."""
-    rows = np.array(column.to_pylist(), dtype=np.float64)
-    rows = rows.reshape(len(column), -1)
+    flat, sizes = column.flatten(), pa.compute.list_value_length(column)
+    if len(column) and not column.null_count and not flat.null_count and pa.compute.min_max(sizes)["min"] == pa.compute.min_max(sizes)["max"]:
+        rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)  # no object for each number
+    else:
+        rows = np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
     bad = ~np.isfinite(rows).all(axis=1)
     rows[bad] = 0
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -143,6 +146,8 @@ def remove(items: DataFrame, ids: DataFrame) -> DataFrame:
 def hashed_embedding(text: Column, width: int = 64) -> Column:
     """A unit vector of signed counts of hashed words: a stand-in where no embedder is given, the same everywhere."""
     slots = F.transform(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(width)).alias("at"), F.when(F.pmod(F.xxhash64(w, F.lit("sign")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("by"), (w != "").alias("real")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(slots, lambda s: s["real"] & (s["at"] == i)), F.lit(0.0), lambda a, s: a + s["by"]))
-    scaled = F.transform(F.array(raw), lambda r: F.transform(r, lambda x: F.when(F.sqrt(dot(r, r)) > 0, x / F.sqrt(dot(r, r))).otherwise(F.lit(0.0))))
+    # Bound to a variable, so that words are hashed once for a text and not once for each place.
+    bound = F.transform(F.array(F.filter(slots, lambda s: s["real"])), lambda real: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(real, lambda s: s["at"] == i), F.lit(0.0), lambda a, s: a + s["by"])))
+    raw = bound[0]
+    scaled = F.transform(F.array(raw), lambda r: F.transform(F.array(F.sqrt(dot(r, r))), lambda n: F.transform(r, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))[0])
     return scaled[0]
