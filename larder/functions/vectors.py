@@ -96,7 +96,7 @@ def search(queries: DataFrame, items: DataFrame, k: int | None = None, threshold
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _section_block(ids: np.ndarray, unit: np.ndarray, k: int):
+def _section_block(ids: np.ndarray, unit: np.ndarray, k: int, within: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
@@ -104,26 +104,38 @@ def _section_block(ids: np.ndarray, unit: np.ndarray, k: int):
                 listed, keys = part.column(1), part.column(0).to_numpy(zero_copy_only=False)
                 sizes = pa.compute.list_value_length(listed).to_numpy(zero_copy_only=False)
                 near = np.round(np.maximum.reduceat(unit @ matrix(listed.flatten()).T, np.append(0, np.cumsum(sizes)[:-1]), axis=1), 6)
-                keep = near >= (np.partition(near, len(keys) - k, axis=1)[:, len(keys) - k, None] if len(keys) > k else -np.inf)
+                keep = near >= (np.partition(near, len(keys) - k, axis=1)[:, len(keys) - k, None] - within if len(keys) > k else -np.inf)
                 q, c = np.nonzero(keep)
+                # Of one similarity the k smallest ids are enough, as ties go to these.
+                order = np.lexsort((keys[c], near[q, c], q))
+                q, c = q[order], c[order]
+                fresh = np.append(True, (q[1:] != q[:-1]) | (near[q[1:], c[1:]] != near[q[:-1], c[:-1]]))[: len(q)]
+                first = np.arange(len(q)) - np.maximum.accumulate(np.where(fresh, np.arange(len(q)), 0)) < k
+                q, c = q[first], c[first]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[q], keys[c], near[q, c], near.min(axis=1)[q], near.max(axis=1)[q]))], ["query_id", "id", "similarity", "low", "high"])
 
     return run
 
 
-def section_search(queries: DataFrame, sections: DataFrame, k: int, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """The k sections(id, vectors) nearest to each of queries(query_id, vector), by a section's nearest vector: (query_id, id,
-    similarity, rank); and (query_id, low, high), the least and the greatest similarity of any section.
+def near_sections(queries: DataFrame, sections: DataFrame, k: int, within: float = 0.0, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Sections(id, vectors) that may be among the k nearest to each of queries(query_id, vector), by a section's nearest vector:
+    (query_id, id, similarity); and (query_id, low, high), the least and the greatest similarity of any section.
 
-    One pass over sections for each block of queries; a batch's k best for a query leave a task.
+    None is left out that is up to `within` less similar than the k-th, but of one similarity only those of the k smallest ids
+    are sure to be there. One pass over sections for each block of queries; a batch's own nearest leave a task.
     """
     found = sections.sparkSession.createDataFrame([], "query_id long, id long, similarity double, low double, high double")
     for ids, unit in blocks(queries, block):
-        found = found.unionByName(sections.where(F.size("vectors") > 0).select("id", "vectors").mapInArrow(_section_block(ids, unit, k), found.schema))
+        found = found.unionByName(sections.where(F.size("vectors") > 0).select("id", "vectors").mapInArrow(_section_block(ids, unit, k, within), found.schema))
     extremes = found.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return found.select("query_id", "id", "similarity"), extremes
+
+
+def section_search(queries: DataFrame, sections: DataFrame, k: int, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The k nearest of near_sections, (query_id, id, similarity, rank), and the extremes."""
+    found, extremes = near_sections(queries, sections, k, block=block)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    near = found.select("query_id", "id", "similarity").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return near, extremes
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), extremes
 
 
 def upsert(items: DataFrame, new: DataFrame, most: int = 50_000, order: str = "added") -> DataFrame:
