@@ -65,19 +65,27 @@ def markdown_sections(rows: DataFrame, key: str, text: str = "text", title: str
     name = F.coalesce(F.col(title).cast("string"), F.lit("Content")) if title else F.lit("Content")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    cut = rows.select(key, name.alias("_name"), body.alias("_text"), F.split(body, HEADING).alias("_parts"))
-
-    def section(part: Column, at: Column) -> Column:
-        heading = F.regexp_extract(part, r"\A#{1,6}[^\S\n]+([^\n]+)", 1)
-        lines = F.when(heading == "", part).otherwise(F.regexp_replace(part, r"\A[^\n]*\n?", ""))
-        last = at == F.size("_parts") - 1
-        return F.struct(F.when(heading == "", F.col("_name")).otherwise(strip(heading)).alias("title"), strip(lines).alias("body"), F.when(last, strip(lines) != "").otherwise(lines != "").alias("kept"))
-
-    found = cut.withColumn("_found", F.filter(F.transform("_parts", section), lambda x: x["kept"]))
-    several = found.where(F.size("_found") > 0).select(key, "_name", F.posexplode("_found").alias("_at", "_s"))
-    several = several.select(key, (F.col("_at") + 1).cast("long").alias("section"), F.col("_s.title").alias("title"), F.array("_name", "_s.title").alias("hierarchy"), F.col("_s.body").alias("body"))
-    whole = found.where(F.size("_found") == 0).select(key, F.lit(0).cast("long").alias("section"), F.col("_name").alias("title"), F.array().cast("array<string>").alias("hierarchy"), strip(F.col("_text")).alias("body"))
-    return several.unionByName(whole)
+    element = "struct<section:bigint,title:string,hierarchy:array<string>,body:string>"
+
+    def sections(parts: Column) -> Column:
+        def split(part: Column, at: Column) -> Column:
+            heading = F.regexp_extract(part, r"\A#{1,6}[^\S\n]+([^\n]+)", 1)
+            lines = F.when(heading == "", part).otherwise(F.regexp_replace(part, r"\A[^\n]*\n?", ""))
+            return F.struct(strip(heading).alias("heading"), strip(lines).alias("body"), (lines != "").alias("any"), (at == F.size(parts) - 1).alias("last"))
+
+        kept = F.filter(F.transform(parts, split), lambda x: F.when(x["last"], x["body"] != "").otherwise(x["any"]))
+        title = lambda x: F.when(x["heading"] == "", F.col("_name")).otherwise(x["heading"])
+        return F.transform(kept, lambda x, at: F.struct((at + 1).cast("long").alias("section"), title(x).alias("title"), F.array(F.col("_name"), title(x)).alias("hierarchy"), x["body"].alias("body")).cast(element))
+
+    def whole(text: Column) -> Column:
+        return F.array(F.struct(F.lit(0).cast("long").alias("section"), F.col("_name").alias("title"), F.array().cast("array<string>").alias("hierarchy"), strip(text).alias("body")).cast(element))
+
+    # The text, its parts and its sections are bound to variables, and no filter is put on them: each is found once for a
+    # text, and not once for each part of it.
+    found = lambda text: F.transform(F.array(F.split(text, HEADING)), lambda parts: sections(parts))[0]
+    listed = F.transform(F.array(body), lambda text: F.transform(F.array(found(text)), lambda s: F.when(F.size(s) > 0, s).otherwise(whole(text)))[0])[0]
+    cut = rows.select(key, name.alias("_name"), F.col(text)).select(key, listed.alias("_found"))
+    return cut.select(key, F.explode_outer("_found").alias("_s")).select(key, "_s.*")
 
 
 def _paragraphs(text: str | None) -> list[tuple[int, str, str]]:
