@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import text as T
+from larder.functions.counts import counted
 from larder.session import spread
 from larder.storage import spill
 
@@ -44,13 +45,16 @@ def idf_of(df: Column, n: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, doc_length, term, tf, at): one row per distinct term of a row of docs, and the place where it first stands."""
+    """(key, doc_length, term, tf, at): one row per distinct term of a row of docs, and the place where it first stands. Keys are unique."""
     words = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", T.tokens(F.col("text")).alias("words"))
-    # The length is a column of its own before words are listed, or each word's row would carry all words of its text along.
-    # Listed with a null where there are none, as a filter on the words would be pushed down and find them a second time.
-    listed = words.select("key", F.size("words").alias("doc_length"), "words")
-    rows = listed.select("key", "doc_length", F.posexplode_outer("words").alias("at", "term")).where("term is not null")
-    return rows.groupBy("key", "doc_length", "term").agg(F.count("*").alias("tf"), F.min("at").alias("at"))
+    # Counted within the text: rows of words, met by key and word, would all be shuffled for it.
+    return _listed(counted(words.select("key", F.size("words").alias("doc_length"), "words")))
+
+
+def _listed(texts: DataFrame) -> DataFrame:
+    # With a null where there are no words, which a filter on the counts would find first.
+    rows = texts.select("key", "doc_length", F.posexplode_outer("counts").alias("nth", "c")).where("c is not null")
+    return rows.select("key", "doc_length", "c.term", "c.tf", "c.at")
 
 
 def field_counts(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
@@ -64,11 +68,9 @@ def field_counts(docs: DataFrame, fields: dict[str, float], key: str = "doc_id")
     # A word's place says which column it comes from, so that no weights are listed beside the words.
     sizes = [F.size(F.col("lists")[i]) for i in range(len(fields))]
     length = total(n * F.lit(float(w)) for n, w in zip(sizes, fields.values(), strict=True))
-    ends = F.array(*(F.aggregate(F.array(*sizes[: i + 1]), F.lit(0), lambda a, n: a + n) for i in range(len(fields))))
-    listed = words.select("key", length.alias("doc_length"), ends.alias("ends"), F.flatten("lists").alias("words"))
-    rows = listed.select("key", "doc_length", "ends", F.posexplode_outer("words").alias("at", "term")).where("term is not null")
-    weight = F.coalesce(*(F.when(F.col("at") < F.col("ends")[i], F.lit(float(w))) for i, w in enumerate(fields.values())))
-    return rows.groupBy("key", "doc_length", "term").agg(F.sum(weight).alias("tf"), F.min("at").alias("at"))
+    ends = [sum(sizes[1 : i + 1], sizes[0]) for i in range(len(fields))]
+    listed = words.select("key", length.alias("doc_length"), F.array(*ends).alias("ends"), F.flatten("lists").alias("words"))
+    return _listed(counted(listed, [float(w) for w in fields.values()]))
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", fields: dict[str, float] | None = None) -> Index:
