@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.counts import counted
 from larder.functions.text import block_tokens
 
 #: Words of each domain, in order of precedence.
@@ -185,12 +186,15 @@ def domain(document_type: Column, title: Column, text: Column) -> Column:
 
 
 def topics(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, topic, n, confidence): the three most frequent plain words of four or more letters that occur twice."""
+    """(key, topic, n, confidence): the three most frequent plain words of four or more letters that occur twice. Keys are unique.
+
+    Counted and ranked within the row, so that nothing is shuffled.
+    """
     words = F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(TOPIC_STOPS))
-    counted = rows.select(key, F.posexplode(words).alias("pos", "topic")).groupBy(key, "topic").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    order = Window.partitionBy(key).orderBy(F.desc("n"), "pos")
-    top = counted.withColumn("_r", F.row_number().over(order)).where("_r <= 3 and n >= 2")
-    return top.select(key, "topic", "n", F.round(F.least(F.lit(0.7), 0.3 + F.col("n") * 0.1), 2).alias("confidence"))
+    repeated = F.transform(F.filter("counts", lambda c: c["tf"] >= 2), lambda c: F.struct((-c["tf"]).alias("less"), c["at"].alias("at"), c["term"].alias("topic")))
+    top = counted(rows.select(key, words.alias("words"))).select(key, F.explode_outer(F.slice(F.sort_array(repeated), 1, 3)).alias("t")).where("t is not null")
+    n = -F.col("t.less")
+    return top.select(key, "t.topic", n.alias("n"), F.round(F.least(F.lit(0.7), 0.3 + n * 0.1), 2).alias("confidence"))
 
 
 def entity_types(text: Column) -> Column:
