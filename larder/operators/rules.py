@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,11 @@ CATEGORIES = {
 }
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value bound to a variable, so that it is found once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lines(text: Column) -> Column:
     """The stripped lines that aren't blank."""
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -150,18 +157,20 @@ def tags(sections: DataFrame, key: str, kind: Column, title: Column, hierarchy:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     tag = lambda name, value, confidence, source="rule": F.struct(F.lit(name).alias("tag_key"), value.alias("tag_value"), confidence.cast("double").alias("confidence"), F.lit(source).alias("source"))
-    d, level, hint = domain(kind, title, body), complexity(body), format_hint(body)
-    sure = F.when(level == "simple", 1.0).when(level == "medium", 0.8).otherwise(0.85)
     named = F.lower(F.trim(F.coalesce(title, F.lit(""))))
     parts = F.filter(F.transform(F.split(F.coalesce(hierarchy, F.lit("")), "/"), lambda p: F.lower(F.trim(p))), lambda p: F.length(p) > 2)
+    # Columns of their own, as an expression within a list to explode is evaluated as often as it stands there.
+    told = {"domain": domain(kind, title, body), "level": complexity(body), "format": format_of(body), "named": named, "parts": parts, "types": entity_types(body), "entities": entities(body)}
+    d, level, hint = F.col("_domain"), F.col("_level"), F.col("_format")
+    sure = F.when(level == "simple", 1.0).when(level == "medium", 0.8).otherwise(0.85)
     rows = F.concat(
-        F.array(tag("domain", d["domain"], d["confidence"]), tag("complexity", level, sure), tag("format_hint", hint, format_confidence(body))),
-        F.filter(F.array(tag("topic", named, F.lit(0.95))), lambda t: t["tag_value"] != ""),
-        F.transform(parts, lambda p: tag("topic", p, F.lit(0.8))),
-        F.transform(entity_types(body), lambda t: tag("entity_type", t["type"], t["confidence"])),
-        F.transform(entities(body), lambda e: tag("entities", e["value"], e["confidence"], "ner")),
+        F.array(tag("domain", d["domain"], d["confidence"]), tag("complexity", level, sure), tag("format_hint", hint["hint"], hint["confidence"])),
+        F.filter(F.array(tag("topic", F.col("_named"), F.lit(0.95))), lambda t: t["tag_value"] != ""),
+        F.transform("_parts", lambda p: tag("topic", p, F.lit(0.8))),
+        F.transform("_types", lambda t: tag("entity_type", t["type"], t["confidence"])),
+        F.transform("_entities", lambda e: tag("entities", e["value"], e["confidence"], "ner")),
     )
-    found = sections.select(key, F.explode(rows).alias("t")).select(key, "t.*")
+    found = sections.select(key, *(c.alias(f"_{name}") for name, c in told.items())).select(key, F.explode(rows).alias("t")).select(key, "t.*")
     frequent = topics(sections, key, text).select(key, F.lit("topic").alias("tag_key"), F.col("topic").alias("tag_value"), "confidence", F.lit("rule").alias("source"))
     return found.unionByName(frequent).groupBy(key, "tag_key", "tag_value").agg(F.max(F.struct("confidence", "source")).alias("t")).select(key, "tag_key", "tag_value", "t.confidence", "t.source")
 
@@ -176,10 +185,16 @@ def domain(document_type: Column, title: Column, text: Column) -> Column:
     """struct(domain, confidence): by the document's type; else the domain with most of its words in title and beginning."""
     scanned = F.lower(F.concat_ws(" ", title, F.lit(""), F.left(text, F.lit(500))))
     kind = F.lower(F.coalesce(document_type, F.lit("")))
-    hits = {name: sum((F.contains(scanned, F.lit(w)).cast("int") for w in words), F.lit(0)) for name, words in DOMAINS.items()}
-    ranked = F.array_max(F.array(*(F.struct(n.alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, n) in enumerate(hits.items()))))
-    out = F.when(ranked["hits"] >= 3, F.struct(ranked["name"].alias("domain"), F.lit(0.9).alias("confidence"))).when(ranked["hits"] >= 1, F.struct(ranked["name"].alias("domain"), F.lit(0.7).alias("confidence")))
-    out = out.otherwise(F.struct(F.lit("general").alias("domain"), F.lit(0.5).alias("confidence")))
+
+    def best(found: Column) -> Column:
+        hits = {name: sum((F.contains(found, F.lit(w)).cast("int") for w in words), F.lit(0)) for name, words in DOMAINS.items()}
+        return F.array_max(F.array(*(F.struct(n.alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, n) in enumerate(hits.items()))))
+
+    def told(top: Column) -> Column:
+        out = F.when(top["hits"] >= 3, F.struct(top["name"].alias("domain"), F.lit(0.9).alias("confidence"))).when(top["hits"] >= 1, F.struct(top["name"].alias("domain"), F.lit(0.7).alias("confidence")))
+        return out.otherwise(F.struct(F.lit("general").alias("domain"), F.lit(0.5).alias("confidence")))
+
+    out = _once(_once(scanned, best), told)
     for name, words in reversed(DOMAINS.items()):
         out = F.when(kind.isin(words), F.struct(F.lit(name).alias("domain"), F.lit(0.95).alias("confidence"))).otherwise(out)
     return out
@@ -208,10 +223,9 @@ def entities(text: Column) -> Column:
     """Array of struct(value, confidence), distinct values in order of kind and place, 30 at most."""
     def all_of(pattern: str, confidence: float, keep=None) -> Column:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        values = F.filter(values, keep) if keep else values
-        return F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(confidence).alias("confidence")))
+        return F.struct((F.filter(values, keep) if keep else values).alias("values"), F.lit(confidence).alias("confidence"))
 
-    found = F.concat(
+    kinds = F.array(
         all_of(FACTS["citations"], 0.95),
         all_of(DATES, 0.9),
         all_of(FACTS["amounts"], 0.9),
@@ -219,47 +233,49 @@ def entities(text: Column) -> Column:
         all_of(r"(?U)\b[A-Z]{2}\b", 0.6, lambda v: ~v.isin(NO_JURISDICTION)),
         all_of(r"(?<=\s)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", 0.7),
     )
-    values = F.transform(found, lambda x: x["value"])
-    first = F.filter(found, lambda x, i: F.array_position(values, x["value"]) == i + 1)
-    return F.slice(first, 1, 30)
+
+    def added(found: Column, kind: Column) -> Column:
+        new = F.array_except(kind["values"], F.transform(found, lambda x: x["value"]))
+        return F.concat(found, F.transform(new, lambda v: F.struct(v.alias("value"), kind["confidence"].alias("confidence"))))
+
+    # Kind by kind, as a look back from each match would find all matches of the text anew.
+    return F.slice(F.aggregate(kinds, F.array().cast("array<struct<value:string,confidence:double>>"), added), 1, 30)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
 def complexity(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
-    n, diversity = F.size(words), F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
-    return F.when(n == 0, "simple").when((n > 500) & (diversity > 0.5), "high").when((n > 200) | (diversity > 0.6), "medium").otherwise("low")
+    def told(w: Column) -> Column:
+        diversity = w["distinct"] / F.greatest(w["n"], F.lit(1))
+        return F.when(w["n"] == 0, "simple").when((w["n"] > 500) & (diversity > 0.5), "high").when((w["n"] > 200) | (diversity > 0.6), "medium").otherwise("low")
+
+    counts = _once(_words(F.lower(text)), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct")))
+    return _once(counts, told)
+
+
+def format_of(text: Column) -> Column:
+    """struct(hint, confidence): the first rule that holds, and how sure it is; of prose, by the words in a line."""
+    def counts(found: Column) -> Column:
+        of = lambda pattern: F.size(F.filter(found, lambda x: x.rlike(pattern)))
+        pipes = F.size(F.filter(found, lambda x: F.length(x) - F.length(F.translate(x, "|", "")) >= 2))
+        return F.struct(F.size(found).alias("n"), pipes.alias("pipes"), F.size(_words(text)).alias("words"), of("\t").alias("tabs"), of(LISTED).alias("listed"), of(KEY_VALUE).alias("pairs"))
+
+    def told(c: Column) -> Column:
+        rules = [(c["n"] == 0, "simple", 1.0), (c["pipes"] >= 2, "structured_data", 0.95), (c["tabs"] >= 2, "structured_data", 0.85), (c["listed"] >= 3, "list", 0.9), (c["pairs"] >= 2, "structured_data", 0.8)]
+        rules += [(c["words"] < 30, "simple", 0.9), (c["words"] / F.greatest(c["n"], F.lit(1)) > 15, "narrative", 0.85)]
+        return F.coalesce(*(F.when(holds, F.struct(F.lit(hint).alias("hint"), F.lit(sure).alias("confidence"))) for holds, hint, sure in rules), F.struct(F.lit("narrative").alias("hint"), F.lit(0.7).alias("confidence")))
+
+    return _once(_once(lines(text), counts), told)
 
 
 def format_hint(text: Column) -> Column:
-    found = lines(text)
-    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
-    pipes = F.size(F.filter(found, lambda x: F.length(x) - F.length(F.translate(x, "|", "")) >= 2))
-    return (
-        F.when(F.size(found) == 0, "simple")
-        .when(pipes >= 2, "structured_data")
-        .when(_at_least(found, "\t", 2), "structured_data")
-        .when(_at_least(found, LISTED, 3), "list")
-        .when(_at_least(found, KEY_VALUE, 2), "structured_data")
-        .when(words < 30, "simple")
-        .otherwise("narrative")
-    )
+    return format_of(text)["hint"]
 
 
 def format_confidence(text: Column) -> Column:
-    """How sure format_hint is: by its rule and, of prose, by the words in a line."""
-    found = lines(text)
-    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
-    pipes = F.size(F.filter(found, lambda x: F.length(x) - F.length(F.translate(x, "|", "")) >= 2))
-    return (
-        F.when(F.size(found) == 0, 1.0)
-        .when(pipes >= 2, 0.95)
-        .when(_at_least(found, "\t", 2), 0.85)
-        .when(_at_least(found, LISTED, 3), 0.9)
-        .when(_at_least(found, KEY_VALUE, 2), 0.8)
-        .when(words < 30, 0.9)
-        .when(words / F.size(found) > 15, 0.85)
-        .otherwise(0.7)
-    )
+    return format_of(text)["confidence"]
 
 
 def atomic_facts(answers: DataFrame, key: str, text: str) -> DataFrame:
