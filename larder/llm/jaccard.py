@@ -270,7 +270,7 @@ def joined(rows: DataFrame, sketched: DataFrame, roots: DataFrame, width: int, b
     """
     real = sketched.where("size > 0")
     one_of_each = spill(real.groupBy("digest").agg(F.min("row").alias("row")).select("row"))
-    sets = spill(only_rows(real.select("row", "size", "keys", "parity"), one_of_each, "row"))
+    sets = only_rows(real.select("row", "size", "keys", "parity"), one_of_each, "row")  # rows are tested as they are read; a copy would be nearly all of them
     copies = real.select("row", "digest").join(roots, "row")  # equal sets may have unlike fingerprints, by repeats
     least = copies.groupBy("digest").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("digest", "a")
     edges = spill(copies.join(least, "digest").where("root <> a").select(F.col("root").alias("b"), "a").distinct())

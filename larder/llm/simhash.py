@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -327,12 +327,26 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def numbered(docs: DataFrame, number: str) -> DataFrame:
+    """docs with a column of distinct row numbers that stay the same whenever it is read, dense within each 2 ** 33.
+
+    Rows of a table of files are numbered by their file and their place in it, and nothing is copied; others are written once.
+    """
+    if docs._jdf.queryExecution().analyzed().children().isEmpty() and docs.inputFiles():
+        at = docs.metadataColumn("_metadata")
+        path, place = (next(n for k in range(len(docs.columns) + 1) if (n := name + "_" * k) not in docs.columns) for name in ("_path", "_place"))
+        placed = docs.withColumns({path: at["file_path"], place: at["row_index"]})
+        nth = F.row_number().over(Window.orderBy(path)).cast("long") - 1  # of a row for each file
+        files = spill(placed.select(path).distinct().select(path, F.shiftleft(nth, 33).alias(number)))
+        return placed.join(F.broadcast(files), path).withColumn(number, F.col(number) + F.col(place)).select(*(F.col(f"`{c}`") for c in docs.columns), number)
+    return spill(docs.withColumn(number, F.monotonically_increasing_id()))
+
+
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the first row of docs stays.
 
     Shingles of five words. Rows are linked that have a Jaccard similarity of 0.8 or more, all of them, and those that
-    a 128-bit similarity of 0.8 or more links with eight differing bits at most in the first 64. Rows are numbered in a
-    table that is written once. Null and empty texts are near copies of each other by their fingerprint: one stays. An empty
+    a 128-bit similarity of 0.8 or more links with eight differing bits at most in the first 64. Null and empty texts are near copies of each other by their fingerprint: one stays. An empty
     table gives none. Columns may have any names.
     """
     from .jaccard import joined, only_rows, sketches  # which need the shingles of this module
@@ -340,11 +354,11 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     number = "larder_row"
     while number in docs.columns:
         number += "_"
-    numbered = spill(docs.withColumn(number, F.monotonically_increasing_id()))
+    every = numbered(docs, number)
     with cleared(spark):  # of all that is put aside only what the result reads is left
-        rows = numbered.select(F.col(number).alias("row"), F.col("text").cast("string").alias("text"))
+        rows = every.select(F.col(number).alias("row"), F.col("text").cast("string").alias("text"))
         sketched = spill(sketches(rows, 5, Fraction(4, 5)))
         near = united(sketched.select("row", "fp", "fp2"), 8, "row", wide=25).select("row", F.col("component_id").alias("root"))
         first = joined(rows, sketched, spill(near), 5, Fraction(4, 5)).where("row = root").select(F.col("row").alias(number))
         kept = spill(first, outer=True)
-    return only_rows(numbered, kept, number).select(*docs.columns)
+    return only_rows(every, kept, number).select(*docs.columns)

@@ -31,6 +31,8 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larder-{name}-{uuid.uuid4().hex}"
 
 
+#: The setting by which a query's shuffle files go with it. A DataFrame that is run again makes them anew.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths that spill has written within each open cleared().
 _open: list[list[str]] = []
 
@@ -51,12 +53,24 @@ def delete_at_exit(spark: SparkSession, name: str) -> None:
     system.deleteOnExit(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Each query within it deletes its shuffle files once it has ended, not when the driver happens to collect garbage."""
+    before = spark.conf.get(FREES, None)
+    spark.conf.set(FREES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREES) if before is None else spark.conf.set(FREES, before)
+
+
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what spill has written within it; for steps whose result is written elsewhere by then."""
     _open.append([])
     try:
-        yield
+        with shuffles_freed(spark):
+            yield
     finally:
         for name in _open.pop():
             delete(spark, name)
@@ -68,7 +82,8 @@ def spill(df: DataFrame, outer: bool = False) -> DataFrame:
     The table is deleted when the driver ends, or by the innermost cleared(), or, with outer, by the one around that.
     """
     path = fresh(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     delete_at_exit(df.sparkSession, path)
     if len(_open) > outer:
         _open[-1 - outer].append(path)
