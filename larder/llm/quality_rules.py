@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import spill
+from .scratch import cleared, spill
 
 #: Frequent function words of each language, one bin of the histogram each.
 COMMON_WORDS = {
@@ -145,4 +145,13 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of docs that the rules keep, all columns as they are; null and empty texts go. See `judge`."""
-    return judge(docs, docs.columns).where("kept").select("row.*")
+    from .jaccard import only_rows
+    from .simhash import numbered
+
+    number = "larder_row"
+    while number in docs.columns:
+        number += "_"
+    every = numbered(docs, number)
+    with cleared(spark):  # counts are put aside with a row's number, not with its text
+        kept = spill(judge(every, [number]).where("kept").select(F.col("row")[number].alias(number)), outer=True)
+    return only_rows(every, kept, number).select(*(F.col(f"`{c}`") for c in docs.columns))

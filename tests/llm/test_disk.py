@@ -3,7 +3,7 @@
 import time
 
 from larder import storage
-from larder.llm import simhash
+from larder.llm import quality_rules, simhash
 
 ROWS = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "a b c d e f g"), (4, None), (5, "o p q r s t u"), (6, "h i j k l m n")]
 
@@ -43,3 +43,13 @@ def test_other_rows_are_numbered_too(spark, tmp_path):
         every = simhash.numbered(rows, "n")
         assert every.select("n").distinct().count() == rows.count() == every.count()
         assert sorted(r["text"] or "" for r in simhash.keep_one_of_each(spark, rows, "").collect()) == sorted({t or "" for _, t in ROWS})
+
+
+def test_quality_rules_copy_no_text(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    wanted = {r[0] for r in quality_rules.judge(docs, ["doc_id"]).where("kept").select("row.doc_id").collect()}
+    written = []
+    monkeypatch.setattr(quality_rules, "spill", lambda df, outer=False, spill=quality_rules.spill: written.append(df.schema.simpleString()) or spill(df, outer))
+    kept = quality_rules.keep_good(spark, docs, small)
+    assert written and not any("text" in s for s in written)
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(wanted) and wanted and kept.columns == docs.columns
