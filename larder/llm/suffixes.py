@@ -14,6 +14,9 @@ anchor, some sixteen, are one suffix: its leading token names the anchor, its se
 Before suffixes leave a task, those equal to one of a smaller id in the same task are known to go, and only the least is
 compared further; so what many documents share is sent once a task. Suffixes travel in sorted blocks, byte by byte in planes,
 compressed: some 15 bytes each. Bytes are compared by 112 bits of hash.
+
+A task holds about a million suffixes of 33 bytes. They are joined, sorted and filtered one column after the other, received
+block by block and sent in small batches, so that neither this process nor the JVM holds a second copy of all.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ PORTION = 1 << 18
 #: Suffixes that a task gathers before it sends them, and that a bucket holds, about.
 FLUSH = BUCKET = 1 << 20
 MOST_BUCKETS = 1 << 16
+#: Suffixes in a block, and bytes of blocks and marks in a batch that leaves a task, at most or little more.
+BLOCK, SENT = 1 << 16, 1 << 20
 #: Sampled suffixes for each bucket, about and at most.
 SAMPLE, MOST_SAMPLE = 64, 256
 SMALL = 4096
@@ -64,7 +69,7 @@ class Hashes:
 
 def multikey(tokens: list[np.ndarray]) -> np.ndarray:
     """The order of rows of tokens, by multikey quicksort: three parts around a pivot, and the equal part goes on by the next token."""
-    order, todo = np.arange(len(tokens[0])), [(0, len(tokens[0]), 0)]
+    order, todo = np.arange(len(tokens[0]), dtype=np.int32), [(0, len(tokens[0]), 0)]
     while todo:
         low, high, depth = todo.pop()
         if high - low < 2 or depth == len(tokens):
@@ -77,6 +82,7 @@ def multikey(tokens: list[np.ndarray]) -> np.ndarray:
         pivot = np.sort(key[:: len(key) // 9])[4]
         less, more = key < pivot, key > pivot
         same = ~(less | more)
+        del key
         order[low:high] = np.concatenate([rows[less], rows[same], rows[more]])
         a, b = low + int(less.sum()), high - int(more.sum())
         todo += [(low, a, depth), (a, b, depth + 1), (b, high, depth)]
@@ -254,24 +260,35 @@ def _narrow(r: Records) -> Records:
     return tuple(c.astype(kind) for c, kind in zip(r, NARROW))
 
 
-def _joined(parts: list[Records]) -> Records:
-    """All parts as one; the list is emptied, as their memory is needed."""
-    r = tuple(np.concatenate(c) for c in zip(*parts))
+def _joined(parts: list[Records]) -> list[np.ndarray]:
+    """The columns of all parts as one; the list is emptied, and each column's parts go once it is joined."""
+    columns = [list(c) for c in zip(*parts)]
     parts.clear()
-    return r
+    return [np.concatenate(columns.pop(0)) for _ in NARROW]
+
+
+def _take(r: list[np.ndarray], which: np.ndarray) -> None:
+    """Replaces each column by some of its rows, one after the other."""
+    for i in range(len(r)):
+        r[i] = r[i][which]
+
+
+def _changes(column: np.ndarray) -> np.ndarray:
+    return np.append(True, column[1:] != column[:-1])
 
 
-def _sorted(r: Records) -> tuple[Records, np.ndarray, np.ndarray]:
-    """Records in the order of tokens, then ids; where first tokens and pairs of tokens are new."""
-    order = multikey([r[4], r[5], r[0]])
-    r = tuple(c[order] for c in r)
-    new_first = np.append(True, np.diff(r[4]) != 0)
-    return r, new_first, new_first | np.append(True, np.diff(r[5]) != 0)
+def _sorted(r: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Puts records in the order of tokens, then ids; where first tokens and pairs of tokens are new."""
+    _take(r, multikey([r[4], r[5], r[0]]))
+    new_first = _changes(r[4])
+    return new_first, new_first | _changes(r[5])
 
 
-def _least_before(ids: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """The id of the first record of each one's run."""
-    return ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
+def _firsts(new: np.ndarray) -> np.ndarray:
+    """The place of the first record of each one's run."""
+    first = np.arange(len(new), dtype=np.int32)
+    first[~new] = 0
+    return np.maximum.accumulate(first, out=first)
 
 
 BLOCKS = "bucket long, id long, check int, block binary"
@@ -280,23 +297,33 @@ BLOCKS = "bucket long, id long, check int, block binary"
 def _blocks(make: Callable, splitters: np.ndarray, second: np.ndarray, buckets: int) -> Callable:
     """Blocks for each bucket; and, with a negative bucket, codes of suffixes that are known to go."""
 
+    def batch(bucket, ids, checks, blocks) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), ids.cast(pa.int64()), checks.cast(pa.int32()), blocks], ["bucket", "id", "check", "block"])
+
     def send(parts: list[Records]) -> Iterator[pa.RecordBatch]:
-        r, _, new = _sorted(_joined(parts))
-        known = r[0] > _least_before(r[0], new)
+        r = _joined(parts)
+        _, new = _sorted(r)
+        known = r[0] > r[0][_firsts(new)]
         if known.any():
             ids, checks, codes = _by_document(*(c[known] for c in r[:2]), _codes(r[2][known], r[3][known], 0))
-            bucket = -1 - ids.to_numpy() % buckets
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), ids, checks, codes], ["bucket", "id", "check", "block"])
-        r = tuple(c[~known] for c in r)
+            yield from portions(iter([batch(-1 - ids.to_numpy() % buckets, ids, checks, codes)]), "block", SENT)
+            del ids, checks, codes
+            _take(r, ~known)
         ends = np.array([np.searchsorted(r[4], s) for s in splitters], dtype=np.int64)
         for i, s in enumerate(splitters):  # a splitter within a token's suffixes parts them by the second one
             high = np.searchsorted(r[4], s, side="right")
             ends[i] += np.searchsorted(r[5][ends[i] : high], second[i])
         edges = np.concatenate([[0], ends, [len(r[0])]])
-        full = np.flatnonzero(np.diff(edges))
-        blocks = [_pack(tuple(c[edges[i] : edges[i + 1]] for c in r)) for i in full]
-        none = pa.nulls(len(full))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "id", "check", "block"])
+        full, blocks = [], []
+        for i in np.flatnonzero(np.diff(edges)):
+            for low in range(edges[i], edges[i + 1], BLOCK):
+                full.append(i)
+                blocks.append(_pack(tuple(c[low : min(low + BLOCK, edges[i + 1])] for c in r)))
+                if sum(map(len, blocks)) >= SENT:
+                    yield batch(full, pa.nulls(len(full)), pa.nulls(len(full)), pa.array(blocks, pa.binary()))
+                    full, blocks = [], []
+        if full:
+            yield batch(full, pa.nulls(len(full)), pa.nulls(len(full)), pa.array(blocks, pa.binary()))
 
     most = FLUSH
 
@@ -314,25 +341,42 @@ def _blocks(make: Callable, splitters: np.ndarray, second: np.ndarray, buckets:
     return run
 
 
+def _received(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """The records of all blocks; none of the batches is held any more."""
+    return _joined([_narrow(_unpack(x.as_buffer())) for batch in batches for x in batch.column("block")])
+
+
 def _settled(splitters: np.ndarray, leave_open: bool) -> Callable:
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        names = ["id", "check", "code"]
+    names = ["id", "check", "code"]
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key[0].as_py() < 0:
-            packed = table.column("block").to_pylist()
-            times = [len(x) // 8 for x in packed]
-            ids, checks = (np.repeat(table.column(c).to_numpy(), times) for c in names[:2])
-            return pa.Table.from_arrays([pa.array(ids), pa.array(checks), pa.array(np.frombuffer(b"".join(packed), dtype=np.int64))], names)
-        r, new_first, new = _sorted(_joined([_narrow(_unpack(x)) for x in table.column("block").to_pylist()]))
-        goes = r[0] > _least_before(r[0], new)
+            for batch in (y for x in batches for y in portions(iter([x]), "block", SENT)):
+                packed = batch.column("block").to_pylist()
+                times = [len(x) // 8 for x in packed]
+                ids, checks = (np.repeat(batch.column(c).to_numpy(), times) for c in names[:2])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(checks), pa.array(np.frombuffer(b"".join(packed), dtype=np.int64))], names)
+            return
+        r = _received(batches)
+        new_first, new = _sorted(r)
+        goes = r[0] > r[0][_firsts(new)]
         is_open = np.zeros(len(goes), dtype=bool)
         if leave_open:
-            heads = np.flatnonzero(new_first)
-            run_of = np.cumsum(new_first) - 1
-            several = np.add.reduceat(new.astype(np.int64), heads) > 1
-            mixed = np.minimum.reduceat(r[0], heads) != np.maximum.reduceat(r[0], heads)
-            is_open = ~goes & ((several & mixed)[run_of] | np.isin(r[4], splitters))
-        some = goes | is_open
-        return pa.Table.from_arrays([pa.array(r[0][some]), pa.array(r[1][some]), pa.array(_codes(r[2][some], r[3][some], is_open[some]))], names)
+            first = _firsts(new_first)
+            several, mixed = np.zeros_like(goes), np.zeros_like(goes)  # of a token's first record: whether it has several windows, and ids
+            several[first[new & ~new_first]] = True
+            mixed[first[r[0] != r[0][first]]] = True
+            opens = several & mixed
+            at = np.searchsorted(r[4], splitters)
+            inside = at < len(goes)
+            opens[at[inside][r[4][at[inside]] == splitters[inside]]] = True
+            is_open = ~goes & opens[first]
+            del first
+        del r[4:]
+        some = np.flatnonzero(goes | is_open)
+        for low in range(0, len(some), SENT // 16):
+            x = some[low : low + SENT // 16]
+            yield pa.RecordBatch.from_arrays([pa.array(r[0][x]), pa.array(r[1][x]), pa.array(_codes(r[2][x], r[3][x], is_open[x]))], names)
 
     return run
 

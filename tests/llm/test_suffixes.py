@@ -99,3 +99,36 @@ def test_small_tables(spark):
 
 def test_sql(spark, small):
     assert oracle.differences(suffixes.op12_suffixes(spark, small), oracle.connect(small), suffixes.OP12_SQL) is None
+
+
+def test_memory(monkeypatch):
+    """A suffix has 33 bytes; a task holds 65 for each while it packs and 52 while it settles them (77 and 74 before), and sends small batches."""
+    import tracemalloc
+
+    import pandas  # noqa: F401  pyarrow loads it when it is first needed
+    import pyarrow as pa
+
+    n, rng = 1 << 18, np.random.default_rng(4)
+    monkeypatch.setattr(suffixes, "FLUSH", n)
+
+    def make(_):
+        for _ in range(16):
+            m = n // 16
+            yield rng.integers(0, 999, m), np.zeros(m, np.int32), rng.integers(0, 9999, m), rng.integers(1, 32, m), rng.integers(0, 1 << 63, m).astype(np.uint64), rng.integers(0, 1 << 48, m).astype(np.uint64)
+
+    splitters = np.sort(rng.integers(0, 1 << 63, 9).astype(np.uint64))
+    tracemalloc.start()
+    try:
+        sent = []
+        for batch in suffixes._blocks(make, splitters, np.zeros(9, np.uint64), 10)(iter(())):
+            sent.append(batch)
+            assert batch.nbytes < 2 * suffixes.SENT
+        packing = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in suffixes._settled(splitters, True)((pa.scalar(0),), iter(sent)):
+            pass
+        settling = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert packing < 70 * n and settling < 62 * n
