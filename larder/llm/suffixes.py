@@ -49,6 +49,8 @@ MOST_BUCKETS = 1 << 16
 BLOCK, SENT = 1 << 16, 1 << 20
 #: Sampled suffixes for each bucket, about and at most.
 SAMPLE, MOST_SAMPLE = 64, 256
+#: Of a sampled document one suffix in so many is taken, so that a few documents don't decide. Even points for each bucket beside them.
+THIN, EVEN = 32, 16
 SMALL = 4096
 SECOND = np.uint64((1 << 48) - 1)
 LETTERS = tuple(mix(np.arange(256, dtype=np.uint64), 21 + which) for which in (0, 1))
@@ -388,14 +390,18 @@ def compared(rows: DataFrame, make: Callable, suffixes: int, leave_open: bool) -
     if buckets > 1:
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rng = np.random.default_rng(7)
             for r in make(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in r[4:]], ["first", "second"])
-
-        sample = rows.sample(min(1.0, SAMPLE * buckets / suffixes), seed=7).mapInArrow(tokens, "first long, second long").limit(MOST_SAMPLE * buckets).toPandas()
-        pairs = np.sort(np.rec.fromarrays([sample[c].to_numpy().view(np.uint64) for c in sample], names="first,second"))
-        if len(pairs):
-            at = np.unique(np.linspace(0, len(pairs), buckets + 1).astype(np.int64)[1:-1])
-            splitters, second = pairs.first[at], pairs.second[at]
+                some = rng.random(len(r[0])) < 1 / THIN
+                yield pa.RecordBatch.from_arrays([pa.array(c[some].view(np.int64)) for c in r[4:]], ["first", "second"])
+
+        sample = rows.sample(min(1.0, THIN * SAMPLE * buckets / suffixes), seed=7).mapInArrow(tokens, "first long, second long").limit(MOST_SAMPLE * buckets).toPandas()
+        # Tokens are hashes: even points stand for all but the frequent ones, even where no document was sampled.
+        even = np.arange(EVEN * buckets, dtype=np.uint64) * np.uint64((1 << 64) // (EVEN * buckets))
+        found = [np.append(sample[c].to_numpy(np.int64).view(np.uint64), x) for c, x in zip(sample, (even, np.zeros_like(even)))]
+        pairs = np.sort(np.rec.fromarrays(found, names="first,second"))
+        at = np.unique(np.linspace(0, len(pairs), buckets + 1).astype(np.int64)[1:-1])
+        splitters, second = pairs.first[at], pairs.second[at]
     blocks = rows.mapInArrow(_blocks(make, splitters, second, buckets), BLOCKS)
     marks = blocks.groupBy("bucket").applyInArrow(_settled(splitters, leave_open), "id long, check int, code long")
     return marks.groupBy("id", "check").agg(F.collect_set("code").alias("marks"))
