@@ -136,12 +136,12 @@ def test_memory(monkeypatch):
 
 def test_few_long_documents(spark, monkeypatch):
     """Where hardly any document is sampled, suffixes are still dealt into buckets; all went to one before."""
-    monkeypatch.setattr(suffixes, "BUCKET", 1000)
+    monkeypatch.setattr(suffixes, "BUCKET", 10000)
     found = []
     made = suffixes._blocks
     monkeypatch.setattr(suffixes, "_blocks", lambda make, splitters, *rest: found.append(splitters) or made(make, splitters, *rest))
     rng = random.Random(6)
-    rows = [(i, "".join(rng.choices("abcdefgh ", k=40000)), "x", 1) for i in range(3)]
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=400000)), "x", 1) for i in range(3)]
     suffixes.dedup_suffixes(spark.createDataFrame(rows, SCHEMA).coalesce(1))
     edges = np.concatenate([[0.0], found[0].astype(float), [2.0**64]])
     assert len(found[0]) == 7 and np.diff(edges).max() < 2.0**64 / 4
