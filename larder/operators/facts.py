@@ -9,7 +9,7 @@ from larder.operators import signs
 from larder.storage import spill
 
 NEAR = 0.95
-#: Facts in the first batch; each later one has three times as many as all before it.
+#: Facts in the first batch; each later one has seven times as many as all before it.
 FIRST = 4096
 
 
@@ -32,9 +32,9 @@ def _leaders(pairs: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
     raise RuntimeError(f"facts depend on each other over more than {rounds} rounds")
 
 
-def _near(left: DataFrame, right: DataFrame, near: float) -> DataFrame:
-    found = signs.similar(left.select(F.col("ord").alias("query_id"), "vector"), right.select(F.col("ord").alias("id"), "vector"), near)
-    return spill(found.where(F.col("similarity") > near).select(F.col("query_id").alias("ord"), F.col("id").alias("other"), "similarity"))
+def _near(left: DataFrame, right: DataFrame | None, near: float) -> DataFrame:
+    """(ord, other, similarity) of signed vectors; of left alone those that come before."""
+    return spill(signs.near_pairs(left, right, near).select(F.col("query_id").alias("ord"), F.col("id").alias("other"), "similarity"))
 
 
 def merged(facts: DataFrame, near: float = NEAR, cells_of: int = 64, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +43,7 @@ def merged(facts: DataFrame, near: float = NEAR, cells_of: int = 64, rounds: int
     stored(fact_id, serve_count): facts that had none stored before them nearer than `near`, by cosine; each other one is
     a serve of the nearest stored before it, of equally near ones of the first. merges(fact_id, into): these.
     Facts of one text have one vector and count as one until the end, so that a common fact isn't paired with itself.
-    Batches grow fourfold: a batch is first joined with what is stored, and only what is near nothing there is paired with its
+    Batches grow eightfold: a batch is first joined with what is stored, and only what is near nothing there is paired with its
     like, so that of a large group of similar facts only the first batch that holds it has pairs of its own. Within a batch
     facts are settled in rounds; more than `rounds` raise an error, nothing is left out. ord is unique. Facts without
     vector or direction are near nothing but the same text. An empty table gives none.
@@ -54,17 +54,21 @@ def merged(facts: DataFrame, near: float = NEAR, cells_of: int = 64, rounds: int
     nodes = spill(rows.groupBy("same").agg(F.min(F.struct("ord", "fact_id", "vector")).alias("first")).select("same", "first.*"))
     n, sizes = nodes.count(), [FIRST]
     while sizes[-1] < n:
-        sizes.append(4 * sizes[-1])
+        sizes.append(8 * sizes[-1])
     ends = nodes.agg(F.percentile_approx("ord", [min(1.0, x / max(n, 1)) for x in sizes], 100_000)).first()[0] or []
-    stored, low = None, None
+    signed = signs.signed(nodes.select(F.col("ord").alias("id"), "vector"), near)
+    chosen, stored, low = spill(nodes.select("ord").join(signed.select(F.col("id").alias("ord")), "ord", "left_anti")), None, None
     for end in [*ends[:-1], None]:
-        batch = nodes.where((F.lit(True) if low is None else F.col("ord") > low) & (F.lit(True) if end is None else F.col("ord") <= end)).select("ord", "vector")
+        batch = signed.where((F.lit(True) if low is None else F.col("id") > low) & (F.lit(True) if end is None else F.col("id") <= end))
         if stored is not None:
-            batch = spill(batch.join(_near(batch, stored, near).select("ord").distinct(), "ord", "left_anti"))
-        before = spill(_near(batch, batch, near).where("other < ord").select("ord", "other"))
-        new = batch.join(_leaders(before, batch, rounds), "ord", "left_semi")
-        stored, low = spill(new if stored is None else stored.unionByName(new)), end
-    to = _near(nodes, stored, near).withColumnRenamed("ord", "node")
+            batch = spill(batch.join(_near(batch, stored, near).select(F.col("ord").alias("id")).distinct(), "id", "left_anti"))
+        before = _near(batch, None, near).select("ord", "other")
+        leaders = _leaders(before, batch.select(F.col("id").alias("ord")), rounds)
+        new = spill(batch.join(leaders.select(F.col("ord").alias("id")), "id", "left_semi"))
+        chosen, stored, low = chosen.unionByName(leaders), new if stored is None else stored.unionByName(new), end
+    # What is stored has none stored before it, and its copies are nearest to itself.
+    to = _near(signed.join(chosen.select(F.col("ord").alias("id")), "id", "left_anti"), stored, near).withColumnRenamed("ord", "node")
+    stored = chosen
     # A later fact of a text may have other stored facts before it than the first one had.
     each = rows.join(nodes.select("same", F.col("ord").alias("node")), "same")
     options = each.join(to, "node").where("other < ord").select("fact_id", "ord", "other", "similarity")
