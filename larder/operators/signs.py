@@ -27,6 +27,8 @@ TIERS = [(0, 1), (1, 1), (2, 4), (3, 6), (5, 8), (8, 8)]
 WIDE, OTHERS, GROUPS = 16_384, 65_536, 16
 #: A similarity that six decimals show as more than `near` is over it by more than this.
 MARGIN = 1e-7
+#: More than single precision may lack; what it finds is multiplied again.
+ROUGH = 1e-3
 
 FORM = "id long, unit binary, plus long, minus long, tier int, low int, high int"
 
@@ -117,13 +119,14 @@ def _product(near: float):
             units, low, high = _units(others.column("unit")), others.column("low").to_numpy(), others.column("high").to_numpy()
             wide_low, wide_high = wide.column("low").to_numpy(), wide.column("high").to_numpy()
             asked = _units(wide.column("unit"))
+            rough = asked.astype(np.float32), units.astype(np.float32)
             for i in range(0, len(a), 256):
                 fits = np.flatnonzero((high >= wide_low[i : i + 256].min()) & (low <= wide_high[i : i + 256].max()))
                 for j in range(0, len(fits), 4096):
                     c = fits[j : j + 4096]
-                    dots = asked[i : i + 256] @ units[c].T
-                    q, k = np.nonzero(dots >= near)
-                    found.append((a[i + q], b[c[k]], dots[q, k]))
+                    q, k = np.nonzero(rough[0][i : i + 256] @ rough[1][c].T >= near - ROUGH)
+                    dots = np.einsum("ij,ij->i", asked[i + q], units[c[k]])
+                    found.append((a[i + q], b[c[k]], dots))
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], []]
         table = pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "similarity"])
         return table.filter(pa.compute.not_equal(table["query_id"], table["id"]))
