@@ -51,12 +51,12 @@ def merged(facts: DataFrame, near: float = NEAR, cells_of: int = 64, rounds: int
     """
     same = F.coalesce(F.sha2("text", 256), F.lit(""))
     rows = spill(facts.select("fact_id", F.col("ord").cast("long").alias("ord"), same.alias("same"), "vector"))
-    nodes = spill(rows.groupBy("same").agg(F.min(F.struct("ord", "fact_id", "vector")).alias("first")).select("same", "first.*"))
+    nodes = spill(rows.groupBy("same").agg(F.min(F.struct("ord", "fact_id")).alias("first")).select("same", "first.*"))
     n, sizes = nodes.count(), [FIRST]
     while sizes[-1] < n:
         sizes.append(8 * sizes[-1])
     ends = nodes.agg(F.percentile_approx("ord", [min(1.0, x / max(n, 1)) for x in sizes], 100_000)).first()[0] or []
-    signed = signs.signed(nodes.select(F.col("ord").alias("id"), "vector"), near)
+    signed = signs.signed(rows.join(nodes.select("ord"), "ord", "left_semi").select(F.col("ord").alias("id"), "vector"), near)
     chosen, stored, low = spill(nodes.select("ord").join(signed.select(F.col("id").alias("ord")), "ord", "left_anti")), None, None
     for end in [*ends[:-1], None]:
         batch = signed.where((F.lit(True) if low is None else F.col("id") > low) & (F.lit(True) if end is None else F.col("id") <= end))
